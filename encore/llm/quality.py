@@ -25,7 +25,7 @@ from encore.llm.common import per_value, slices, sum_slices
 
 CELLS = 1 << 16
 MAX_TRUSTED = 20_000
-THRESHOLD = -0.25
+THRESHOLD = -0.1
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\r\x0b\x0c"
 _CONT = bytes(range(0x80, 0xC0))

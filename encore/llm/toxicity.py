@@ -5,10 +5,12 @@ has one weight for each feature, shared by all ordered thresholds:
 P(grade > k) = sigmoid(w . x - theta_k), theta_0 < theta_1 < ...; the output is the expected
 severity, sum over k of P(grade > k).
 
-It is fitted on at most `max_rows` labelled documents (the first by a seeded hash of their id). From
-these, features that occur in toxic documents at over 30 times the rate of clean ones are taken, at
-most `max_features`. The labels only say toxic or not, so toxic examples are graded mild (1) or
-severe (2) by the share of their words that carry such a feature, below or above the median.
+It is fitted on at most `max_rows` labelled documents (the first by a seeded hash of their id), of
+which copies and most near copies (equal least shingle) count once. From these, features that occur
+in toxic documents at over 10 times the rate of clean ones are taken, at most `max_features`; their
+weights are kept from falling below 0, as they were chosen to speak for toxicity. The labels only
+say toxic or not, so toxic examples are graded mild (1) or severe (2) by how many of their words
+carry such a feature, up to or above the median.
 
 A null or empty text has no feature and gets the severity of a text without any. Labels with a null
 id or label count for nothing; an id labelled twice takes the highest. Without labels of both kinds
@@ -20,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +32,9 @@ from pyspark.sql import functions as F
 from encore.llm.common import per_value
 from encore.staging import stage
 
-MAX_ROWS = 8_000
-MAX_FEATURES = 2_048
-SIZES = (4, 5, 6, 7)
+MAX_ROWS = 12_000
+MAX_FEATURES = 4_096
+SIZES = (4, 5, 6, 7, 8)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -85,10 +88,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str,
     """(id, y, t) of at most `max_rows` labelled ids, the same ones each time."""
     ids = labels.filter(F.col(doc_id).isNotNull() & F.col(grade).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(grade).alias("y"))
     ids = ids.orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).cast("binary").alias("t")).join(F.broadcast(ids), "id").dropDuplicates(["id", "t"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for body in batch.column("t").to_pylist():
+                w = body.lower().split() if body else []
+                keys.append(min(map(crc32, map(b" ".join, zip(w, w[1:], w[2:], strict=False))), default=-crc32(body or b"")))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], ["id", "y", "t", "key"])
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("t")).join(F.broadcast(ids), "id")
+    rows = rows.select("id", F.col("y").cast("int"), "t").mapInArrow(keyed, "id long, y int, t binary, key long")
+    return rows.groupBy("key").agg(F.min(F.struct("id", "y", "t")).alias("r")).select("r.*")
 
 
-def enriched_features(sample: DataFrame, max_features: int, ratio: float = 30.0, least: int = 5) -> list[str]:
+def enriched_features(sample: DataFrame, max_features: int, ratio: float = 10.0, least: int = 6) -> list[str]:
     """The features that mark toxic documents, best first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +126,7 @@ def enriched_features(sample: DataFrame, max_features: int, ratio: float = 30.0,
     return [r["feature"] for r in best.orderBy(F.desc(F.col("toxic") * F.log("rate")), "feature").limit(max_features).select("feature").collect()]
 
 
-def fit_ordinal(rows: list[dict[int, float]], grades: np.ndarray, features: list[str], steps: int = 400, l2: float = 0.02) -> Model:
+def fit_ordinal(rows: list[dict[int, float]], grades: np.ndarray, features: list[str], steps: int = 300, l2: float = 0.5) -> Model:
     """Weights and thresholds by gradient steps (Adam) on the cumulative-link likelihood."""
     n, width, k = len(rows), len(features), int(grades.max())
     at = np.concatenate([np.full(len(r), i) for i, r in enumerate(rows)]).astype(int)
@@ -142,6 +156,7 @@ def fit_ordinal(rows: list[dict[int, float]], grades: np.ndarray, features: list
         g[width + 1 :] = gaps * np.cumsum(by_theta[::-1])[::-1][1:]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         param -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        param[:width] = np.maximum(param[:width], 0)
     return Model(features, param[:width], param[width] + np.concatenate([[0], np.cumsum(np.exp(param[width + 1 :]))]))
 
 
@@ -160,14 +175,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
             for i, y, body in zip(*(batch.column(c).to_pylist() for c in ("id", "y", "t")), strict=True):
                 words = words_of(body)
                 counts, marked = counter(words)
-                out.append((i, int(y), marked / max(1, len(words)), sorted(counts), [counts[k] for k in sorted(counts)]))
-            kinds = (pa.int64(), pa.int32(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], ["id", "y", "share", "at", "n"])
+                out.append((i, int(y), marked, sorted(counts), [counts[k] for k in sorted(counts)]))
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], ["id", "y", "marked", "at", "n"])
 
-    rows = sorted(sample.select(F.col("id").cast("long"), "y", "t").mapInArrow(count, "id long, y int, share double, at array<int>, n array<int>").collect(), key=lambda r: (r["id"], r["share"], r["at"]))
-    share = np.array([r["share"] for r in rows])
+    rows = sorted(sample.mapInArrow(count, "id long, y int, marked long, at array<int>, n array<int>").collect(), key=lambda r: (r["id"], r["marked"], r["at"]))
+    marked = np.array([r["marked"] for r in rows])
     toxic = np.array([r["y"] > 0 for r in rows])
-    grades = toxic.astype(int) + (toxic & (share > np.median(share[toxic])))
+    grades = toxic.astype(int) + (toxic & (marked > np.median(marked[toxic])))
     if grades.max() < 2:
         grades = toxic.astype(int)
     return fit_ordinal([dict(zip(r["at"], (value(n) for n in r["n"]), strict=True)) for r in rows], grades, features)
