@@ -5,11 +5,12 @@ white space; a shorter text is one shingle). Equal sets are one class from the s
 a global order: those in fuller cells of a hashed count over the whole corpus come last, ties by
 hash. If two sets link, the first |x| - ceil(0.8 |x|) + l shingles of each share at least l, for any
 l; each document takes the l with the least estimated cost (entries it adds to the index plus
-candidates that still need verification), and a pair is a candidate if it shares min(l_x, l_y).
+candidates that still need verification), and a pair is a candidate if it shares min(l_x, l_y) and
+as many more as the overlap that its two sizes ask for leaves to the prefixes (see `_need`).
 
 Groups of near copies would make all pairs, so the join asks for links only where they still
-matter: first every document of an index list is compared with the list's first and with its
-neighbour by size; the links make components; then, over all lists, every pair from two different
+matter: in a few rounds every document of an index list is compared with the best of its neighbours
+in the list that is not yet in its component; then, over all lists, every pair from two different
 components that shares enough of its prefixes is verified. A pair inside one component needs no
 further link, so no component is lost and no partner capped.
 
@@ -34,7 +35,8 @@ WORDS = 5
 PERCENT = 80
 CELLS = 1 << 20
 BLOOM = 1 << 25  # bits
-MOST_MATCHES = 4
+MOST_MATCHES = 12
+ROUNDS = 3
 _K = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,8 +118,7 @@ def prefix(tokens: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def _lists(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(tok, a, b, n, l, ha, hb, pa, pb): the prefix shingles that two or more classes share, each
-    with the first class of its list and with the one before it by size."""
+    """(tok, a, b, n, l): the prefix shingles that two or more classes share."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -139,7 +140,7 @@ def _lists(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["tok", "a", "b", "nl"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = head = None  # the row before this batch, and the first class of its list
+        last = None  # the row before this batch
         shown = False  # whether that row has been put out
         for batch in batches:
             tok, a, b, nl = (batch.column(k).to_numpy() for k in range(4))
@@ -149,25 +150,16 @@ def _lists(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 tok, a, b, nl = (np.concatenate([[x], y]) for x, y in zip(last, (tok, a, b, nl), strict=True))
             keep = np.concatenate([[True], (tok[1:] != tok[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
             tok, a, b, nl = tok[keep], a[keep], b[keep], nl[keep]
-            n = len(tok)
-            new = np.concatenate([[True], tok[1:] != tok[:-1]])
-            start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-            ha, hb = a[start].copy(), b[start].copy()
-            if last is not None:
-                ha[start == 0], hb[start == 0] = head
-            back = np.maximum(np.arange(n) - 1, start)
-            out = ~new | np.concatenate([~new[1:], [False]])
-            done = shown and last is not None
-            if done:
-                out[0] = False
-            shown = bool(out[-1]) or (n == 1 and done)
-            head, last = (ha[-1], hb[-1]), (tok[-1], a[-1], b[-1], nl[-1])
-            cols = [tok, a, b, nl >> 8, nl & 255, ha, hb, a[back], b[back]]
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in cols], ["tok", "a", "b", "n", "l", "ha", "hb", "pa", "pb"])
+            same = tok[1:] == tok[:-1]
+            out = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            out[0] &= not shown or last is None
+            shown = bool(out[-1]) or (len(tok) == 1 and shown and last is not None)
+            last = (tok[-1], a[-1], b[-1], nl[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (tok, a, b, nl >> 8, nl & 255)], ["tok", "a", "b", "n", "l"])
 
     entries = docs.mapInArrow(emit, "tok long, a long, b long, nl long")
-    dealt = entries.repartition("tok").sortWithinPartitions("tok", "nl", "a", "b")
-    return dealt.mapInArrow(runs, "tok long, a long, b long, n long, l long, ha long, hb long, pa long, pb long")
+    dealt = entries.repartition("tok").sortWithinPartitions("tok", "a", "b")
+    return dealt.mapInArrow(runs, "tok long, a long, b long, n long, l long")
 
 
 def _member_bits(nodes: DataFrame) -> np.ndarray:
@@ -250,46 +242,50 @@ def _edges(*found: DataFrame) -> DataFrame:
     return out.select(_node("a", "b").alias("u"), _node("ha", "hb").alias("v"))
 
 
-def _across(lists: DataFrame) -> DataFrame:
-    """Pairs of classes from different components that share at least min(l) prefix shingles.
-
-    `lists` has the component of each entry (ca, cb). Lists within one component are left out; in
-    the others each entry meets those of other components whose size allows a link."""
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(run: np.ndarray) -> Iterator[pa.RecordBatch]:
-            # columns: a b n l ca cb; in the order of sizes
-            n = run[:, 2]
-            reach = np.searchsorted(n, n * 100 // PERCENT, side="right")
-            for i in range(len(run)):
-                other = run[i + 1 : reach[i]]
-                other = other[(other[:, 4] != run[i, 4]) | (other[:, 5] != run[i, 5])]
-                if len(other):
-                    swap = (other[:, 0] < run[i, 0]) | (other[:, 0] == run[i, 0]) & (other[:, 1] < run[i, 1])
-                    mine = np.broadcast_to(run[i, :2], (len(other), 2))
-                    low, high = np.where(swap[:, None], other[:, :2], mine), np.where(swap[:, None], mine, other[:, :2])
-                    cols = [low[:, 0], low[:, 1], high[:, 0], high[:, 1], np.minimum(other[:, 3], run[i, 3])]
-                    yield np.stack(cols, 1)
+def _need(n: Column, l: Column, m: Column, o: Column) -> Column:
+    """How many prefix shingles two sets of n and m that link must share, their l being l and o.
+
+    They share at least r = ceil(80 (n + m) / 180). The one whose prefix ends first in the order,
+    say the first, has n - p shingles behind its prefix of p; the rest of r lies in both prefixes."""
+    r = F.ceil((n + m) * PERCENT / (100 + PERCENT))
+    behind = lambda k, x: F.ceil(k * PERCENT / 100) - x  # noqa: E731  sets without their prefix
+    return F.greatest(F.least(l, o), r - F.greatest(behind(n, l), behind(m, o)))
+
+
+_PAIR = "a long, b long, ha long, hb long, n long, l long, m long, o long"
 
+
+def _counted(met: DataFrame) -> DataFrame:
+    pair = met.groupBy("a", "b", "ha", "hb").agg(F.count("*").alias("k"), *(F.min(c).alias(c) for c in "nlmo"))
+    return pair.withColumn("need", _need(*(F.col(c) for c in "nlmo")))
+
+
+def _streamed(meet, order: str, lists: DataFrame) -> DataFrame:
+    """Runs `meet` over whole lists, each an array of rows a b n l ca cb in the given order."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.zeros((0, 7), np.int64)
 
         def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cuts = np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1
             waiting, size = [], 0
-            for run in np.split(rows[:, 1:], cuts):
-                if len(run) > 1 and ((run[:, 4] != run[0, 4]) | (run[:, 5] != run[0, 5])).any():
-                    for found in pairs(run):
-                        waiting.append(found)
-                        size += len(found)
+            for run in np.split(rows[:, 1:], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1):
+                if len(run) > 1 and (run[:, 4:] != run[0, 4:]).any():
+                    for mine, other in meet(run):
+                        apart = (mine[:, 4:] != other[:, 4:]).any(1)
+                        mine, other = mine[apart], other[apart]
+                        swap = ((other[:, 0] < mine[:, 0]) | (other[:, 0] == mine[:, 0]) & (other[:, 1] < mine[:, 1]))[:, None]
+                        x, y = np.where(swap, other, mine), np.where(swap, mine, other)
+                        waiting.append(np.concatenate([x[:, :2], y[:, :2], x[:, 2:4], y[:, 2:4]], 1))
+                        size += len(mine)
                         if size > 50_000:
                             yield batch_of(waiting)
                             waiting, size = [], 0
-            if waiting:
+            if size:
                 yield batch_of(waiting)
 
         def batch_of(parts: list) -> pa.RecordBatch:
             x = np.concatenate(parts)
-            return pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(5)], ["a", "b", "ha", "hb", "l"])
+            return pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(8)], ["a", "b", "ha", "hb", "n", "l", "m", "o"])
 
         for batch in batches:
             rows = np.concatenate([rest, np.stack([batch.column(k).to_numpy() for k in range(7)], 1)])
@@ -298,9 +294,40 @@ def _across(lists: DataFrame) -> DataFrame:
             rest = rows[open_at:]
         yield from flush(rest)
 
-    dealt = lists.select("tok", "a", "b", "n", "l", "ca", "cb").repartition("tok").sortWithinPartitions("tok", "n", "a", "b")
-    met = dealt.mapInArrow(meet, "a long, b long, ha long, hb long, l long")
-    return met.groupBy("a", "b", "ha", "hb").agg(F.count("*").alias("k"), F.min("l").alias("l")).filter("k >= l").drop("k", "l")
+    dealt = lists.withColumn("order", F.expr(order)).repartition("tok").sortWithinPartitions("tok", "order", "a", "b")
+    return _counted(dealt.select("tok", "a", "b", "n", "l", "ca", "cb").mapInArrow(go, _PAIR))
+
+
+def _neighbours(lists: DataFrame, turn: int) -> DataFrame:
+    """For each document its best neighbour of another component, in this turn's order of lists."""
+
+    def meet(run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield run[1:], run[:-1]
+        yield run[2:], np.broadcast_to(run[0], (len(run) - 2, 6))
+
+    pairs = _streamed(meet, "n" if turn == 0 else f"xxhash64(a, {turn})", lists).filter("2 * k >= need")
+    return pairs.groupBy("a", "b").agg(F.max(F.struct("k", "ha", "hb")).alias("m")).select("a", "b", "m.ha", "m.hb")
+
+
+def _across(lists: DataFrame) -> DataFrame:
+    """Every pair of classes from different components that shares enough prefix shingles."""
+
+    def meet(run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        reach = np.searchsorted(run[:, 2], run[:, 2] * 100 // PERCENT, side="right")  # by size
+        for i in range(len(run) - 1):
+            other = run[i + 1 : reach[i]]
+            if len(other):
+                yield np.broadcast_to(run[i], other.shape), other
+
+    return _streamed(meet, "n", lists).filter("k >= need").select("a", "b", "ha", "hb")
+
+
+def _placed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """`rows` (a, b, ...) with their component (ca, cb); a class without a link is its own."""
+    if labels is None:
+        return rows.withColumns({"ca": F.col("a"), "cb": F.col("b")})
+    flat = labels.select("u.a", "u.b", F.col("c.a").alias("ca"), F.col("c.b").alias("cb"))
+    return rows.join(flat, ["a", "b"], "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
 
 
 def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -311,19 +338,19 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     rows = seen.filter("slice is null").select("doc_id", "a", "b", "n")
     lists = stage(_lists(texts, levels), "lists")
     sets = stage(_sets(texts, _member_bits(lists)), "sets")
-    heads = lists.filter("a <> ha or b <> hb").select("a", "b", "ha", "hb")
-    near = lists.filter("(a <> pa or b <> pb) and (pa <> ha or pb <> hb)").select("a", "b", F.col("pa").alias("ha"), F.col("pb").alias("hb"))
-    stars = stage(_linked(heads.unionByName(near).distinct(), sets), "stars")
-    first = components(_edges(stars))
-    placed = lists.join(first.select("u.a", "u.b", F.col("c.a").alias("ca"), F.col("c.b").alias("cb")), ["a", "b"], "left")
-    placed = placed.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
-    more = stage(_linked(_across(placed), sets), "more")
-    final = components(_edges(stars, more)) if more.limit(1).count() else first
+    links: list[DataFrame] = []
+    labels = None
+    for turn in range(ROUNDS + 1):
+        placed = _placed(lists, labels)
+        pairs = _neighbours(placed, turn) if turn < ROUNDS else _across(placed)
+        found = stage(_linked(pairs, sets), "found")
+        if found.limit(1).count():
+            links.append(found)
+            labels = components(_edges(*links))
     drop_staged(lists, sets)
     # the least id of each class, then of each component; a document without a set is its own
     classes = rows.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(final.select("u.a", "u.b", F.col("c.a").alias("ca"), F.col("c.b").alias("cb")), ["a", "b"], "left")
-    classes = classes.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
+    classes = _placed(classes, labels)
     least = classes.groupBy("ca", "cb").agg(F.min("least").alias("component_id"))
     named = classes.join(least, ["ca", "cb"]).select("a", "b", "component_id")
     out = rows.join(named, ["a", "b"], "left")
