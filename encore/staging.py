@@ -6,6 +6,7 @@ has none (single-machine tests)."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,9 +37,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_staged(*frames: DataFrame) -> None:
-    """Delete the files of staged tables that nothing will read again."""
+    """Delete the files of staged tables that nothing will read again.
+
+    Spark removes shuffle files of finished plans only when the JVM collects garbage, which a
+    driver with little to do puts off; asking for it here keeps the disks from filling."""
     for df in frames:
         spark = df.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             target = spark._jvm.org.apache.hadoop.fs.Path(folder)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    gc.collect()
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
