@@ -162,48 +162,57 @@ def _lists(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     return dealt.mapInArrow(runs, "tok long, a long, b long, n long, l long")
 
 
-def _member_bits(nodes: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over classes (a, b)."""
+def _bits(ids: np.ndarray) -> list[np.ndarray]:
+    x = ids.view(np.uint64) * _K
+    return [((x ^ (x >> np.uint64(31))) * np.uint64(2 * k + 3) >> np.uint64(64 - 25)).astype(np.int64) for k in range(3)]
+
+
+def _member_bits(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of fixed size over ids."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(BLOOM, bool)
         for batch in batches:
-            for at in _bits(batch.column(0).to_numpy(), batch.column(1).to_numpy()):
+            for at in _bits(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)):
                 bits[at] = True
         yield slices(np.packbits(bits))
 
-    return sum_slices(nodes.select("a", "b").mapInArrow(mark, "slice int, cells binary"), "uint8", either=True)
-
+    return sum_slices(ids.mapInArrow(mark, "slice int, cells binary"), "uint8", either=True)
 
-def _bits(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
-    x, y = a.view(np.uint64), b.view(np.uint64)
-    return [((x + np.uint64(k) * y) >> np.uint64(64 - 25)).astype(np.int64) for k in range(3)]
 
+def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, toks) of the classes in `pairs`, and of a few more.
 
-def _sets(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(a, b, toks) of the classes in the filter, each once."""
+    A class is read from the document of its least id: a filter over those ids keeps all others
+    from being cut into shingles again, and from being shuffled."""
+    nodes = pairs.select("a", "b").union(pairs.select("ha", "hb")).distinct()
+    bits = _member_bits(nodes.join(classes, ["a", "b"]).select("least"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
+            ids = batch.column(0)
+            here = np.ones(len(ids), bool)
+            if len(bits):
+                for at in _bits(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)):
+                    here &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            here |= ids.is_null().to_numpy(zero_copy_only=False)
             rows = []
-            for body in batch.column(1).to_pylist():
+            for body in batch.column(1).filter(pa.array(here)).to_pylist():
                 tokens = shingles(body)
                 if len(tokens) < 4 or (key := class_of(tokens)) in seen:
                     continue
-                at = _bits(np.array([key[0]], np.int64), np.array([key[1]], np.int64))
-                if all(bits[x[0] >> 3] >> (7 - (x[0] & 7)) & 1 for x in at):
-                    if len(seen) >= 500_000:
-                        seen.clear()
-                    seen.add(key)
-                    rows.append((key[0], key[1], tokens.view(np.int64)))
+                if len(seen) >= 500_000:
+                    seen.clear()
+                seen.add(key)
+                rows.append((key[0], key[1], tokens.view(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["a", "b", "toks"])
 
-    return docs.mapInArrow(emit, "a long, b long, toks array<long>").dropDuplicates(["a", "b"])
+    return docs.mapInArrow(emit, "a long, b long, toks array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b, ha, hb) whose sets link."""
+    """The pairs (a, b, ha, hb) whose sets link; a set that comes twice gives its pairs twice."""
     one = sets.withColumnsRenamed({"toks": "x"})
     two = sets.withColumnsRenamed({"a": "ha", "b": "hb", "toks": "y"})
     both = pairs.join(one, ["a", "b"]).join(two, ["ha", "hb"])
@@ -330,26 +339,32 @@ def _placed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(flat, ["a", "b"], "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
 
 
+def _turn(texts: DataFrame, classes: DataFrame, placed: DataFrame, turn: int) -> DataFrame:
+    """The links among this turn's candidates."""
+    pairs = stage(_neighbours(placed, turn) if turn < ROUNDS else _across(placed), "pairs")
+    sets = stage(_sets(texts, classes, pairs), "sets")
+    found = stage(_linked(pairs, sets), "found")
+    drop_staged(pairs, sets)
+    return found
+
+
 def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row."""
     texts = _texts(docs, text, doc_id)
     seen = stage(_overview(texts), "overview")
     levels = _level_of(sum_slices(seen.filter("slice is not null").select("slice", "cells"), "int32"))
     rows = seen.filter("slice is null").select("doc_id", "a", "b", "n")
+    classes = rows.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"))
     lists = stage(_lists(texts, levels), "lists")
-    sets = stage(_sets(texts, _member_bits(lists)), "sets")
     links: list[DataFrame] = []
     labels = None
     for turn in range(ROUNDS + 1):
-        placed = _placed(lists, labels)
-        pairs = _neighbours(placed, turn) if turn < ROUNDS else _across(placed)
-        found = stage(_linked(pairs, sets), "found")
+        found = _turn(texts, classes, _placed(lists, labels), turn)
         if found.limit(1).count():
             links.append(found)
             labels = components(_edges(*links))
-    drop_staged(lists, sets)
+    drop_staged(lists)
     # the least id of each class, then of each component; a document without a set is its own
-    classes = rows.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"))
     classes = _placed(classes, labels)
     least = classes.groupBy("ca", "cb").agg(F.min("least").alias("component_id"))
     named = classes.join(least, ["ca", "cb"]).select("a", "b", "component_id")
