@@ -20,6 +20,7 @@ never names a component but its text does link others."""
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,22 +37,59 @@ PERCENT = 80
 CELLS = 1 << 20
 BLOOM = 1 << 25  # bits
 MOST_MATCHES = 12
+PIECE = 1 << 19
 ROUNDS = 3
 _K = np.uint64(0x9E3779B97F4A7C15)
+_BLANK = re.compile(rb"[ \t-\r]")
+_IN_WORD = bytes(c not in b" \t\n\x0b\x0c\r" for c in range(256))
+#: An odd number whose powers weigh the places of a word.
+_R = 0x2545F4914F6CDD1B
+_R_INVERSE = pow(_R, -1, 2**64)
+_POWERS, _INVERSE = (np.multiply.accumulate(np.full(2 * PIECE, x, np.uint64)) for x in (_R, _R_INVERSE))
+
+
+def _hash_piece(text: bytes) -> np.ndarray:
+    """A number for each word: its bytes, each times a power of `_R` by its place in the word. Sums
+    over the whole text give them, the powers of the word's start divided out."""
+    raw = np.frombuffer(text, np.uint8)
+    edges = np.flatnonzero(np.diff(np.frombuffer(b"\0" + text.translate(_IN_WORD) + b"\0", np.int8)))
+    start, end = edges[0::2], edges[1::2]
+    if len(raw) > len(_POWERS):  # one word of this length
+        powers, inverse = (np.multiply.accumulate(np.full(len(raw), x, np.uint64)) for x in (_R, _R_INVERSE))
+    else:
+        powers, inverse = _POWERS, _INVERSE
+    upto = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(raw * powers[: len(raw)], out=upto[1:])
+    found = (upto[end] - upto[start]) * inverse[start]
+    return (found ^ (found >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words, A-Z lower-cased, in order; long texts go piece by piece."""
+    text, found, at = text.lower(), [], 0
+    while at < len(text):
+        cut = _BLANK.search(text, at + PIECE)
+        end = cut.start() if cut else len(text)
+        found.append(_hash_piece(text[at:end]))
+        at = end
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
     """The set as sorted 64-bit hashes."""
-    w = text.lower().split() if text else []
-    if not w:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
+    h = word_hashes(text or b"")
+    if not len(h):
+        return h
     n = max(1, len(h) - words + 1)
     out = np.full(n, np.uint64(min(len(h), words)))
     for k in range(min(words, len(h))):
         out = out * _K + h[k : k + n]
         out ^= out >> np.uint64(29)
-    return np.unique(out * np.uint64(0xBF58476D1CE4E5B9))
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out.sort()
+    first = np.ones(n, bool)
+    np.not_equal(out[1:], out[:-1], out=first[1:])
+    return out[first]
 
 
 def class_of(tokens: np.ndarray) -> tuple[int, int]:
@@ -84,7 +122,7 @@ def _overview(docs: DataFrame) -> DataFrame:
                     seen.add(key)
                     cells.append(_cell(tokens))
             if cells:
-                np.add.at(total, np.concatenate(cells), 1)
+                total += np.bincount(np.concatenate(cells), minlength=CELLS).astype(np.int32)
             none = [None] * len(n)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (a, b, n)), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=schema)
         if total.any():
@@ -106,7 +144,7 @@ def prefix(tokens: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, int]:
     """The document's prefix and its l, by the least estimated cost."""
     n = len(tokens)
     level = levels[_cell(tokens)]
-    order = np.lexsort((tokens, level))
+    order = np.argsort(level, kind="stable")  # the tokens are in order
     base = n - -(-PERCENT * n // 100) + 1
     most = min(MOST_MATCHES, n - base + 1)
     ordered = order[: base + most - 1]
