@@ -17,7 +17,7 @@ MIX_WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5,
 
 def domain() -> F.Column:
     """The tables name no domain: sources are dealt to four by their number."""
-    number = F.regexp_extract("source", r"(\d+)$", 1)
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), r"(\d+)$", 1)
     return F.when(number == "", "d0").otherwise(F.concat(F.lit("d"), (F.try_to_number(number, F.lit("999999999999")) % 4).cast("int").cast("string")))
 
 
