@@ -145,13 +145,13 @@ _SQL: dict[str, tuple[list[str], str]] = {
     "state_distribution": ([_PANEL, "st AS (SELECT CASE WHEN level = 0 AND future = 0 THEN 'dead/dormant' WHEN level = 0 THEN 'revived' WHEN future > level * 1.5 THEN 'heating' WHEN future < level * 0.5 THEN 'cooling' ELSE 'stable' END AS state FROM panel)"], "SELECT state, count(*)::BIGINT AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM st), 6) AS pct FROM st GROUP BY state"),
     "session_derivation": ([], "SELECT user_id, sum(starts)::BIGINT AS sessions, sum(gap_skip)::BIGINT AS gap_skips, sum(dive)::BIGINT AS deep_dives FROM pe GROUP BY user_id"),
     "topk_per_group": ([_CAT], "SELECT artist, song_id, plays FROM cat QUALIFY row_number() OVER (PARTITION BY artist ORDER BY plays DESC, song_id) <= 3"),
-    "spearman_per_song": ([_ord("pl"), _INTERVALS, _SPEAR], "SELECT song_id, n, round(rho, 6) AS rho FROM sp"),
+    "spearman_per_song": ([_ord("pl"), _INTERVALS, _SPEAR], "SELECT song_id, n, round(rho, 6) + 0.0 AS rho FROM sp"),
     "global_spearman": ([_RATED, "rk AS (SELECT rank() OVER (ORDER BY A) + (count(*) OVER (PARTITION BY A) - 1) / 2.0::DOUBLE AS x, rank() OVER (ORDER BY R) + (count(*) OVER (PARTITION BY R) - 1) / 2.0::DOUBLE AS y FROM rated)"], "SELECT count(*)::BIGINT AS n, round(corr(x, y), 6) AS rho FROM rk"),
     "partial_spearman": ([_RATED, "rk AS (SELECT " + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS {n}" for c, n in (("A", "x"), ("R", "y"), ("familiarity", "z"))) + " FROM rated), co AS (SELECT corr(x, y) AS xy, corr(x, z) AS xz, corr(y, z) AS yz FROM rk)"], "SELECT round(xy, 6) AS xy, round((xy - xz * yz) / sqrt((1 - xz ** 2) * (1 - yz ** 2)), 6) AS partial FROM co"),
     "wilcoxon_w": ([_ord("pl"), _INTERVALS, _SPEAR, "wr AS (SELECT v, rank() OVER (ORDER BY abs(v)) + (count(*) OVER (PARTITION BY abs(v)) - 1) / 2.0::DOUBLE AS r FROM (SELECT round(rho, 9) AS v FROM sp WHERE round(rho, 9) <> 0))"], "SELECT count(*)::BIGINT AS n, least(coalesce(sum(r) FILTER (WHERE v > 0), 0), coalesce(sum(r) FILTER (WHERE v < 0), 0)) AS W FROM wr"),
     "mannwhitney_u": ([_RATED, "mw AS (SELECT A >= 3 AS one, rank() OVER (ORDER BY familiarity) + (count(*) OVER (PARTITION BY familiarity) - 1) / 2.0::DOUBLE AS r FROM rated), mu AS (SELECT sum(r) FILTER (WHERE one) AS s, count(*) FILTER (WHERE one) AS n1, count(*) FILTER (WHERE NOT one) AS n0 FROM mw)"], "SELECT n1::BIGINT AS n1, n0::BIGINT AS n0, s - n1 * (n1 + 1) / 2.0::DOUBLE AS U, round((s - n1 * (n1 + 1) / 2.0::DOUBLE) / (n1 * n0), 6) AS auc FROM mu"),
     "r2_persistence": ([_PANEL], "SELECT round(1 - sum((future - level) ** 2) / sum((future - m) ** 2), 6) AS r2, round(avg(abs(future - level)), 6) AS mae FROM panel, (SELECT avg(future) AS m FROM panel)"),
-    "holdout_cooling": (["bef AS (SELECT * FROM pl WHERE ts < TIMESTAMP '1997-06-01')", _ord("bef"), _INTERVALS, _SPEAR], "SELECT song_id, n, round(rho, 6) AS rho, coalesce(f, 0)::BIGINT AS future_plays FROM sp LEFT JOIN (SELECT song_id, count(*) AS f FROM pl WHERE ts >= TIMESTAMP '1997-06-01' GROUP BY song_id) USING (song_id)"),
+    "holdout_cooling": (["bef AS (SELECT * FROM pl WHERE ts < TIMESTAMP '1997-06-01')", _ord("bef"), _INTERVALS, _SPEAR], "SELECT song_id, n, round(rho, 6) + 0.0 AS rho, coalesce(f, 0)::BIGINT AS future_plays FROM sp LEFT JOIN (SELECT song_id, count(*) AS f FROM pl WHERE ts >= TIMESTAMP '1997-06-01' GROUP BY song_id) USING (song_id)"),
     "normalize_title": (["mk AS (SELECT p_partkey, p_name || ' (' || p_brand || ') feat. x' AS m, p_brand FROM part)"], f"SELECT p_partkey, {_norm('m')} AS t, array_to_string(regexp_extract_all(m, '\\(([^)]+)\\)', 1), '|') AS parens, lower(p_brand) AS a FROM mk"),
     "artist_alias": ([], "SELECT s_suppkey, lower(s_name) || CASE WHEN s_suppkey BETWEEN 1 AND 9 THEN '|supplier#' || lpad((s_suppkey + 1)::VARCHAR, 9, '0') ELSE '' END || CASE WHEN s_suppkey BETWEEN 1 AND 8 THEN '|supplier#' || lpad((s_suppkey + 2)::VARCHAR, 9, '0') ELSE '' END AS aliases FROM supplier"),
     "catalogue_search": ([_CAT], "SELECT song_id, title, artist FROM cat WHERE contains(lower(title), 'r') OR contains(lower(artist), 'r') ORDER BY title, song_id LIMIT 30"),
