@@ -53,7 +53,7 @@ def planted(spark, tmp_path_factory):
     docs = {k: f"{prose(60)}\n{prose(40)}" for k in range(60)}
     leak = prose(25)
     docs[60] = docs[3]
-    docs[61] = docs[4].replace(docs[4].split()[7], "changed", 1)
+    docs[61] = docs[4].replace("\n", " more\n") + " end"  # no line of it repeats
     docs[62] = f"{prose(30)} {leak} {prose(30)}"
     docs[63] = f"{prose(50)}\na footer line that repeats\n{prose(30)}"
     docs[64] = f"{prose(50)}\nA footer line that repeats \n{prose(30)}"
