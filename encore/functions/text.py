@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 HANGUL = "[가-힣]"
 #: Characters without width that titles carry along.
@@ -64,7 +65,7 @@ def display_title(kr: Column, en: Column, artist: Column) -> Column:
     return F.concat(F.when(kr.isNotNull() & en.isNotNull(), F.concat(kr, F.lit(" ("), en, F.lit(")"))).otherwise(F.coalesce(kr, en)), F.lit(" — "), artist)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff-Obershelp similarity. No built-in expression; filter pairs before (`may_reach`)."""
     for a, b in pairs:

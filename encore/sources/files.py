@@ -8,11 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PLAY_LOG = T.StructType.fromDDL(
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType()}
+
+
+def _schema(fields: str) -> T.StructType:
+    """A schema that needs no session yet."""
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in (f.split() for f in fields.split(","))])
+
+
+PLAY_LOG = _schema(
     "song_id string, title string, artist string, timestamp string, skip_type int, is_skipped int, is_proactive int, proactive_score double, "
     "is_session_start int, is_artist_deep_dive int, familiarity int, hour int"
 )
-METADATA = T.StructType.fromDDL("song_id string, query_artist string, query_title string, itunes_artist string, itunes_title string, release_date string, release_year int, genre string, matched boolean")
+METADATA = _schema("song_id string, query_artist string, query_title string, itunes_artist string, itunes_title string, release_date string, release_year int, genre string, matched boolean")
 
 
 def read_play_log(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
