@@ -282,11 +282,8 @@ def _node(a: str, b: str) -> Column:
     return F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
 
 
-def _edges(*found: DataFrame) -> DataFrame:
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.select(_node("a", "b").alias("u"), _node("ha", "hb").alias("v"))
+def _edges(found: DataFrame) -> DataFrame:
+    return found.select(_node("a", "b").alias("u"), _node("ha", "hb").alias("v"))
 
 
 def _need(n: Column, l: Column, m: Column, o: Column) -> Column:
@@ -377,6 +374,24 @@ def _placed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(flat, ["a", "b"], "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
 
 
+def _contracted(found: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Links between documents as links between the components these have so far."""
+    one = _placed(found, labels).selectExpr("ca as x", "cb as y", "ha as a", "hb as b")
+    return _placed(one, labels).selectExpr("x as a", "y as b", "ca as ha", "cb as hb").distinct()
+
+
+def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """The labels after new links. Only components that a new link touches are joined anew, so a
+    turn that finds little takes few and small rounds."""
+    merged = components(_edges(_contracted(found, labels)))
+    if labels is None:
+        return merged
+    moved = labels.join(merged.select(F.col("u").alias("c"), F.col("c").alias("to")), "c", "left").select("u", F.coalesce("to", "c").alias("c"))
+    new = stage(moved.unionByName(merged.join(labels, "u", "left_anti")), "labels")
+    drop_staged(labels, merged)
+    return new
+
+
 def _turn(texts: DataFrame, classes: DataFrame, placed: DataFrame, turn: int) -> DataFrame:
     """The links among this turn's candidates."""
     pairs = stage(_neighbours(placed, turn) if turn < ROUNDS else _across(placed), "pairs")
@@ -394,13 +409,11 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     rows = seen.filter("slice is null").select("doc_id", "a", "b", "n")
     classes = rows.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"))
     lists = stage(_lists(texts, levels), "lists")
-    links: list[DataFrame] = []
     labels = None
     for turn in range(ROUNDS + 1):
         found = _turn(texts, classes, _placed(lists, labels), turn)
         if found.limit(1).count():
-            links.append(found)
-            labels = components(_edges(*links))
+            labels = _joined(labels, found)
     drop_staged(lists)
     # the least id of each class, then of each component; a document without a set is its own
     classes = _placed(classes, labels)
