@@ -587,7 +587,7 @@ def revival_auc(spark, d):
 
 
 def _times(spark, d, clock: str = "days") -> DataFrame:
-    return pointprocess.event_times(plays_d(spark, d), clock, 30)
+    return pointprocess.event_times(plays_d(spark, d), clock)
 
 
 @_tidied
