@@ -8,7 +8,8 @@ labelled page comes with the data), and decoded by Viterbi. Character references
 space in a block becomes one space, kept blocks are joined by one line break in page order.
 
 A null or empty page has an empty text. Repeated rows are extracted one by one; unclosed tags,
-stray end tags and markup that breaks off are accepted."""
+stray end tags and markup that breaks off are accepted. Scripts, styles, drawings and the like are left
+out; custom elements named after them (`svg-icon`) and a drawing that closes itself are not such."""
 
 from __future__ import annotations
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column
 
 from encore.llm.common import per_value
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|svg|iframe|object|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|([^<]+|<)", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|svg(?![^>]*/>)|iframe|object|noscript)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|([^<]+|<)", re.S | re.I)
 _NAMES = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 #: HTML's block-level, void and inline formatting elements as used here.

@@ -58,3 +58,15 @@ def test_nulls_and_broken_pages(spark, field):
     assert all(by[k] == "" for k in (1, 2, 3, 5, 6, 7))
     assert len(by[11]) == len("word, ") * 60_000 + 4
     assert spark.createDataFrame([], "page_id long, html string").select(extract_text(F.col("html"), field)).count() == 0
+
+
+@pytest.mark.parametrize("tag", ["<svg-icon name=x></svg-icon>", "<template-x>", "<object-viewer data=y></object-viewer>", "<STYLE-box/>", "<svg/>", '<svg class="i" width=1 />', "<svg\n viewBox='0 0 1 1'/>"])
+def test_nothing_is_swallowed_after_names_that_only_begin_so(tag, field):
+    whole = main_text(PAGE, field)
+    assert main_text(PAGE.replace("<b>bold</b>", f"{tag}<b>bold</b>"), field) == whole
+    assert [b.text for b in leaf_blocks(f"<p>One {tag} two.</p><p>Three.</p><svg><text>drawn</text></svg><p>Four.</p>")] == ["One two.", "Three.", "Four."]
+
+
+def test_drawings_and_scripts_are_still_left_out():
+    page = "<p>a<svg width=1><path d='m0'/><text>no</text></svg>b</p><script src=x/>no</script ><SVG>no</svg><template>no</template><p>c<svg>no"
+    assert [b.text for b in leaf_blocks(page)] == ["ab", "c"]
