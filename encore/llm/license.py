@@ -1,8 +1,11 @@
 """License scans by sentence rules.
 
-Texts are cut into sentences (at line breaks, and at `.`, `!`, `?` or `;` before white space) and
-each sentence is normalised: lower case, every run of other characters than letters and digits one
-space. Known sentences have identifiers; the identifiers of a document, in order and without the
+Texts are cut into pieces (at line breaks, and at `.`, `!`, `?` or `;` before white space) and each
+piece is normalised: lower case, every run of other characters than letters and digits one space. A
+sentence goes on over single line breaks, up to one of these marks or a line without words. From each
+piece on the longest run of pieces that is a known sentence counts as one; pieces between such runs
+are one unknown sentence. So wrapped texts are found, and so is a line that is a known sentence in
+itself. Known sentences have identifiers; the identifiers of a document, in order and without the
 unknown sentences, form a sequence. Rules are tried in their order: a rule whose own sequence occurs
 names its licence and takes those identifiers away, so a longer rule keeps its sentences from a
 shorter one. What is left counts as unmatched.
@@ -27,8 +30,10 @@ SENTENCES = {
     "released under the mit license": "mit-ref",
     "licensed under the mit license": "mit-ref",
     "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction": "mit-grant",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-notice",
     "the software is provided as is without warranty of any kind express or implied": "as-is",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "as-is",
     "licensed under the apache license version 2 0": "apache-2.0-ref",
     "licensed under the apache license version 2 0 the license": "apache-2.0-ref",
     "you may not use this file except in compliance with the license": "apache-2.0-comply",
@@ -38,6 +43,8 @@ SENTENCES = {
     "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-terms",
     "either version 3 of the license or at your option any later version": "gpl-3.0-later",
     "either version 2 of the license or at your option any later version": "gpl-2.0-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl-3.0-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl-2.0-grant",
     "licensed under cc by nc 4 0": "cc-by-nc-4.0-ref",
     "licensed under cc by 4 0": "cc-by-4.0-ref",
     "licensed under cc by sa 4 0": "cc-by-sa-4.0-ref",
@@ -52,6 +59,8 @@ RULES = [
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("MIT", ["mit-grant", "mit-notice", "as-is"]),
+    ("GPL-3.0-or-later", ["gpl-3.0-grant"]),
+    ("GPL-2.0-or-later", ["gpl-2.0-grant"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-terms", "gpl-3.0-later"]),
     ("GPL-2.0-or-later", ["gpl-free", "gpl-terms", "gpl-2.0-later"]),
     ("Apache-2.0", ["apache-2.0-ref", "apache-2.0-comply", "apache-2.0-copy"]),
@@ -73,16 +82,40 @@ def sentence_ids(text: Column, known: dict[str, str]) -> Column:
 
     def start():
         longest = max(map(len, known), default=0) * 2 + 20
+        begins = {" ".join(words[: k + 1]) for words in map(str.split, known) for k in range(len(words))}
+
+        def matched(run: list[str]) -> tuple[int, list[str]]:
+            """Sentences and known ids of pieces with nothing but line breaks between them."""
+            n, ids, at, unknown = 0, [], 0, False
+            while at < len(run):
+                words, to, end, k = run[at], at + 1, at, None
+                while words in begins:
+                    if words in known:
+                        end, k = to, known[words]
+                    if to == len(run):
+                        break
+                    words, to = f"{words} {run[to]}", to + 1
+                if k is None:
+                    n, at, unknown = n + (not unknown), at + 1, True
+                else:
+                    ids.append(k)
+                    n, at, unknown = n + 1, end, False
+            return n, ids
 
         def one(raw: bytes | None) -> dict:
-            ids, n = [], 0
-            for sentence in _CUT.split(raw.decode()) if raw else ():
-                if not sentence or sentence.isspace():
-                    continue
-                n += 1
-                # a known sentence plus as much punctuation; far longer ones are not looked up whole
-                if (len(sentence) <= longest or len(normalise(sentence)) <= longest) and (k := known.get(normalise(sentence))):
-                    ids.append(k)
+            ids, n, run = [], 0, []
+            for piece in [*_CUT.split(raw.decode()), ""] if raw else ():
+                words = normalise(piece)
+                if words:
+                    # a known sentence plus as much punctuation; far longer ones are not kept whole
+                    run.append(words if len(piece) <= longest or len(words) <= longest else "")
+                else:
+                    n += bool(piece and not piece.isspace())
+                if run and (not words or piece.rstrip()[-1] in ".!?;"):
+                    more, found = matched(run)
+                    n += more
+                    ids += found
+                    run = []
             return {"n_sentences": n, "ids": ids}
 
         return one
