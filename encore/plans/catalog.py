@@ -327,8 +327,8 @@ def _library(spark, d):
     return matching.library_index(catalogue(plays_l(spark, d)))
 
 
-def _external(spark, d):
-    return table(spark, d, "part").filter("p_partkey % 7 = 0").select(F.col("p_partkey").alias("ext_id"), F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " (live)").otherwise(" x")).alias("title"), F.col("p_brand").alias("artist"))
+def _external(spark, d, kept: str = "p_partkey % 7 = 0"):
+    return table(spark, d, "part").filter(kept).select(F.col("p_partkey").alias("ext_id"), F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " (live)").otherwise(" x")).alias("title"), F.col("p_brand").alias("artist"))
 
 
 @_tidied
@@ -341,6 +341,18 @@ def fuzzy_match(spark, d):
     return matching.matches(_external(spark, d), _library(spark, d))
 
 
+@_tidied
+def library_anti_join_all(spark, d):
+    """As library_anti_join, over every external track."""
+    return matching.not_in_library(_external(spark, d, "true"), _library(spark, d), None).select("ext_id", "title")
+
+
+@_tidied
+def fuzzy_match_all(spark, d):
+    """As fuzzy_match, over every external track."""
+    return matching.matches(_external(spark, d, "true"), _library(spark, d))
+
+
 @_tidied
 def known_songs(spark, d):
     return matching.known_songs(_library(spark, d), 30)
@@ -363,6 +375,12 @@ def vector_zscore(spark, d):
     return vectors.zscore(vectors_of(spark, d).filter("song_id < 50"))
 
 
+@_tidied
+def vector_zscore_all(spark, d):
+    """As vector_zscore, with means and deviations of every vector."""
+    return vectors.zscore(vectors_of(spark, d))
+
+
 @_tidied
 def vector_impute(spark, d):
     songs = catalogue(plays_l(spark, d)).select("song_id")
