@@ -406,6 +406,10 @@ def _tags(spark, d):
     return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(F.slice(text.tokens(F.col("text")), 1, 10)).alias("tags"))
 
 
+def _all_tags(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("song_id"), F.array_distinct(text.tokens(F.col("text"))).alias("tags"))
+
+
 @_tidied
 def candidate_library_similarity(spark, d):
     tags = _tags(spark, d)
@@ -533,6 +537,13 @@ def tag_frequency(spark, d):
     return discovery.top_tags(tags.filter("song_id < 20"), tags.filter("song_id in (1, 2)"))
 
 
+@_tidied
+def tag_frequency_all(spark, d):
+    """As tag_frequency, with every tag of every document."""
+    tags = _all_tags(spark, d)
+    return discovery.top_tags(tags, tags.filter("song_id in (1, 2)"))
+
+
 @_tidied
 def nostalgia_select(spark, d):
     tags = _tags(spark, d).withColumnRenamed("id", "song_id")

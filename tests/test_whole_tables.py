@@ -29,3 +29,9 @@ def test_fuzzy_match_against_a_loop(spark, sf_dir, duck):
                 due.add(key)
     assert {r["ext_id"] for r in catalog.fuzzy_match_all(spark, sf_dir).collect()} == due
     assert any(k % 7 for k in due)
+
+
+def test_tags_beyond_the_tenth_word(spark, sf_dir, same_rows):
+    sql = oracles.oracle_sql()["tag_frequency"]
+    assert "[1:10]" in sql and "WHERE id < 20 " in sql
+    same_rows(catalog.tag_frequency_all(spark, sf_dir), sql.replace("[1:10]", "").replace("WHERE id < 20 ", ""))
