@@ -8,14 +8,21 @@ l; each document takes the l with the least estimated cost (entries it adds to t
 candidates that still need verification), and a pair is a candidate if it shares min(l_x, l_y) and
 as many more as the overlap that its two sizes ask for leaves to the prefixes (see `_need`).
 
-Groups of near copies would make all pairs, so the join asks for links only where they still
-matter: in a few rounds every document of an index list is compared with the best of its neighbours
-in the list that is not yet in its component; then, over all lists, every pair from two different
-components that shares enough of its prefixes is verified. A pair inside one component needs no
-further link, so no component is lost and no partner capped.
+Every set also has a sketch: one bit for each of `SKETCH` cells, set if the cell holds an odd number
+of its shingles. Two sketches differ in at most as many bits as the sets have shingles apart, so a
+pair of a list whose sketches differ in more than its sizes allow is no link and is not put out.
+
+Groups of near copies would still make all pairs, so the join asks for links only where they matter.
+First every document of a list meets the leaders of that list, then its nearest neighbour from
+another component, and last every pair from two different components that shares enough of its
+prefixes is verified. A pair inside one component needs no further link, so no component is lost
+and no partner capped. Long lists go in blocks (`_cells`): what is in the list's largest component
+meets only what is outside it.
 
 Null or empty texts have no set and are linked with nothing. Repeated rows are equal sets. A null id
-never names a component but its text does link others."""
+never names a component but its text does link others. Long texts are read whole, piece by piece. An
+empty table gives an empty result. Of the input only the text and the id are read; the result has
+three columns of its own, so other columns cannot clash (`keep_one` gives the input's columns)."""
 
 from __future__ import annotations
 
@@ -25,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +43,13 @@ from encore.staging import drop_staged, stage
 WORDS = 5
 PERCENT = 80
 CELLS = 1 << 20
-BLOOM = 1 << 25  # bits
+SKETCH = 1024  # bits
 MOST_MATCHES = 12
 PIECE = 1 << 19
-ROUNDS = 3
+#: Lists of more entries than this are dealt out in blocks.
+BLOCK = 4096
+#: Turns in which each document asks for its nearest neighbour alone.
+NEAREST = 2
 _K = np.uint64(0x9E3779B97F4A7C15)
 _BLANK = re.compile(rb"[ \t-\r]")
 _IN_WORD = bytes(c not in b" \t\n\x0b\x0c\r" for c in range(256))
@@ -48,9 +59,10 @@ _R_INVERSE = pow(_R, -1, 2**64)
 _POWERS, _INVERSE = (np.multiply.accumulate(np.full(2 * PIECE, x, np.uint64)) for x in (_R, _R_INVERSE))
 
 
-def _hash_piece(text: bytes) -> np.ndarray:
-    """A number for each word: its bytes, each times a power of `_R` by its place in the word. Sums
-    over the whole text give them, the powers of the word's start divided out."""
+def _hash_piece(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word and where it starts. The number sums the word's bytes plus one, each
+    times a power of `_R` by its place in the word: sums over the whole text, the powers of the
+    word's start divided out."""
     raw = np.frombuffer(text, np.uint8)
     edges = np.flatnonzero(np.diff(np.frombuffer(b"\0" + text.translate(_IN_WORD) + b"\0", np.int8)))
     start, end = edges[0::2], edges[1::2]
@@ -59,9 +71,9 @@ def _hash_piece(text: bytes) -> np.ndarray:
     else:
         powers, inverse = _POWERS, _INVERSE
     upto = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(raw * powers[: len(raw)], out=upto[1:])
+    np.cumsum((raw + np.uint64(1)) * powers[: len(raw)], out=upto[1:])
     found = (upto[end] - upto[start]) * inverse[start]
-    return (found ^ (found >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (found ^ (found >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93), start
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -70,26 +82,57 @@ def word_hashes(text: bytes) -> np.ndarray:
     while at < len(text):
         cut = _BLANK.search(text, at + PIECE)
         end = cut.start() if cut else len(text)
-        found.append(_hash_piece(text[at:end]))
+        found.append(_hash_piece(text[at:end])[0])
         at = end
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
-    """The set as sorted 64-bit hashes."""
-    h = word_hashes(text or b"")
-    if not len(h):
-        return h
-    n = max(1, len(h) - words + 1)
-    out = np.full(n, np.uint64(min(len(h), words)))
-    for k in range(min(words, len(h))):
+def _rolled(h: np.ndarray, words: int) -> np.ndarray:
+    """A number for each run of `words` word hashes."""
+    n = len(h) - words + 1
+    out = np.full(max(n, 0), np.uint64(words))
+    for k in range(words if n > 0 else 0):
         out = out * _K + h[k : k + n]
         out ^= out >> np.uint64(29)
-    out *= np.uint64(0xBF58476D1CE4E5B9)
-    out.sort()
-    first = np.ones(n, bool)
-    np.not_equal(out[1:], out[:-1], out=first[1:])
-    return out[first]
+    return out * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def shingle_table(texts: list[bytes | None], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of several texts, one behind the other, each as sorted 64-bit hashes; their sizes."""
+    if len(texts) == 1:
+        h = word_hashes(texts[0] or b"")
+        owner = np.zeros(len(h), np.int64)
+    else:
+        h, start = _hash_piece(b"\n".join(t or b"" for t in texts).lower())
+        first = np.cumsum([0] + [len(t or b"") + 1 for t in texts[:-1]])
+        owner = np.searchsorted(first, start, side="right") - 1
+    count = np.bincount(owner, minlength=len(texts))
+    out = _rolled(h, words)
+    whole = owner[: len(out)] == owner[words - 1 :]
+    out, owner = out[whole], owner[: len(out)][whole]
+    ends = np.cumsum(count)
+    short = np.flatnonzero((count > 0) & (count < words))
+    if len(short):
+        out = np.concatenate([out, *(_rolled(h[ends[d] - count[d] : ends[d]], count[d]) for d in short)])
+        owner = np.concatenate([owner, short])
+        order = np.argsort(owner, kind="stable")
+        out, owner = out[order], owner[order]
+    ends = np.cumsum(np.bincount(owner, minlength=len(texts))).tolist()
+    for at, end in zip([0, *ends], ends):
+        out[at:end].sort()
+    first = np.ones(len(out), bool)
+    first[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
+    return out[first], np.bincount(owner[first], minlength=len(texts))
+
+
+def _chunks(column: pa.Array) -> Iterator[tuple[int, int, list[bytes | None]]]:
+    """The texts in groups of about `PIECE` bytes, a longer text alone: (first, past the last, texts)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(column):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, side="right")))
+        yield at, stop, column.slice(at, stop - at).to_pylist()
+        at = stop
 
 
 def class_of(tokens: np.ndarray) -> tuple[int, int]:
@@ -98,6 +141,22 @@ def class_of(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(x - (x >> 63 << 64) for x in (h >> 64, h & (2**64 - 1)))
 
 
+def _sets_of(texts: list[bytes | None]) -> Iterator[np.ndarray]:
+    tokens, sizes = shingle_table(texts)
+    ends = np.cumsum(sizes).tolist()
+    for at, end in zip([0, *ends], ends):
+        yield tokens[at:end]
+
+
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of `SKETCH` bits for each set: whether a cell holds an odd number of its shingles."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    at = owner * SKETCH + ((tokens * _K) >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=len(sets) * SKETCH).astype(np.uint8) & 1
+    return np.packbits(odd).reshape(len(sets), SKETCH // 8)
+
+
 def _cell(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - 20)).astype(np.int64)
 
@@ -107,30 +166,29 @@ def _texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def _overview(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: rows (doc_id, a, b, n) and the slices of the count over cells."""
+    """One pass over the texts: rows (doc_id, a, b, n, sketch) and the slices of the count over cells."""
+    schema = pa.schema([("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("slice", pa.int32()), ("cells", pa.binary())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int32)
-        schema = pa.schema([("doc_id", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("slice", pa.int32()), ("cells", pa.binary())])
         for batch in batches:
-            a, b, n, seen, cells = [], [], [], set(), []
-            for body in batch.column(1).to_pylist():
-                tokens = shingles(body)
-                key = class_of(tokens) if len(tokens) else (None, None)
-                a.append(key[0]), b.append(key[1]), n.append(len(tokens))
-                if len(tokens) and key not in seen:
-                    seen.add(key)
-                    cells.append(_cell(tokens))
-            if cells:
-                total += np.bincount(np.concatenate(cells), minlength=CELLS).astype(np.int32)
-            none = [None] * len(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (a, b, n)), pa.array(none, pa.int32()), pa.array(none, pa.binary())], schema=schema)
+            seen: set[tuple[int, int]] = set()
+            for at, stop, texts in _chunks(batch.column(1)):
+                sets = list(_sets_of(texts))
+                keys = [class_of(s) if len(s) else (None, None) for s in sets]
+                marks = [x.tobytes() for x in sketches(sets)]
+                for key, s in zip(keys, sets, strict=True):
+                    if len(s) and key not in seen:
+                        seen.add(key)
+                        np.add.at(total, _cell(s), 1)
+                arrays = [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, stop - at).cast(pa.int64()), *arrays], schema=schema)
         if total.any():
             own = slices(total)
             none = pa.nulls(len(own), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, own.column(0), own.column(1)], schema=schema)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(own), pa.binary()), own.column(0), own.column(1)], schema=schema)
 
-    return docs.mapInArrow(scan, "doc_id long, a long, b long, n long, slice int, cells binary")
+    return docs.mapInArrow(scan, "doc_id long, a long, b long, n long, sketch binary, slice int, cells binary")
 
 
 def _level_of(counts: np.ndarray) -> np.ndarray:
@@ -140,6 +198,9 @@ def _level_of(counts: np.ndarray) -> np.ndarray:
     return np.where(over <= 0, 0, 1 + np.log2(np.maximum(over, 1)).astype(np.int64)).astype(np.uint8) if len(counts) else np.zeros(CELLS, np.uint8)
 
 
+_MATCHES = np.arange(1, MOST_MATCHES + 1)
+
+
 def prefix(tokens: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, int]:
     """The document's prefix and its l, by the least estimated cost."""
     n = len(tokens)
@@ -149,82 +210,268 @@ def prefix(tokens: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, int]:
     most = min(MOST_MATCHES, n - base + 1)
     ordered = order[: base + most - 1]
     # a list at level k holds about 2^k others: each is an entry met; one in l^2 is left to verify
-    met = np.cumsum(np.where(level[ordered] > 0, np.exp2(level[ordered].astype(float)), 0.0) + 1.0)
-    costs = [met[base + k - 2] + 4.0 * n * met[base + k - 2] / (base * k * k) for k in range(1, most + 1)]
+    others = np.cumsum(np.where(level[ordered] > 0, np.exp2(level[ordered].astype(float)), 0.02))[base - 1 :]
+    costs = base + _MATCHES[:most] + others * (1 + n / (base * _MATCHES[:most] ** 2))
     best = int(np.argmin(costs)) + 1
     return tokens[ordered[: base + best - 1]], best
 
 
+def _parts(level: np.ndarray) -> np.ndarray:
+    """In how many parts the list of a shingle goes, by the fill of its cell."""
+    return 1 << np.maximum(level.astype(np.int64) - BLOCK.bit_length(), 0)
+
+
 def _lists(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(tok, a, b, n, l): the prefix shingles that two or more classes share."""
+    """(tok, part, a, b, n, l): the prefix shingles that two or more classes share.
+
+    The list of a very common shingle goes in parts, so that none is one task's work. Parts above 0
+    may hold a shingle of one class alone, which then meets nothing."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            parts = []
-            for body in batch.column(1).to_pylist():
-                tokens = shingles(body)
-                # below 4 shingles only equal sets reach 0.8, and those are one class
-                if len(tokens) < 4 or (key := class_of(tokens)) in seen:
-                    continue
-                if len(seen) >= 500_000:
-                    seen.clear()
-                seen.add(key)
-                own, best = prefix(tokens, levels)
-                parts.append((own, key, len(tokens) << 8 | best))
-            if parts:
-                sizes = [len(p[0]) for p in parts]
-                arrays = [np.concatenate([p[0] for p in parts]).view(np.int64), *(np.repeat(np.array([x(p) for p in parts], np.int64), sizes) for x in (lambda p: p[1][0], lambda p: p[1][1], lambda p: p[2]))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], ["tok", "a", "b", "nl"])
+            for _, _, texts in _chunks(batch.column(1)):
+                found = []
+                for tokens in _sets_of(texts):
+                    # below 4 shingles only equal sets reach 0.8, and those are one class
+                    if len(tokens) < 4 or (key := class_of(tokens)) in seen:
+                        continue
+                    if len(seen) >= 500_000:
+                        seen.clear()
+                    seen.add(key)
+                    own, best = prefix(tokens, levels)
+                    found.append((own, key, len(tokens) << 8 | best))
+                if found:
+                    sizes = [len(p[0]) for p in found]
+                    tok = np.concatenate([p[0] for p in found])
+                    a, b, nl = (np.repeat(np.array(x, np.int64), sizes) for x in zip(*((p[1][0], p[1][1], p[2]) for p in found), strict=True))
+                    parts = _parts(levels[_cell(tok)])
+                    part = np.where(parts > 1, 1 + (b & (parts - 1)), 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tok.view(np.int64), part, a, b, nl)], ["tok", "part", "a", "b", "nl"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the row before this batch
         shown = False  # whether that row has been put out
         for batch in batches:
-            tok, a, b, nl = (batch.column(k).to_numpy() for k in range(4))
+            tok, part, a, b, nl = (batch.column(k).to_numpy() for k in range(5))
             if not len(tok):
                 continue
             if last is not None:
-                tok, a, b, nl = (np.concatenate([[x], y]) for x, y in zip(last, (tok, a, b, nl), strict=True))
+                tok, part, a, b, nl = (np.concatenate([[x], y]) for x, y in zip(last, (tok, part, a, b, nl), strict=True))
             keep = np.concatenate([[True], (tok[1:] != tok[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            tok, a, b, nl = tok[keep], a[keep], b[keep], nl[keep]
+            tok, part, a, b, nl = tok[keep], part[keep], a[keep], b[keep], nl[keep]
             same = tok[1:] == tok[:-1]
-            out = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            out = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (part > 0)
             out[0] &= not shown or last is None
             shown = bool(out[-1]) or (len(tok) == 1 and shown and last is not None)
-            last = (tok[-1], a[-1], b[-1], nl[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (tok, a, b, nl >> 8, nl & 255)], ["tok", "a", "b", "n", "l"])
+            last = (tok[-1], part[-1], a[-1], b[-1], nl[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (tok, part, a, b, nl >> 8, nl & 255)], ["tok", "part", "a", "b", "n", "l"])
+
+    entries = docs.mapInArrow(emit, "tok long, part long, a long, b long, nl long")
+    dealt = entries.repartition("tok", "part").sortWithinPartitions("tok", "part", "a", "b")
+    return dealt.mapInArrow(runs, "tok long, part long, a long, b long, n long, l long")
+
+
+def _least_overlap(total: np.ndarray | Column) -> np.ndarray | Column:
+    """What two sets of `total` shingles together share at least if they link, rounded up (NumPy)."""
+    return -(-total * PERCENT // (100 + PERCENT))
+
+
+def _near(n: np.ndarray, marks: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many bits the sketches of rows `x` and `y` stay below what still allows a link; -1 for
+    pairs that cannot link by their sizes or sketches."""
+    nx, ny = n[x], n[y]
+    spare = np.full(len(x), -1, np.int64)
+    fits = np.flatnonzero(np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * PERCENT)
+    total = (nx + ny)[fits]
+    spare[fits] = np.maximum(-1, total - 2 * _least_overlap(total) - np.bitwise_count(marks[x[fits]] ^ marks[y[fits]]).sum(1, dtype=np.int64))
+    return spare
+
+
+def _by_list(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Whole lists (equal in the first two columns) as numbers and sketches, the last column; with
+    `most`, a longer list is cut there."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+    for batch in batches:
+        width = batch.num_columns - 1
+        rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(width)], 1)
+        if not len(rows):
+            continue
+        marks = np.frombuffer(b"".join(batch.column(width).to_pylist()), np.uint64).reshape(len(rows), SKETCH // 64)
+        if held and (held[-1][0][-1, :2] != rows[0, :2]).any():
+            yield joined()
+            held, size = [], 0
+        other = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(1))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            held.append((rows[:cut], marks[:cut]))
+            yield joined()
+            held, size = [], 0
+        held.append((rows[cut:], marks[cut:]))
+        size += len(rows) - cut
+        if most and size >= most:
+            yield joined()
+            held, size = [], 0
+    if held:
+        yield joined()
+
+
+def _pair_batch(x: np.ndarray, y: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+    """Pairs of nodes, the columns a and b of `x` and of `y`, and other columns."""
+    columns = [x[:, 0], x[:, 1], y[:, 0], y[:, 1], *more]
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], [f"c{k}" for k in range(len(columns))])
+
+
+def _leaders(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, ha, hb): each entry of a list with the first one before it that its sketch may link to
+    among the list's leaders, which are those without such a one."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, marks in _by_list(batches, 1 << 17):
+            rest = np.arange(len(rows))
+            while len(rest) > 1:
+                first = np.ones(len(rest), bool)
+                first[1:] = (rows[rest[1:], :2] != rows[rest[:-1], :2]).any(1)
+                mine, lead = rest[~first], rest[first][np.cumsum(first) - 1][~first]
+                near = _near(rows[:, 4], marks, mine, lead) >= 0
+                if near.any():
+                    yield _pair_batch(rows[mine[near], 2:4], rows[lead[near], 2:4])
+                rest = mine[~near]
+
+    dealt = lists.join(nodes.select("a", "b", "sketch"), ["a", "b"]).select("tok", "part", "a", "b", "n", "sketch").repartition("tok", "part").sortWithinPartitions("tok", "part", "a", "b")
+    return dealt.mapInArrow(go, "a long, b long, ha long, hb long").distinct()
+
+
+def _cells(lists: DataFrame, labels: DataFrame | None, nodes: DataFrame) -> DataFrame:
+    """Lists of two or more components, in cells that a task can hold: rows (tok, cell, a, b, n, l,
+    ca, cb, one, within, sketch).
+
+    What is in a list's largest component goes to p blocks, what is outside it to q blocks, by
+    hash. A block of the first kind meets each of the second (rows with `one` meet those without);
+    so do two blocks of the second kind; one of the second kind meets itself where `within` is set.
+    So a row of the first kind goes to q cells, and lists of usual length are one cell."""
+    entries = _placed(lists.select("tok", "a", "b", "n", "l"), labels)
+    sizes = entries.groupBy("tok", "ca", "cb").agg(F.count("*").alias("k"))
+    top = sizes.groupBy("tok").agg(F.sum("k").alias("all"), F.max(F.struct("k", "ca", "cb")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+    blocks = top.select("tok", F.col("m.ca").alias("da"), F.col("m.cb").alias("db"), F.ceil(F.col("m.k") / BLOCK).alias("p"), F.ceil((F.col("all") - F.col("m.k")) / BLOCK).alias("q"))
+    dealt = entries.join(blocks, "tok").withColumns({"one": (F.col("ca") == F.col("da")) & (F.col("cb") == F.col("db")), "o": F.pmod(F.xxhash64("b"), F.col("q"))})
+    cell = "named_struct('cell', {}, 'one', {}, 'within', {})"
+    mine = f"transform(sequence(0L, q - 1), j -> {cell.format('pmod(xxhash64(b), p) * q + j', 'true', 'false')})"
+    other = f"transform(sequence(0L, p - 1), i -> {cell.format('i * q + o', 'false', 'i = 0')})"
+    apart = f"transform(filter(sequence(0L, q - 1), j -> j <> o), j -> {cell.format('-1 - (least(o, j) * q + greatest(o, j))', 'o < j', 'false')})"
+    split = dealt.select("tok", "a", "b", "n", "l", "ca", "cb", F.explode(F.expr(f"if(one, {mine}, concat({other}, {apart}))")).alias("x"))
+    full = split.join(nodes.select("a", "b", "sketch"), ["a", "b"]).select("tok", "x.cell", "a", "b", "n", "l", "ca", "cb", "x.one", "x.within", "sketch")
+    return full.repartition("tok", "cell").sortWithinPartitions("tok", "cell", "n", "a", "b")
+
+
+def _meetings(rows: np.ndarray, marks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows of one cell and different components that may link, and their spare bits."""
+    n, comp, one, within = rows[:, 4], rows[:, 6:8], rows[:, 8] == 1, rows[:, 9] == 1
+    edge = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1), [True]]))
+    end = np.repeat(edge[1:], np.diff(edge))
+
+    def left(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        asked = ((one[x] != one[y]) | (within[x] & ~one[x] & ~one[y])) & (comp[x] != comp[y]).any(1)
+        x, y = x[asked], y[asked]
+        spare = _near(n, marks, x, y)
+        return x[spare >= 0], y[spare >= 0], spare[spare >= 0]
+
+    short = np.repeat(np.diff(edge) <= 64, np.diff(edge))
+    x, far = np.flatnonzero(short), 1
+    while len(x):  # all short lists at once: each row with the one `far` places behind it
+        x = x[x + far < end[x]]
+        x = x[n[x + far] * PERCENT <= n[x] * 100]
+        if len(x):
+            yield left(x, x + far)
+        far += 1
+    for at, stop in zip(edge[:-1], edge[1:]):
+        if stop - at <= 64:
+            continue
+        mine = at + np.flatnonzero(one[at:stop])
+        rest = at + np.flatnonzero(~one[at:stop])
+        for k, x in enumerate(rest):
+            y = np.concatenate([mine, rest[k + 1 :]]) if within[x] else mine
+            y = y[(n[y] * 100 >= n[x] * PERCENT) & (n[x] * 100 >= n[y] * PERCENT)]
+            if len(y):
+                yield left(np.full(len(y), x), y)
+
+
+def _nearest(cells: DataFrame) -> DataFrame:
+    """(tok, a, b, ha, hb, spare): of each row with candidates in a cell, the nearest."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, marks in _by_list(batches):
+            best, whom = np.full(len(rows), -1, np.int64), np.zeros(len(rows), np.int64)
+            for x, y, spare in _meetings(rows, marks):
+                order = np.argsort(spare)
+                for own, to in ((x[order], y[order]), (y[order], x[order])):  # the last one set stays
+                    better = spare[order] > best[own]
+                    best[own[better]], whom[own[better]] = spare[order][better], to[better]
+            found = np.flatnonzero(best >= 0)
+            if len(found):
+                yield _pair_batch(rows[found, 2:4], rows[whom[found], 2:4], rows[found, 0], best[found])
+
+    return cells.mapInArrow(go, "a long, b long, ha long, hb long, tok long, spare long")
 
-    entries = docs.mapInArrow(emit, "tok long, a long, b long, nl long")
-    dealt = entries.repartition("tok").sortWithinPartitions("tok", "a", "b")
-    return dealt.mapInArrow(runs, "tok long, a long, b long, n long, l long")
 
+def _need(n: Column, l: Column, m: Column, o: Column) -> Column:
+    """How many prefix shingles two sets of n and m that link must share, their l being l and o.
+
+    They share at least r = ceil(80 (n + m) / 180). The one whose prefix ends first in the order,
+    say the first, has n - p shingles behind its prefix of p; the rest of r lies in both prefixes."""
+    r = F.ceil((n + m) * PERCENT / (100 + PERCENT))
+    behind = lambda k, x: F.ceil(k * PERCENT / 100) - x  # noqa: E731  sets without their prefix
+    return F.greatest(F.least(l, o), r - F.greatest(behind(n, l), behind(m, o)))
+
+
+def _across(cells: DataFrame) -> DataFrame:
+    """Every pair of classes from different components that shares enough prefix shingles."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, marks in _by_list(batches):
+            for x, y, _ in _meetings(rows, marks):
+                if len(x):
+                    swap = (rows[y, 2] < rows[x, 2]) | (rows[y, 2] == rows[x, 2]) & (rows[y, 3] < rows[x, 3])
+                    x, y = np.where(swap, y, x), np.where(swap, x, y)
+                    yield _pair_batch(rows[x, 2:4], rows[y, 2:4], rows[x, 4], rows[x, 5], rows[y, 4], rows[y, 5])
+
+    met = cells.mapInArrow(go, "a long, b long, ha long, hb long, n long, l long, m long, o long")
+    pair = met.groupBy("a", "b", "ha", "hb").agg(F.count("*").alias("k"), *(F.min(c).alias(c) for c in "nlmo"))
+    return pair.filter(F.col("k") >= _need(*(F.col(c) for c in "nlmo"))).select("a", "b", "ha", "hb")
 
-def _bits(ids: np.ndarray) -> list[np.ndarray]:
+
+def _bits(ids: np.ndarray, size: int) -> list[np.ndarray]:
     x = ids.view(np.uint64) * _K
-    return [((x ^ (x >> np.uint64(31))) * np.uint64(2 * k + 3) >> np.uint64(64 - 25)).astype(np.int64) for k in range(3)]
+    return [((x ^ (x >> np.uint64(31))) * np.uint64(2 * k + 3) >> np.uint64(65 - size.bit_length())).astype(np.int64) for k in range(3)]
 
 
-def _member_bits(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size over ids."""
+def _member_bits(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter over ids, 16 bits for each but 2^27 (16 MB) at most, and its size. Beyond that
+    it lets more ids through that are not members, which costs time only."""
+    size = 1 << min(max((16 * ids.count()).bit_length(), 16), 27)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BLOOM, bool)
+        bits = np.zeros(size, bool)
         for batch in batches:
-            for at in _bits(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)):
+            for at in _bits(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64), size):
                 bits[at] = True
         yield slices(np.packbits(bits))
 
-    return sum_slices(ids.mapInArrow(mark, "slice int, cells binary"), "uint8", either=True)
+    return sum_slices(ids.mapInArrow(mark, "slice int, cells binary"), "uint8", either=True), size
 
 
-def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, toks) of the classes in `pairs`, and of a few more.
 
     A class is read from the document of its least id: a filter over those ids keeps all others
     from being cut into shingles again, and from being shuffled."""
-    nodes = pairs.select("a", "b").union(pairs.select("ha", "hb")).distinct()
-    bits = _member_bits(nodes.join(classes, ["a", "b"]).select("least"))
+    ends = pairs.select("a", "b").union(pairs.select("ha", "hb")).distinct()
+    bits, size = _member_bits(stage(ends.join(nodes, ["a", "b"]).select("least"), "ends"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -232,19 +479,19 @@ def _sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
             ids = batch.column(0)
             here = np.ones(len(ids), bool)
             if len(bits):
-                for at in _bits(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)):
+                for at in _bits(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), size):
                     here &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
             here |= ids.is_null().to_numpy(zero_copy_only=False)
-            rows = []
-            for body in batch.column(1).filter(pa.array(here)).to_pylist():
-                tokens = shingles(body)
-                if len(tokens) < 4 or (key := class_of(tokens)) in seen:
-                    continue
-                if len(seen) >= 500_000:
-                    seen.clear()
-                seen.add(key)
-                rows.append((key[0], key[1], tokens.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["a", "b", "toks"])
+            for _, _, texts in _chunks(batch.column(1).filter(pa.array(here))):
+                rows = []
+                for tokens in _sets_of(texts):
+                    if len(tokens) < 4 or (key := class_of(tokens)) in seen:
+                        continue
+                    if len(seen) >= 500_000:
+                        seen.clear()
+                    seen.add(key)
+                    rows.append((key[0], key[1], tokens.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["a", "b", "toks"])
 
     return docs.mapInArrow(emit, "a long, b long, toks array<long>")
 
@@ -258,24 +505,27 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("i", shared).filter(F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * PERCENT).select("a", "b", "ha", "hb")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(u, c) from links (u, v): every end with the least node it is connected to.
 
-    Each round a node takes the least label among its neighbours, then the label of its label; the
-    labels are a staged table, so nothing but a count reaches the driver."""
+    Each round a node takes the least label among its neighbours', the node that is its label takes
+    it too, and then each takes the label of its label, until nothing changes. Labels only fall, so
+    that it ends is certain. They are a staged table; nothing but a count reaches the driver."""
     both = stage(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).filter("u <> v").distinct(), "links")
     labels = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("c")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.withColumnsRenamed({"u": "v", "c": "d"}), "v").groupBy("u").agg(F.min("d").alias("d"))
-        step = labels.join(near, "u").select("u", "c", F.least("c", "d").alias("d"))
+        less = labels.join(near, "u").filter("d < c")
+        offers = less.select("u", "d").unionByName(less.select(F.col("c").alias("u"), "d")).groupBy("u").agg(F.min("d").alias("d"))
+        step = labels.join(offers, "u", "left").select("u", "c", F.least("c", "d").alias("d"))
         jump = labels.select(F.col("u").alias("d"), F.col("c").alias("e"))
-        new = stage(step.join(jump, "d", "left").select("u", F.col("c").alias("old"), F.least("d", F.coalesce("e", "d")).alias("c")), "labels")
+        new = stage(step.join(jump, "d", "left").select("u", F.col("c").alias("old"), F.least("d", "e").alias("c")), "labels")
         changed = new.filter("old <> c").limit(1).count()
         drop_staged(labels)
         labels = new.select("u", "c")
         if not changed:
+            drop_staged(both)
             return labels
-    raise RuntimeError("components did not settle")
 
 
 def _node(a: str, b: str) -> Column:
@@ -286,86 +536,6 @@ def _edges(found: DataFrame) -> DataFrame:
     return found.select(_node("a", "b").alias("u"), _node("ha", "hb").alias("v"))
 
 
-def _need(n: Column, l: Column, m: Column, o: Column) -> Column:
-    """How many prefix shingles two sets of n and m that link must share, their l being l and o.
-
-    They share at least r = ceil(80 (n + m) / 180). The one whose prefix ends first in the order,
-    say the first, has n - p shingles behind its prefix of p; the rest of r lies in both prefixes."""
-    r = F.ceil((n + m) * PERCENT / (100 + PERCENT))
-    behind = lambda k, x: F.ceil(k * PERCENT / 100) - x  # noqa: E731  sets without their prefix
-    return F.greatest(F.least(l, o), r - F.greatest(behind(n, l), behind(m, o)))
-
-
-_PAIR = "a long, b long, ha long, hb long, n long, l long, m long, o long"
-
-
-def _counted(met: DataFrame) -> DataFrame:
-    pair = met.groupBy("a", "b", "ha", "hb").agg(F.count("*").alias("k"), *(F.min(c).alias(c) for c in "nlmo"))
-    return pair.withColumn("need", _need(*(F.col(c) for c in "nlmo")))
-
-
-def _streamed(meet, order: str, lists: DataFrame) -> DataFrame:
-    """Runs `meet` over whole lists, each an array of rows a b n l ca cb in the given order."""
-
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((0, 7), np.int64)
-
-        def flush(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            waiting, size = [], 0
-            for run in np.split(rows[:, 1:], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1):
-                if len(run) > 1 and (run[:, 4:] != run[0, 4:]).any():
-                    for mine, other in meet(run):
-                        apart = (mine[:, 4:] != other[:, 4:]).any(1)
-                        mine, other = mine[apart], other[apart]
-                        swap = ((other[:, 0] < mine[:, 0]) | (other[:, 0] == mine[:, 0]) & (other[:, 1] < mine[:, 1]))[:, None]
-                        x, y = np.where(swap, other, mine), np.where(swap, mine, other)
-                        waiting.append(np.concatenate([x[:, :2], y[:, :2], x[:, 2:4], y[:, 2:4]], 1))
-                        size += len(mine)
-                        if size > 50_000:
-                            yield batch_of(waiting)
-                            waiting, size = [], 0
-            if size:
-                yield batch_of(waiting)
-
-        def batch_of(parts: list) -> pa.RecordBatch:
-            x = np.concatenate(parts)
-            return pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(8)], ["a", "b", "ha", "hb", "n", "l", "m", "o"])
-
-        for batch in batches:
-            rows = np.concatenate([rest, np.stack([batch.column(k).to_numpy() for k in range(7)], 1)])
-            open_at = int(np.searchsorted(rows[:, 0], rows[-1, 0])) if len(rows) else 0
-            yield from flush(rows[:open_at])
-            rest = rows[open_at:]
-        yield from flush(rest)
-
-    dealt = lists.withColumn("order", F.expr(order)).repartition("tok").sortWithinPartitions("tok", "order", "a", "b")
-    return _counted(dealt.select("tok", "a", "b", "n", "l", "ca", "cb").mapInArrow(go, _PAIR))
-
-
-def _neighbours(lists: DataFrame, turn: int) -> DataFrame:
-    """For each document its best neighbour of another component, in this turn's order of lists."""
-
-    def meet(run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        yield run[1:], run[:-1]
-        yield run[2:], np.broadcast_to(run[0], (len(run) - 2, 6))
-
-    pairs = _streamed(meet, "n" if turn == 0 else f"xxhash64(a, {turn})", lists).filter("2 * k >= need")
-    return pairs.groupBy("a", "b").agg(F.max(F.struct("k", "ha", "hb")).alias("m")).select("a", "b", "m.ha", "m.hb")
-
-
-def _across(lists: DataFrame) -> DataFrame:
-    """Every pair of classes from different components that shares enough prefix shingles."""
-
-    def meet(run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        reach = np.searchsorted(run[:, 2], run[:, 2] * 100 // PERCENT, side="right")  # by size
-        for i in range(len(run) - 1):
-            other = run[i + 1 : reach[i]]
-            if len(other):
-                yield np.broadcast_to(run[i], other.shape), other
-
-    return _streamed(meet, "n", lists).filter("k >= need").select("a", "b", "ha", "hb")
-
-
 def _placed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     """`rows` (a, b, ...) with their component (ca, cb); a class without a link is its own."""
     if labels is None:
@@ -380,9 +550,11 @@ def _contracted(found: DataFrame, labels: DataFrame | None) -> DataFrame:
     return _placed(one, labels).selectExpr("x as a", "y as b", "ca as ha", "cb as hb").distinct()
 
 
-def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame | None:
     """The labels after new links. Only components that a new link touches are joined anew, so a
     turn that finds little takes few and small rounds."""
+    if not found.limit(1).count():
+        return labels
     merged = components(_edges(_contracted(found, labels)))
     if labels is None:
         return merged
@@ -392,10 +564,10 @@ def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame:
     return new
 
 
-def _turn(texts: DataFrame, classes: DataFrame, placed: DataFrame, turn: int) -> DataFrame:
-    """The links among this turn's candidates."""
-    pairs = stage(_neighbours(placed, turn) if turn < ROUNDS else _across(placed), "pairs")
-    sets = stage(_sets(texts, classes, pairs), "sets")
+def _verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The links among the pairs, by their whole sets."""
+    pairs = stage(pairs, "pairs")
+    sets = stage(_sets(texts, nodes, pairs), "sets")
     found = stage(_linked(pairs, sets), "found")
     drop_staged(pairs, sets)
     return found
@@ -407,16 +579,18 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     seen = stage(_overview(texts), "overview")
     levels = _level_of(sum_slices(seen.filter("slice is not null").select("slice", "cells"), "int32"))
     rows = seen.filter("slice is null").select("doc_id", "a", "b", "n")
-    classes = rows.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least"))
+    nodes = stage(seen.filter("n >= 4").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")), "nodes")
     lists = stage(_lists(texts, levels), "lists")
-    labels = None
-    for turn in range(ROUNDS + 1):
-        found = _turn(texts, classes, _placed(lists, labels), turn)
-        if found.limit(1).count():
-            labels = _joined(labels, found)
-    drop_staged(lists)
+    labels = _joined(None, _verified(texts, nodes, _leaders(lists, nodes)))
+    for turn in range(NEAREST):
+        near = stage(_nearest(_cells(lists, labels, nodes)), "nearest")
+        # a list without a candidate between components now has none later
+        lists = lists.join(near.select("tok").distinct(), "tok", "left_semi")
+        best = near.groupBy("a", "b").agg(F.max(F.struct("spare", "ha", "hb")).alias("m")).select("a", "b", "m.ha", "m.hb")
+        labels = _joined(labels, _verified(texts, nodes, best))
+    labels = _joined(labels, _verified(texts, nodes, _across(_cells(lists, labels, nodes))))
     # the least id of each class, then of each component; a document without a set is its own
-    classes = _placed(classes, labels)
+    classes = _placed(rows.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least")), labels)
     least = classes.groupBy("ca", "cb").agg(F.min("least").alias("component_id"))
     named = classes.join(least, ["ca", "cb"]).select("a", "b", "component_id")
     out = rows.join(named, ["a", "b"], "left")
