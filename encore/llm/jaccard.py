@@ -12,6 +12,9 @@ Every set also has a sketch: one bit for each of `SKETCH` cells, set if the cell
 of its shingles. Two sketches differ in at most as many bits as the sets have shingles apart, so a
 pair of a list whose sketches differ in more than its sizes allow is no link and is not put out.
 
+Lists of the same classes are one list that counts as many times, so the many prefix shingles that
+copies of a long text share are met once.
+
 Groups of near copies would still make all pairs, so the join asks for links only where they matter.
 First every document of a list meets the leaders of that list, then its nearest neighbour from
 another component, and last every pair from two different components that shares enough of its
@@ -44,6 +47,8 @@ WORDS = 5
 PERCENT = 80
 CELLS = 1 << 20
 SKETCH = 1024  # bits
+WIDE = 8192  # bits of the sketch that pairs of larger sets are compared by before their sets are
+LARGE = 512  # shingles
 MOST_MATCHES = 12
 PIECE = 1 << 19
 #: Lists of more entries than this are dealt out in blocks.
@@ -148,13 +153,13 @@ def _sets_of(texts: list[bytes | None]) -> Iterator[np.ndarray]:
         yield tokens[at:end]
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of `SKETCH` bits for each set: whether a cell holds an odd number of its shingles."""
+def sketches(sets: list[np.ndarray], bits: int = SKETCH) -> np.ndarray:
+    """A row of `bits` bits for each set: whether a cell holds an odd number of its shingles."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    at = owner * SKETCH + ((tokens * _K) >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
-    odd = np.bincount(at, minlength=len(sets) * SKETCH).astype(np.uint8) & 1
-    return np.packbits(odd).reshape(len(sets), SKETCH // 8)
+    at = owner * bits + ((tokens * _K) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=len(sets) * bits).astype(np.uint8) & 1
+    return np.packbits(odd).reshape(len(sets), bits // 8)
 
 
 def _cell(tokens: np.ndarray) -> np.ndarray:
@@ -222,10 +227,11 @@ def _parts(level: np.ndarray) -> np.ndarray:
 
 
 def _lists(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """(tok, part, a, b, n, l): the prefix shingles that two or more classes share.
+    """(tok, part, a, b, n, l, w): the lists of prefix shingles that two or more classes share.
 
-    The list of a very common shingle goes in parts, so that none is one task's work. Parts above 0
-    may hold a shingle of one class alone, which then meets nothing."""
+    Lists of the same classes are one, `w` says of how many shingles, and `tok` is made of the
+    classes. The list of a very common shingle goes in parts, so that none is one task's work; it
+    stays one by itself. Parts above 0 may hold a single class, which then meets nothing."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -250,26 +256,27 @@ def _lists(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tok.view(np.int64), part, a, b, nl)], ["tok", "part", "a", "b", "nl"])
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the row before this batch
-        shown = False  # whether that row has been put out
-        for batch in batches:
-            tok, part, a, b, nl = (batch.column(k).to_numpy() for k in range(5))
-            if not len(tok):
-                continue
-            if last is not None:
-                tok, part, a, b, nl = (np.concatenate([[x], y]) for x, y in zip(last, (tok, part, a, b, nl), strict=True))
-            keep = np.concatenate([[True], (tok[1:] != tok[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            tok, part, a, b, nl = tok[keep], part[keep], a[keep], b[keep], nl[keep]
-            same = tok[1:] == tok[:-1]
-            out = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (part > 0)
-            out[0] &= not shown or last is None
-            shown = bool(out[-1]) or (len(tok) == 1 and shown and last is not None)
-            last = (tok[-1], part[-1], a[-1], b[-1], nl[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (tok, part, a, b, nl >> 8, nl & 255)], ["tok", "part", "a", "b", "n", "l"])
+        for rows, _ in _by_list(batches, marked=False):
+            fresh = np.ones(len(rows), bool)
+            fresh[1:] = (rows[1:, :4] != rows[:-1, :4]).any(1)
+            rows = rows[fresh]
+            edge = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)]))
+            size = np.diff(np.append(edge, len(rows)))
+            x = (rows[:, 2].view(np.uint64) * _K ^ rows[:, 3].view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
+            name = np.add.reduceat(x ^ (x >> np.uint64(29)), edge).view(np.int64)
+            name = np.where(rows[edge, 1] > 0, rows[edge, 0], name)
+            shared = np.flatnonzero((size > 1) | (rows[edge, 1] > 0))
+            one, times = (np.unique(np.stack([name, rows[edge, 1]], 1)[shared], axis=0, return_index=True, return_counts=True)[k] for k in (1, 2))
+            if len(one):
+                lists = shared[one]
+                own = np.concatenate([np.arange(edge[k], edge[k] + size[k]) for k in lists])
+                out = [np.repeat(name[lists], size[lists]), rows[own, 1], rows[own, 2], rows[own, 3], rows[own, 4] >> 8, rows[own, 4] & 255, np.repeat(times, size[lists])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out], ["tok", "part", "a", "b", "n", "l", "w"])
 
     entries = docs.mapInArrow(emit, "tok long, part long, a long, b long, nl long")
     dealt = entries.repartition("tok", "part").sortWithinPartitions("tok", "part", "a", "b")
-    return dealt.mapInArrow(runs, "tok long, part long, a long, b long, n long, l long")
+    lists = dealt.mapInArrow(runs, "tok long, part long, a long, b long, n long, l long, w long")
+    return lists.groupBy("tok", "part", "a", "b").agg(F.min("n").alias("n"), F.min("l").alias("l"), F.sum("w").alias("w"))
 
 
 def _least_overlap(total: np.ndarray | Column) -> np.ndarray | Column:
@@ -288,9 +295,9 @@ def _near(n: np.ndarray, marks: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.
     return spare
 
 
-def _by_list(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Whole lists (equal in the first two columns) as numbers and sketches, the last column; with
-    `most`, a longer list is cut there."""
+def _by_list(batches: Iterator[pa.RecordBatch], most: int | None = None, marked: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Whole lists (equal in the first two columns) as numbers and, if `marked`, sketches, the last
+    column; with `most`, a longer list is cut there."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
@@ -298,11 +305,11 @@ def _by_list(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iter
         return tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
     for batch in batches:
-        width = batch.num_columns - 1
+        width = batch.num_columns - marked
         rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(width)], 1)
         if not len(rows):
             continue
-        marks = np.frombuffer(b"".join(batch.column(width).to_pylist()), np.uint64).reshape(len(rows), SKETCH // 64)
+        marks = np.frombuffer(b"".join(batch.column(width).to_pylist()), np.uint64).reshape(len(rows), SKETCH // 64) if marked else rows
         if held and (held[-1][0][-1, :2] != rows[0, :2]).any():
             yield joined()
             held, size = [], 0
@@ -349,13 +356,13 @@ def _leaders(lists: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _cells(lists: DataFrame, labels: DataFrame | None, nodes: DataFrame) -> DataFrame:
     """Lists of two or more components, in cells that a task can hold: rows (tok, cell, a, b, n, l,
-    ca, cb, one, within, sketch).
+    ca, cb, one, within, w, sketch).
 
     What is in a list's largest component goes to p blocks, what is outside it to q blocks, by
     hash. A block of the first kind meets each of the second (rows with `one` meet those without);
     so do two blocks of the second kind; one of the second kind meets itself where `within` is set.
     So a row of the first kind goes to q cells, and lists of usual length are one cell."""
-    entries = _placed(lists.select("tok", "a", "b", "n", "l"), labels)
+    entries = _placed(lists.select("tok", "a", "b", "n", "l", "w"), labels)
     sizes = entries.groupBy("tok", "ca", "cb").agg(F.count("*").alias("k"))
     top = sizes.groupBy("tok").agg(F.sum("k").alias("all"), F.max(F.struct("k", "ca", "cb")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
     blocks = top.select("tok", F.col("m.ca").alias("da"), F.col("m.cb").alias("db"), F.ceil(F.col("m.k") / BLOCK).alias("p"), F.ceil((F.col("all") - F.col("m.k")) / BLOCK).alias("q"))
@@ -364,8 +371,8 @@ def _cells(lists: DataFrame, labels: DataFrame | None, nodes: DataFrame) -> Data
     mine = f"transform(sequence(0L, q - 1), j -> {cell.format('pmod(xxhash64(b), p) * q + j', 'true', 'false')})"
     other = f"transform(sequence(0L, p - 1), i -> {cell.format('i * q + o', 'false', 'i = 0')})"
     apart = f"transform(filter(sequence(0L, q - 1), j -> j <> o), j -> {cell.format('-1 - (least(o, j) * q + greatest(o, j))', 'o < j', 'false')})"
-    split = dealt.select("tok", "a", "b", "n", "l", "ca", "cb", F.explode(F.expr(f"if(one, {mine}, concat({other}, {apart}))")).alias("x"))
-    full = split.join(nodes.select("a", "b", "sketch"), ["a", "b"]).select("tok", "x.cell", "a", "b", "n", "l", "ca", "cb", "x.one", "x.within", "sketch")
+    split = dealt.select("tok", "a", "b", "n", "l", "ca", "cb", "w", F.explode(F.expr(f"if(one, {mine}, concat({other}, {apart}))")).alias("x"))
+    full = split.join(nodes.select("a", "b", "sketch"), ["a", "b"]).select("tok", "x.cell", "a", "b", "n", "l", "ca", "cb", "x.one", "x.within", "w", "sketch")
     return full.repartition("tok", "cell").sortWithinPartitions("tok", "cell", "n", "a", "b")
 
 
@@ -438,10 +445,10 @@ def _across(cells: DataFrame) -> DataFrame:
                 if len(x):
                     swap = (rows[y, 2] < rows[x, 2]) | (rows[y, 2] == rows[x, 2]) & (rows[y, 3] < rows[x, 3])
                     x, y = np.where(swap, y, x), np.where(swap, x, y)
-                    yield _pair_batch(rows[x, 2:4], rows[y, 2:4], rows[x, 4], rows[x, 5], rows[y, 4], rows[y, 5])
+                    yield _pair_batch(rows[x, 2:4], rows[y, 2:4], rows[x, 4], rows[x, 5], rows[y, 4], rows[y, 5], np.maximum(rows[x, 10], rows[y, 10]))
 
-    met = cells.mapInArrow(go, "a long, b long, ha long, hb long, n long, l long, m long, o long")
-    pair = met.groupBy("a", "b", "ha", "hb").agg(F.count("*").alias("k"), *(F.min(c).alias(c) for c in "nlmo"))
+    met = cells.mapInArrow(go, "a long, b long, ha long, hb long, n long, l long, m long, o long, w long")
+    pair = met.groupBy("a", "b", "ha", "hb").agg(F.sum("w").alias("k"), *(F.min(c).alias(c) for c in "nlmo"))
     return pair.filter(F.col("k") >= _need(*(F.col(c) for c in "nlmo"))).select("a", "b", "ha", "hb")
 
 
@@ -466,11 +473,12 @@ def _member_bits(ids: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, toks) of the classes in `pairs`, and of a few more.
+    """(a, b, n, wide, toks) of the classes in `pairs`, and of a few more.
 
     A class is read from the document of its least id: a filter over those ids keeps all others
     from being cut into shingles again, and from being shuffled."""
     ends = pairs.select("a", "b").union(pairs.select("ha", "hb")).distinct()
+    kinds, none = [*[pa.int64()] * 3, *[pa.list_(pa.int64())] * 2], np.zeros(0, np.int64)
     bits, size = _member_bits(stage(ends.join(nodes, ["a", "b"]).select("least"), "ends"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -490,17 +498,28 @@ def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                     if len(seen) >= 500_000:
                         seen.clear()
                     seen.add(key)
-                    rows.append((key[0], key[1], tokens.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["a", "b", "toks"])
+                    wide = sketches([tokens], WIDE)[0].view(np.int64) if len(tokens) > LARGE else none
+                    rows.append((key[0], key[1], len(tokens), wide, tokens.view(np.int64)))
+                columns = [[r[k] for r in rows] for k in range(5)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["a", "b", "n", "wide", "toks"])
 
-    return docs.mapInArrow(emit, "a long, b long, toks array<long>")
+    return docs.mapInArrow(emit, "a long, b long, n long, wide array<long>, toks array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b, ha, hb) whose sets link; a set that comes twice gives its pairs twice."""
-    one = sets.withColumnsRenamed({"toks": "x"})
-    two = sets.withColumnsRenamed({"a": "ha", "b": "hb", "toks": "y"})
-    both = pairs.join(one, ["a", "b"]).join(two, ["ha", "hb"])
+    """The pairs (a, b, ha, hb) whose sets link; a set that comes twice gives its pairs twice.
+
+    Large sets are fetched only for pairs that their wide sketches leave."""
+
+    def met(pairs: DataFrame, *columns: str) -> DataFrame:
+        one = sets.select("a", "b", *columns).withColumnsRenamed({columns[-1]: "x", "n": "nx"})
+        two = sets.select("a", "b", *columns).withColumnsRenamed({"a": "ha", "b": "hb", columns[-1]: "y", "n": "ny"})
+        return pairs.join(one, ["a", "b"]).join(two, ["ha", "hb"])
+
+    differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.coalesce(F.bit_count(p.bitwiseXOR(q)), F.lit(0))), F.lit(0), lambda s, k: s + k)
+    total = F.col("nx") + F.col("ny")
+    near = met(pairs, "n", "wide").filter(differ <= total - 2 * F.ceil(total * PERCENT / (100 + PERCENT))).select("a", "b", "ha", "hb").distinct()
+    both = met(near, "toks")
     shared = F.size(F.array_intersect("x", "y"))
     return both.withColumn("i", shared).filter(F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * PERCENT).select("a", "b", "ha", "hb")
 
