@@ -8,7 +8,8 @@ l; each document takes the l with the least estimated cost (entries it adds to t
 candidates that still need verification), and a pair is a candidate if it shares min(l_x, l_y) and
 as many more as the overlap that its two sizes ask for leaves to the prefixes (see `_need`).
 
-Every set also has a sketch: one bit for each of `SKETCH` cells, set if the cell holds an odd number
+Every set also has a sketch: one bit for each of `SKETCH` cells (and of `SECOND` more if the set is
+large), set if the cell holds an odd number
 of its shingles. Two sketches differ in at most as many bits as the sets have shingles apart, so a
 pair of a list whose sketches differ in more than its sizes allow is no link and is not put out.
 
@@ -46,9 +47,10 @@ from encore.staging import drop_staged, stage
 WORDS = 5
 PERCENT = 80
 CELLS = 1 << 20
-SKETCH = 1024  # bits
-WIDE = 8192  # bits of the sketch that pairs of larger sets are compared by before their sets are
-LARGE = 512  # shingles
+#: Bits of the sketch of every set, of another one of sets over LARGE shingles, and of the one that
+#: pairs of such sets are compared by before the sets themselves are.
+SKETCH, SECOND, WIDE = 1024, 4096, 8192
+LARGE = 512
 MOST_MATCHES = 12
 PIECE = 1 << 19
 #: Lists of more entries than this are dealt out in blocks.
@@ -181,7 +183,7 @@ def _overview(docs: DataFrame) -> DataFrame:
             for at, stop, texts in _chunks(batch.column(1)):
                 sets = list(_sets_of(texts))
                 keys = [class_of(s) if len(s) else (None, None) for s in sets]
-                marks = [x.tobytes() for x in sketches(sets)]
+                marks = [x.tobytes() + (sketches([s], SECOND).tobytes() if len(s) > LARGE else b"") for x, s in zip(sketches(sets), sets, strict=True)]
                 for key, s in zip(keys, sets, strict=True):
                     if len(s) and key not in seen:
                         seen.add(key)
@@ -290,8 +292,13 @@ def _near(n: np.ndarray, marks: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.
     nx, ny = n[x], n[y]
     spare = np.full(len(x), -1, np.int64)
     fits = np.flatnonzero(np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * PERCENT)
-    total = (nx + ny)[fits]
-    spare[fits] = np.maximum(-1, total - 2 * _least_overlap(total) - np.bitwise_count(marks[x[fits]] ^ marks[y[fits]]).sum(1, dtype=np.int64))
+    first = SKETCH // 64
+    for words, least in ((slice(first), 0), (slice(first, None), LARGE)):
+        fits = fits[np.minimum(nx, ny)[fits] > least]
+        total = (nx + ny)[fits]
+        differ = np.bitwise_count(marks[x[fits], words] ^ marks[y[fits], words]).sum(1, dtype=np.int64)
+        spare[fits] = np.maximum(-1, total - 2 * _least_overlap(total) - differ)
+        fits = fits[spare[fits] >= 0]
     return spare
 
 
@@ -309,7 +316,8 @@ def _by_list(batches: Iterator[pa.RecordBatch], most: int | None = None, marked:
         rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(width)], 1)
         if not len(rows):
             continue
-        marks = np.frombuffer(b"".join(batch.column(width).to_pylist()), np.uint64).reshape(len(rows), SKETCH // 64) if marked else rows
+        full = (SKETCH + SECOND) // 8
+        marks = np.frombuffer(b"".join(x.ljust(full, b"\0") for x in batch.column(width).to_pylist()), np.uint64).reshape(len(rows), full // 8) if marked else rows
         if held and (held[-1][0][-1, :2] != rows[0, :2]).any():
             yield joined()
             held, size = [], 0
