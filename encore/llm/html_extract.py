@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from html import unescape
@@ -25,7 +27,13 @@ from pyspark.sql import Column
 
 from encore.llm.common import per_value
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|svg(?![^>]*/>)|iframe|object|noscript)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|([^<]+|<)", re.S | re.I)
+_SKIPPED = r"<!--.*?(?:-->|\Z)|<(script|style|template|svg(?![^>]*/>)|iframe|object|noscript)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
+#: A value without quotation marks may hold them; a mark that nothing closes is a name of its own.
+_ATTRIBUTES = r"(?>\s+|/(?!>)|[^\s\"'<>/=]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|(?![\"'])[^\s>]+))?|=|[\"'])*+"
+_MARKUP = rf"<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(?:({_ATTRIBUTES})/?>|[^>]*(?:>|\Z))|([^<]+|<)"
+_TOKEN = re.compile(rf"{_SKIPPED}|{_MARKUP}", re.S | re.I)
+#: The same up to the last end of a marked section, so that an open one is looked for once.
+_TOKEN_CDATA = re.compile(rf"{_SKIPPED}|<!\[CDATA\[.*?\]\]>|{_MARKUP}", re.S | re.I)
 _NAMES = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 #: HTML's block-level, void and inline formatting elements as used here.
@@ -48,8 +56,13 @@ FAMILIES = {
     "meta": "byline author date meta caption credit",
 }
 _FAMILY = {name: family for family, names in FAMILIES.items() for name in names.split()}
+#: Marks of what wraps a text.
+_WRAPS = frozenset({"t:article", "t:main", "c:main"})
 #: Marks of what stands beside a text, wherever it is nested.
 _ASIDE = frozenset({f"c:{x}" for x in FAMILIES if x not in ("main", "meta")} | {"t:nav", "t:aside", "t:footer", "t:form", "t:button", "t:head", "t:menu", "t:dialog"})
+#: Elements that an end of a paragraph or an item does not reach beyond.
+_BORDERS = frozenset({"article", "main", "nav", "aside", "body", "table"})
+_ITEMS = frozenset({"p", "li", "dd", "dt"})
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -74,59 +87,93 @@ def _families(attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
+def _tokens(html: str) -> Iterator[re.Match]:
+    at, sections = 0, html.rfind("]]>")
+    while at < len(html):
+        m = (_TOKEN_CDATA if at < sections else _TOKEN).match(html, at)
+        yield m
+        at = m.end()
+
+
+class _Open:
+    """The open block elements with the marks down to each. Each element is opened and closed once,
+    and counts say what is open without a walk, so that a page takes time in proportion to it."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, frozenset[str]]] = []
+        self.count: Counter[str] = Counter()
+        self.items: list[Counter[str]] = [Counter()]  # of paragraphs and items, since each border
+
+    def marks(self) -> frozenset[str]:
+        return self.stack[-1][1] if self.stack else frozenset()
+
+    def tag(self) -> str:
+        return self.stack[-1][0] if self.stack else ""
+
+    def push(self, tag: str, attributes: str) -> None:
+        above = self.marks()
+        own = {f"t:{tag}"} | {f"c:{x}" for x in _families(attributes)} if attributes else {f"t:{tag}"}
+        self.stack.append((tag, above if own <= above else above | own))
+        self.count[tag] += 1
+        if tag in _ITEMS:
+            self.items[-1][tag] += 1
+        if tag in _BORDERS:
+            self.items.append(Counter())
+
+    def pop(self) -> str:
+        tag = self.stack.pop()[0]
+        self.count[tag] -= 1
+        if tag in _BORDERS:
+            self.items.pop()
+        if tag in _ITEMS:
+            self.items[-1][tag] -= 1
+        return tag
+
+    def close(self, tag: str) -> None:
+        """Ends the innermost such element and what is open in it, if there is one."""
+        ends = HEADINGS if tag in HEADINGS else {tag}
+        if self.items[-1][tag] if tag in _ITEMS else any(self.count[t] for t in ends):
+            while self.pop() not in ends:
+                pass
+
+
 def leaf_blocks(html: str) -> list[Block]:
     """The page's leaf blocks with text, in order."""
-    stack: list[tuple[str, frozenset[str]]] = []  # open elements, each with the marks down to it
-    none: frozenset[str] = frozenset()
+    at = _Open()
     out: list[Block] = []
     parts: list[str] = []
-    state = {"linked": 0, "a": 0}
+    linked, in_link = 0, False
 
     def flush() -> None:
+        nonlocal linked
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                at = next((t for t, _ in reversed(stack) if t in BLOCKS), "")
-                out.append(Block(text, min(state["linked"], len(text)), at, stack[-1][1] if stack else none))
+                out.append(Block(text, min(linked, len(text)), at.tag(), at.marks()))
             parts.clear()
-        state["linked"] = 0
-
-    def close(tag: str) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag or tag in HEADINGS and stack[k][0] in HEADINGS:
-                del stack[k:]
-                return
-            if stack[k][0] in ("article", "main", "nav", "aside", "body", "table") and tag in ("p", "li", "dd", "dt"):
-                return
+        linked = 0
 
-    for m in _TOKEN.finditer(html):
+    for m in _tokens(html):
         if (text := m[5]) is not None:
             parts.append(text)
-            if state["a"]:
-                state["linked"] += len(text)
+            linked += len(text) if in_link else 0
             continue
         if (tag := m[3]) is None:
             continue
         tag = tag.lower()
-        if m[2]:
-            if tag == "a":
-                state["a"] = 0
-            if tag in BLOCKS:
-                flush()
-                close(tag)
-            continue
         if tag == "a":
-            state["a"] = 1
+            in_link = not m[2]
         elif tag in BLOCKS:
             flush()
-            if tag in ENDS_P and any(t == "p" for t, _ in stack):
-                close("p")
-            if tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
-                if stack and stack[-1][0] == tag:
-                    stack.pop()
+            if m[2]:
+                at.close(tag)
+                continue
+            if tag in ENDS_P:
+                at.close("p")
+            if tag in ("li", "dt", "dd", "option", "tr", "td", "th") and at.tag() == tag:
+                at.pop()
             if tag not in VOID:
-                above = stack[-1][1] if stack else none
-                stack.append((tag, above | {f"t:{tag}"} | {f"c:{x}" for x in _families(m[4])} if m[4] or f"t:{tag}" not in above else above))
+                at.push(tag, m[4] or "")
     flush()
     return out
 
@@ -134,12 +181,13 @@ def leaf_blocks(html: str) -> list[Block]:
 def features(blocks: list[Block]) -> list[list[str]]:
     """Names of each block's features."""
     out, headed = [], False
+    wrapped = any(b.marks & _WRAPS for b in blocks)
     for k, b in enumerate(blocks):
         n = len(b.text)
         links = b.linked / n
         headed = headed or b.tag == "h1"
         marks = b.marks
-        inside = "t:article" in marks or "t:main" in marks or "c:main" in marks
+        inside = bool(marks & _WRAPS)
         own = ["bias", f"own:{b.tag}", *marks, f"len:{min(6, n.bit_length() // 2)}", f"link:{min(3, int(links * 4))}", f"inside:{inside}", f"inside:{inside}:{b.tag in HEADINGS}"]
         if b.text[-1] in ".!?…\"”:;。":
             own.append("ends")
@@ -154,6 +202,9 @@ def features(blocks: list[Block]) -> list[list[str]]:
             own += ["aside", f"aside:{inside}"]
         if k == 0 or k == len(blocks) - 1:
             own.append(f"edge:{k == 0}")
+        if not wrapped:  # a page that wraps nothing is judged by other signs
+            low = bool(marks & _ASIDE)
+            own += ["bare", f"bare:{b.tag}", f"bare:aside:{low}", f"bare:{low}:len:{min(4, n.bit_length() // 2)}", f"bare:link:{min(3, int(links * 4))}", f"bare:{low}:{b.text[-1] in '.!?…:;。'}", f"bare:headed:{headed}"]
         out.append(own)
     return out
 
@@ -308,6 +359,14 @@ def labelled_pages(count: int, seed: int) -> list[str]:
             return f"<table><tr><td>{_MARK}{phrase(1, 4)}</td><td>{_MARK}{phrase(1, 4)}</td></tr></table>"
         return f"<div>{_MARK}{prose()} <a href='/x'>{phrase(1, 3)}</a> {phrase(2, 6)}.</div>"
 
+    def layout(content: str) -> str:
+        """The content without any element or name that says it is the text."""
+        plain = rng.choice(["page", "wrap", "container", "col-" + word(), "row", word(), "layout", "inner"])
+        return rng.choice([
+            content, content, f"<div>{content}</div>", f'<div class="{plain}"><div>{content}</div></div>', f"<section>{content}</section>",
+            f'<table width=100%><tr><td class={plain}>{content}</td></tr></table>', f'<center><font size=2>{content}</font></center>', f'<div id={plain} data-x=it\'s>{content}</div>',
+        ])
+
     pages = []
     for _ in range(count):
         title = phrase(1, 10)
@@ -324,7 +383,7 @@ def labelled_pages(count: int, seed: int) -> list[str]:
                 inner.append(noise(True))
         wrap = rng.random()
         content = "".join(inner)
-        parts.append(f"<article>{content}</article>" if wrap < 0.5 else f"<main>{content}</main>" if wrap < 0.62 else named("div", "main", content, 1) if wrap < 0.85 else f"<main><article>{content}</article></main>")
+        parts.append(layout(content) if rng.random() < 0.3 else f"<article>{content}</article>" if wrap < 0.5 else f"<main>{content}</main>" if wrap < 0.62 else named("div", "main", content, 1) if wrap < 0.85 else f"<main><article>{content}</article></main>")
         parts += [noise(False) for _ in range(rng.randint(0, 3))]
         if rng.random() < 0.9:
             text = rng.choice([f"&copy; {word()}.example &middot; {prose()}", f"<p>{phrase(2, 8)}.</p><ul>{links(3)}</ul>", prose(), f"<p>{prose()}</p>"])
