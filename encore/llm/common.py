@@ -17,9 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def utf8(column: pa.Array) -> list[bytes | None]:
-    """The column's values as UTF-8 bytes; None stays None."""
-    return column.cast(pa.large_binary()).to_pylist()
+def utf8(column: pa.Array, rows: int = 256) -> Iterator[bytes | None]:
+    """The column's values as UTF-8 bytes; None stays None. Only some rows at a time are copied."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).cast(pa.large_binary()).to_pylist()
 
 
 def per_value(fn: Callable[[], Callable], returns: str, kind: pa.DataType):

@@ -133,11 +133,12 @@ def shingle_table(texts: list[bytes | None], words: int = WORDS) -> tuple[np.nda
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[int, int, list[bytes | None]]]:
-    """The texts in groups of about `PIECE` bytes, a longer text alone: (first, past the last, texts)."""
+    """The texts in groups of about `PIECE` bytes and at most 1000, a longer text alone: (first, past
+    the last, texts)."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     at = 0
     while at < len(column):
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, side="right")))
+        stop = max(at + 1, min(at + 1000, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, side="right"))))
         yield at, stop, column.slice(at, stop - at).to_pylist()
         at = stop
 
@@ -347,7 +348,7 @@ def _leaders(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     among the list's leaders, which are those without such a one."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, marks in _by_list(batches, 1 << 17):
+        for rows, marks in _by_list(batches, 1 << 14):
             rest = np.arange(len(rows))
             while len(rest) > 1:
                 first = np.ones(len(rest), bool)

@@ -29,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from encore.llm.common import per_value
+from encore.llm.common import per_value, utf8
 from encore.staging import stage
 
 MAX_ROWS = 12_000
 MAX_FEATURES = 4_096
+#: Features that a task counts before it passes the counts on.
+MAX_COUNTED = 200_000
 SIZES = (4, 5, 6, 7, 8)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -92,7 +94,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str,
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = []
-            for body in batch.column("t").to_pylist():
+            for body in utf8(batch.column("t")):
                 w = body.lower().split() if body else []
                 keys.append(min(map(crc32, map(b" ".join, zip(w, w[1:], w[2:], strict=False))), default=-crc32(body or b"")))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], ["id", "y", "t", "key"])
@@ -106,16 +108,24 @@ def enriched_features(sample: DataFrame, max_features: int, ratio: float = 10.0,
     """The features that mark toxic documents, best first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        toxic: Counter = Counter()
+        clean: Counter = Counter()
+
+        def counted() -> pa.RecordBatch:
+            names = list(toxic.keys() | clean.keys())
+            out = pa.RecordBatch.from_pydict({"feature": pa.array(names, pa.string()), "toxic": pa.array([toxic[x] for x in names], pa.int64()), "clean": pa.array([clean[x] for x in names], pa.int64())})
+            toxic.clear(), clean.clear()
+            return out
+
         for batch in batches:
-            toxic: Counter = Counter()
-            clean: Counter = Counter()
-            for y, body in zip(batch.column("y").to_pylist(), batch.column("t").to_pylist(), strict=True):
+            for y, body in zip(batch.column("y").to_pylist(), utf8(batch.column("t")), strict=True):
                 own: set[str] = set()
                 for w in set(words_of(body)):
                     own |= word_features(w)
                 (toxic if y > 0 else clean).update(own)
-            names = list(toxic.keys() | clean.keys())
-            yield pa.RecordBatch.from_pydict({"feature": pa.array(names, pa.string()), "toxic": pa.array([toxic[x] for x in names], pa.int64()), "clean": pa.array([clean[x] for x in names], pa.int64())})
+                if len(toxic) + len(clean) > MAX_COUNTED:
+                    yield counted()
+        yield counted()
 
     sizes = sample.agg(F.count_if(F.col("y") > 0), F.count_if(F.col("y") <= 0)).first()
     if not all(sizes):
@@ -172,7 +182,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
         counter = FeatureCounter(features)
         for batch in batches:
             out = []
-            for i, y, body in zip(*(batch.column(c).to_pylist() for c in ("id", "y", "t")), strict=True):
+            for i, y, body in zip(batch.column("id").to_pylist(), batch.column("y").to_pylist(), utf8(batch.column("t")), strict=True):
                 words = words_of(body)
                 counts, marked = counter(words)
                 out.append((i, int(y), marked, sorted(counts), [counts[k] for k in sorted(counts)]))
