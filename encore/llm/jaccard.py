@@ -51,6 +51,8 @@ CELLS = 1 << 20
 #: pairs of such sets are compared by before the sets themselves are.
 SKETCH, SECOND, WIDE = 1024, 4096, 8192
 LARGE = 512
+#: Pairs (16 MB of ends) up to which the ends are sent to all tasks.
+FEW = 1_000_000
 MOST_MATCHES = 12
 PIECE = 1 << 19
 #: Lists of more entries than this are dealt out in blocks.
@@ -370,10 +372,11 @@ def _cells(lists: DataFrame, labels: DataFrame | None, nodes: DataFrame) -> Data
     What is in a list's largest component goes to p blocks, what is outside it to q blocks, by
     hash. A block of the first kind meets each of the second (rows with `one` meet those without);
     so do two blocks of the second kind; one of the second kind meets itself where `within` is set.
-    So a row of the first kind goes to q cells, and lists of usual length are one cell."""
-    entries = _placed(lists.select("tok", "a", "b", "n", "l", "w"), labels)
-    sizes = entries.groupBy("tok", "ca", "cb").agg(F.count("*").alias("k"))
-    top = sizes.groupBy("tok").agg(F.sum("k").alias("all"), F.max(F.struct("k", "ca", "cb")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+    So a row of the first kind goes to q cells, and lists of usual length are one cell. A whole list
+    of two is left out: its pair has met as leader and follower, and is refuted or verified."""
+    entries = _placed(lists, labels)
+    sizes = entries.groupBy("tok", "ca", "cb").agg(F.count("*").alias("k"), F.max("part").alias("part"))
+    top = sizes.groupBy("tok").agg(F.sum("k").alias("all"), F.max(F.struct("k", "ca", "cb")).alias("m"), F.count("*").alias("parts"), F.max("part").alias("part")).filter("parts > 1 and (all > 2 or part > 0)")
     blocks = top.select("tok", F.col("m.ca").alias("da"), F.col("m.cb").alias("db"), F.ceil(F.col("m.k") / BLOCK).alias("p"), F.ceil((F.col("all") - F.col("m.k")) / BLOCK).alias("q"))
     dealt = entries.join(blocks, "tok").withColumns({"one": (F.col("ca") == F.col("da")) & (F.col("cb") == F.col("db")), "o": F.pmod(F.xxhash64("b"), F.col("q"))})
     cell = "named_struct('cell', {}, 'one', {}, 'within', {})"
@@ -518,17 +521,22 @@ def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b, ha, hb) whose sets link; a set that comes twice gives its pairs twice.
 
-    Large sets are fetched only for pairs that their wide sketches leave."""
+    Large sets are fetched only for pairs that their wide sketches leave; where those pairs are few,
+    their ends go to all tasks, so that no other set is shuffled."""
 
-    def met(pairs: DataFrame, *columns: str) -> DataFrame:
+    def met(pairs: DataFrame, *columns: str, few: bool = False) -> DataFrame:
         one = sets.select("a", "b", *columns).withColumnsRenamed({columns[-1]: "x", "n": "nx"})
         two = sets.select("a", "b", *columns).withColumnsRenamed({"a": "ha", "b": "hb", columns[-1]: "y", "n": "ny"})
+        if few:
+            one = one.join(F.broadcast(pairs.select("a", "b").distinct()), ["a", "b"], "left_semi")
+            two = two.join(F.broadcast(pairs.select("ha", "hb").distinct()), ["ha", "hb"], "left_semi")
         return pairs.join(one, ["a", "b"]).join(two, ["ha", "hb"])
 
     differ = F.aggregate(F.zip_with("x", "y", lambda p, q: F.coalesce(F.bit_count(p.bitwiseXOR(q)), F.lit(0))), F.lit(0), lambda s, k: s + k)
     total = F.col("nx") + F.col("ny")
     near = met(pairs, "n", "wide").filter(differ <= total - 2 * F.ceil(total * PERCENT / (100 + PERCENT))).select("a", "b", "ha", "hb").distinct()
-    both = met(near, "toks")
+    near = stage(near, "near")
+    both = met(near, "toks", few=near.count() <= FEW)
     shared = F.size(F.array_intersect("x", "y"))
     return both.withColumn("i", shared).filter(F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * PERCENT).select("a", "b", "ha", "hb")
 
