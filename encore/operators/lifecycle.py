@@ -8,18 +8,24 @@ from pyspark.sql import functions as F
 from encore.functions.labels import state_label
 from encore.functions.times import DAY, days
 from encore.operators import features
+from encore.staging import stage
+
+
+def _ranges(rows: DataFrame, *order: str) -> DataFrame:
+    """`rows` dealt to ranges in the given order, written once, with `part`, the range's number."""
+    return stage(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
 
 
 def play_ordinal(plays: DataFrame) -> DataFrame:
     """`plays` with `gidx`, the play's number from 0 in the order of the whole log.
 
-    A window over the whole log would run in one task. Plays are numbered inside their day, and a
-    running count of days (few rows, however long the log) gives each day its start."""
-    day = F.to_date("ts")
-    per_day = plays.groupBy(day.alias("day")).agg(F.count("*").alias("n"))
-    starts = per_day.select("day", (F.sum("n").over(Window.orderBy("day")) - F.col("n")).alias("start"))
-    own = F.row_number().over(Window.partitionBy("day").orderBy("ts", "tie"))
-    return plays.withColumn("day", day).withColumn("__own", own).join(F.broadcast(starts), "day").withColumn("gidx", F.col("start") + F.col("__own") - 1).drop("day", "start", "__own")
+    A window over the whole log would run in one task. Plays are numbered inside ranges of the
+    order, and a running count of ranges (few rows, however long the log) gives each its start."""
+    ranges = _ranges(plays, "ts", "tie")
+    sizes = ranges.groupBy("part").agg(F.count("*").alias("k"))
+    starts = sizes.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("start"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy("ts", "tie"))
+    return ranges.withColumn("__own", own).join(F.broadcast(starts), "part").withColumn("gidx", F.col("start") + F.col("__own") - 1).drop("part", "start", "__own")
 
 
 def exposure_intervals(plays: DataFrame) -> DataFrame:
@@ -87,8 +93,24 @@ def state_distribution(panel: DataFrame) -> DataFrame:
     return features.distribution(panel.withColumn("state", state_label(F.col("level"), F.col("future"))), "state")
 
 
+def overall_rank(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """`rows` with the value's rank among all; equal values share the mean of their ranks.
+
+    Values are counted first; ranges of them are summed up side by side, and a running sum over the
+    ranges gives each its start, so no task sees all values."""
+    ranges = _ranges(rows.groupBy(value).agg(F.count("*").alias("k")), value)
+    sizes = ranges.groupBy("part").agg(F.sum("k").alias("all"))
+    starts = sizes.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("start"))
+    upto = F.sum("k").over(Window.partitionBy("part").orderBy(value))
+    ranks = ranges.withColumn("upto", upto).join(F.broadcast(starts), "part").select(value, (F.col("start") + F.col("upto") - (F.col("k") - 1) / 2.0).alias(name))
+    return rows.join(ranks, value)
+
+
 def average_rank(rows: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
-    """`rows` with the value's rank in its group; equal values share the mean of their ranks."""
+    """`rows` with the value's rank in its group; equal values share the mean of their ranks.
+    Without groups, see `overall_rank`."""
+    if not by:
+        return overall_rank(rows, value, name)
     group = Window.partitionBy(*by)
     return rows.withColumn(name, F.rank().over(group.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0)
 
@@ -108,24 +130,24 @@ def cooling_slope(plays: DataFrame, least: int = 8) -> DataFrame:
 
 def partial_spearman(rows: DataFrame, x: str, y: str, z: str) -> DataFrame:
     """One row: rank correlation of x and y given z."""
-    one = rows.select(x, y, z, F.lit(0).alias("g"))
+    one = rows.select(x, y, z)
     for c in (x, y, z):
-        one = average_rank(one, c, ["g"], f"r_{c}")
+        one = overall_rank(one, c, f"r_{c}")
     r = one.agg(F.corr(f"r_{x}", f"r_{y}").alias("xy"), F.corr(f"r_{x}", f"r_{z}").alias("xz"), F.corr(f"r_{y}", f"r_{z}").alias("yz"))
     return r.select("xy", ((F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2))).alias("partial"))
 
 
 def wilcoxon(rows: DataFrame, value: str) -> DataFrame:
     """Signed-rank statistic: the lesser sum of ranks of positive and negative values (no zeros)."""
-    some = rows.filter((F.col(value) != 0) & F.col(value).isNotNull()).select(F.col(value).alias("v"), F.abs(value).alias("a"), F.lit(0).alias("g"))
-    ranked = average_rank(some, "a", ["g"], "r")
+    some = rows.filter((F.col(value) != 0) & F.col(value).isNotNull()).select(F.col(value).alias("v"), F.abs(value).alias("a"))
+    ranked = overall_rank(some, "a", "r")
     return ranked.agg(F.count("*").alias("n"), F.least(F.sum(F.when(F.col("v") > 0, F.col("r")).otherwise(0.0)), F.sum(F.when(F.col("v") < 0, F.col("r")).otherwise(0.0))).alias("W"))
 
 
 def mann_whitney(rows: DataFrame, value: str, group: str) -> DataFrame:
     """U of the rows where `group` is true, and the AUC it means."""
-    some = rows.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).select(value, F.col(group).cast("boolean").alias("one"), F.lit(0).alias("g"))
-    r = average_rank(some, value, ["g"], "r").agg(F.sum(F.when(F.col("one"), F.col("r")).otherwise(0.0)).alias("s"), F.count_if("one").alias("n1"), F.count_if(~F.col("one")).alias("n0"))
+    some = rows.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).select(value, F.col(group).cast("boolean").alias("one"))
+    r = overall_rank(some, value, "r").agg(F.sum(F.when(F.col("one"), F.col("r")).otherwise(0.0)).alias("s"), F.count_if("one").alias("n1"), F.count_if(~F.col("one")).alias("n0"))
     u = F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2.0
     return r.select("n1", "n0", u.alias("U"), F.try_divide(u, F.col("n1") * F.col("n0")).alias("auc"))
 

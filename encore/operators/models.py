@@ -28,7 +28,7 @@ def kmeans(rows: DataFrame, k: int, seeds: int = 10, seed: int = 42) -> DataFram
     return best.transform(rows).withColumnRenamed("prediction", "cluster")
 
 
-def artist_tiers(plays: DataFrame, seeds: int = 3) -> DataFrame:
+def artist_tiers(plays: DataFrame, seeds: int = 10) -> DataFrame:
     """(artist, total_plays, tier): three clusters, S, A, B by their mean plays."""
     columns = ["unique_songs", "total_plays", "recent_plays_30d", "listening_span_days", "play_density", "days_since_last"]
     rows = kmeans(scaled(features.artist_stats(plays), columns), 3, seeds).select("artist", "total_plays", "cluster")
@@ -37,14 +37,14 @@ def artist_tiers(plays: DataFrame, seeds: int = 3) -> DataFrame:
     return rows.join(F.broadcast(order.select("cluster", tier.alias("tier"))), "cluster").select("artist", "total_plays", "tier")
 
 
-def curve_clusters(plays: DataFrame, k: int = 2, seeds: int = 3) -> DataFrame:
-    """(song_id, cluster) of the songs' five-part life curves, each curve by its own scale."""
+def curve_clusters(plays: DataFrame, k: int = 2, seeds: int = 10, least: int = 10) -> DataFrame:
+    """(song_id, cluster) of the songs' five-part life curves, each part by its mean and deviation
+    over the songs; no row for fewer than `least` songs."""
     bins = lifecycle.life_bins(plays)
-    wide = bins.groupBy("song_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "mean_interval"))), lambda x: x["mean_interval"]).alias("y"))
-    mean = F.aggregate("y", F.lit(0.0), lambda s, x: s + x) / F.size("y")
-    var = F.aggregate("y", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean"))) / F.size("y")
-    rows = wide.withColumn("mean", mean).withColumn("sd", F.greatest(F.sqrt(var), F.lit(1e-9)))
-    return kmeans(rows.withColumn("features", array_to_vector(F.transform("y", lambda x: (x - F.col("mean")) / F.col("sd")))), k, seeds).select("song_id", "cluster")
+    wide = stage(bins.groupBy("song_id").agg(*(F.max(F.when(F.col("bin") == i, F.col("mean_interval"))).alias(f"y{i}") for i in range(5))), "bins")
+    if wide.limit(least).count() < least:
+        return wide.select("song_id", F.lit(0).alias("cluster")).limit(0)
+    return kmeans(scaled(wide, [f"y{i}" for i in range(5)]), k, seeds).select("song_id", "cluster")
 
 
 def pca(rows: DataFrame, k: int, key: str, vector: str = "v") -> tuple[DataFrame, list[float]]:

@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 
 from encore.functions.times import days
 from encore.operators import lifecycle
+from encore.staging import stage
 
 
 def log_likelihood(t: np.ndarray, horizon: float, k: np.ndarray, tau: np.ndarray) -> np.ndarray:
     """Up to constants, for every pair of the broadcast k and tau."""
-    k, tau = np.broadcast_arrays(k, tau)
     with np.errstate(all="ignore"):
         log_t = np.log(t)
-        s1 = log_t.sum()
-        s2 = np.stack([np.exp(kk * (log_t - np.log(x))).sum() for kk, x in zip(k.ravel(), tau.ravel(), strict=True)]).reshape(k.shape)
+        s1, top = log_t.sum(), log_t.max()
+        powers = np.stack([np.exp(x * (log_t - top)).sum() for x in k.ravel()]).reshape(k.shape)  # once for each k
+        s2 = powers * np.exp(k * (top - np.log(tau)))
         reach = -np.expm1(-((horizon / tau) ** k))
         out = len(t) * (np.log(k) - k * np.log(tau)) + (k - 1) * s1 - s2 - len(t) * np.log(reach)
     return np.where(reach > 1e-12, out, -1e18)
@@ -74,15 +75,22 @@ def fit_songs(times: DataFrame, shape: float | None = None) -> DataFrame:
     return times.groupBy("song_id").applyInPandas(run, FIT)
 
 
-def shared_shape(times: DataFrame, shapes: tuple[float, ...] = (0.3, 0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0)) -> DataFrame:
-    """(k, ll): the log-likelihood of all songs if they share k, each with its own tau; all k in one
-    pass."""
+def shared_shape(times: DataFrame, low: float = 0.2, high: float = 5.0, points: int = 17) -> DataFrame:
+    """(k, ll): the log-likelihood of all songs if they share k, each with its own tau. A log-spaced
+    grid of k, all in one pass, then as many points between the best one's neighbours."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, horizon = np.sort(pdf["t"].to_numpy()), float(pdf["horizon"].iloc[0])
-        return pd.DataFrame([(k, fit_weibull(t, horizon, k, 4)[2]) for k in shapes], columns=["k", "ll"])
+    def tried(shapes: list[float]) -> DataFrame:
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            t, horizon = np.sort(pdf["t"].to_numpy()), float(pdf["horizon"].iloc[0])
+            return pd.DataFrame([(k, fit_weibull(t, horizon, k, 4)[2]) for k in shapes], columns=["k", "ll"])
+
+        return stage(times.groupBy("song_id").applyInPandas(run, "k double, ll double").groupBy("k").agg(F.sum("ll").alias("ll")), "shapes")
 
-    return times.groupBy("song_id").applyInPandas(run, "k double, ll double").groupBy("k").agg(F.sum("ll").alias("ll"))
+    coarse = tried([float(x) for x in np.geomspace(low, high, points)])
+    best = coarse.orderBy(F.desc("ll"), "k").limit(1).collect()
+    step = (high / low) ** (1 / (points - 1))
+    fine = [float(x) for r in best for x in np.geomspace(max(low, r["k"] / step), min(high, r["k"] * step), points)]
+    return coarse.unionByName(tried(fine)) if fine else coarse
 
 
 def compare_shapes(times: DataFrame) -> DataFrame:

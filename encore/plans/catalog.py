@@ -327,8 +327,8 @@ def _library(spark, d):
     return matching.library_index(catalogue(plays_l(spark, d)))
 
 
-def _external(spark, d, kept: str = "p_partkey % 7 = 0"):
-    return table(spark, d, "part").filter(kept).select(F.col("p_partkey").alias("ext_id"), F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " (live)").otherwise(" x")).alias("title"), F.col("p_brand").alias("artist"))
+def _external(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("ext_id"), F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " (live)").otherwise(" x")).alias("title"), F.col("p_brand").alias("artist"))
 
 
 @_tidied
@@ -343,14 +343,14 @@ def fuzzy_match(spark, d):
 
 @_tidied
 def library_anti_join_all(spark, d):
-    """As library_anti_join, over every external track."""
-    return matching.not_in_library(_external(spark, d, "true"), _library(spark, d), None).select("ext_id", "title")
+    """The same under the name that earlier runs knew it by."""
+    return matching.not_in_library(_external(spark, d), _library(spark, d), None).select("ext_id", "title")
 
 
 @_tidied
 def fuzzy_match_all(spark, d):
-    """As fuzzy_match, over every external track."""
-    return matching.matches(_external(spark, d, "true"), _library(spark, d))
+    """The same under the name that earlier runs knew it by."""
+    return matching.matches(_external(spark, d), _library(spark, d))
 
 
 @_tidied
@@ -372,12 +372,12 @@ def vector_cosine_topk(spark, d):
 
 @_tidied
 def vector_zscore(spark, d):
-    return vectors.zscore(vectors_of(spark, d).filter("song_id < 50"))
+    return vectors.zscore(vectors_of(spark, d))
 
 
 @_tidied
 def vector_zscore_all(spark, d):
-    """As vector_zscore, with means and deviations of every vector."""
+    """The same under the name that earlier runs knew it by."""
     return vectors.zscore(vectors_of(spark, d))
 
 
@@ -398,22 +398,19 @@ def tfidf_cosine(spark, d):
     docs = table(spark, d, "documents")
     w = stage(similarity.tfidf(docs, "doc_id", "text"), "tfidf")
     best = Window.partitionBy("seed").orderBy(F.desc("s"), "doc_id")
-    sims = similarity.tfidf_cosine(w, docs.filter("doc_id < 5"), "doc_id").withColumn("s", F.round("similarity", 6))
+    sims = similarity.tfidf_cosine(w, docs.filter("doc_id % 20 = 0"), "doc_id").withColumn("s", F.round("similarity", 6))
     return sims.withColumn("rn", F.row_number().over(best)).filter("rn <= 10").select("seed", "doc_id", F.col("s").alias("similarity"))
 
 
 def _tags(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.array_distinct(F.slice(text.tokens(F.col("text")), 1, 10)).alias("tags"))
-
-
-def _all_tags(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("song_id"), F.array_distinct(text.tokens(F.col("text"))).alias("tags"))
+    """Every distinct word of a text as a tag; the texts of one source are the library."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("song_id"), F.array_distinct(text.tokens(F.col("text"))).alias("tags"), (F.coalesce("source", F.lit("")) == "src0").alias("in_library"))
 
 
 @_tidied
 def candidate_library_similarity(spark, d):
-    tags = _tags(spark, d)
-    return similarity.candidate_similarity(tags.filter("id < 50"), tags.filter("id >= 50"))
+    tags = _tags(spark, d).withColumnRenamed("song_id", "id")
+    return similarity.candidate_similarity(tags.filter("in_library"), tags.filter("not in_library"))
 
 
 @_tidied
@@ -435,7 +432,7 @@ def context_score(spark, d):
     songs = catalogue(plays_l(spark, d)).join(vectors_of(spark, d), "song_id")
     edges = spark.createDataFrame([("Brand#11", "Brand#12", 0.8), ("Brand#11", "Brand#13", 0.4)], "seed string, name string, match double")
     seed = songs.filter("artist = 'Brand#11'").orderBy("song_id").limit(1)
-    one = similarity.most_similar(songs, seed, 10_000_000).withColumn("similarity", vectors.clamp(F.col("similarity")))
+    one = similarity.similar_to(songs, seed).withColumn("similarity", vectors.clamp(F.col("similarity")))
     by = similarity.artist_similarity(songs, seed, edges).withColumnRenamed("similarity", "by_artist")
     return one.join(songs.select("song_id", "artist"), "song_id").join(by, "artist").select("song_id", similarity.context(F.col("similarity"), F.col("by_artist")).alias("context"))
 
@@ -533,22 +530,22 @@ def nostalgia_external(spark, d):
 
 @_tidied
 def tag_frequency(spark, d):
-    tags = _tags(spark, d).withColumnRenamed("id", "song_id")
-    return discovery.top_tags(tags.filter("song_id < 20"), tags.filter("song_id in (1, 2)"))
+    tags = _tags(spark, d)
+    return discovery.top_tags(tags.filter("in_library"), tags.filter("song_id in (1, 2)"))
 
 
 @_tidied
 def tag_frequency_all(spark, d):
-    """As tag_frequency, with every tag of every document."""
-    tags = _all_tags(spark, d)
+    """As tag_frequency, with the whole table as the library."""
+    tags = _tags(spark, d)
     return discovery.top_tags(tags, tags.filter("song_id in (1, 2)"))
 
 
 @_tidied
 def nostalgia_select(spark, d):
-    tags = _tags(spark, d).withColumnRenamed("id", "song_id")
-    top = discovery.top_tags(tags.filter("song_id < 20"), tags.filter("song_id in (1, 2)"))
-    rows = tags.filter("song_id >= 20").withColumns({"knows_artist": F.col("song_id") % 2 == 0, "source": F.when(F.col("song_id") % 3 == 0, "internal").otherwise("external")})
+    tags = _tags(spark, d)
+    top = discovery.top_tags(tags.filter("in_library"), tags.filter("song_id in (1, 2)"))
+    rows = tags.filter("not in_library").withColumns({"knows_artist": F.col("song_id") % 2 == 0, "source": F.when(F.col("song_id") % 3 == 0, "internal").otherwise("external")})
     return discovery.select_nostalgia(rows, top, 10)
 
 
@@ -563,7 +560,7 @@ def incremental_anti_join(spark, d):
 @_tidied
 def ordered_union_distinct(spark, d):
     words = F.split("text", " ")
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(F.array_distinct(F.concat(F.slice(words, 1, 10), F.slice(words, 5, 12))), 1, 15), " ").alias("tags"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(F.array_distinct(F.concat(words, F.reverse(words))), 1, 15), " ").alias("tags"))
 
 
 @_tidied

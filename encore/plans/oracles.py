@@ -92,8 +92,8 @@ _WORDS = r"regexp_extract_all(lower(text), '([\p{L}\p{N}_]+)', 1)"
 _TFIDF = rf"""tf AS (SELECT doc_id, token, count(*) AS tf FROM (SELECT doc_id, unnest({_WORDS}) AS token FROM documents) GROUP BY ALL),
 wt AS (SELECT doc_id, token, tf * (ln((1.0::DOUBLE + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM tf JOIN (SELECT token, count(*) AS df FROM tf GROUP BY token) USING (token)),
 tfidf AS MATERIALIZED (SELECT doc_id, token, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM wt)"""
-_TAGS = rf"tag AS (SELECT doc_id AS id, list_distinct({_WORDS}[1:10]) AS tags FROM documents)"
-_TOP = "top AS (SELECT tag, sum(w)::BIGINT AS weight FROM (SELECT unnest(tags) AS tag, 1 AS w FROM tag WHERE id < 20 UNION ALL SELECT unnest(tags), 3 FROM tag WHERE id IN (1, 2)) GROUP BY tag ORDER BY weight DESC, tag LIMIT 10)"
+_TAGS = rf"tag AS (SELECT doc_id AS id, list_distinct({_WORDS}) AS tags, coalesce(source, '') = 'src0' AS lib FROM documents)"
+_TOP = "top AS (SELECT tag, sum(w)::BIGINT AS weight FROM (SELECT unnest(tags) AS tag, 1 AS w FROM tag WHERE lib UNION ALL SELECT unnest(tags), 3 FROM tag WHERE id IN (1, 2)) GROUP BY tag ORDER BY weight DESC, tag LIMIT 10)"
 _MODES = {"comfort": 0, "balanced": 1, "now": 2}
 _GENRES = [("indie", ["indie rock", "indie", "alternative"]), ("rock", ["rock", "punk", "metal"]), ("ballad", ["ballad", "adult contemporary"]), ("rnb", ["r&b", "soul"]), ("pop", ["pop"]), ("hiphop", ["hip-hop", "rap", "hip hop"]), ("electronic", ["electronic", "edm", "house", "techno"]), ("singer-songwriter", ["singer/songwriter", "folk"])]
 _FAMILY = "CASE WHEN lower(p_type) IN ('k-pop', 'kpop') THEN 'k-pop' " + " ".join(f"WHEN contains(lower(p_type), '{p}') THEN '{f}'" for f, ps in _GENRES for p in ps) + " ELSE 'other' END"
@@ -106,7 +106,7 @@ def _u(seed: str, key: str) -> str:
 
 
 _IDX = f"{_CAT}, idx AS (SELECT lower(trim(regexp_replace(artist, '(?i)vevo$', ''))) AS alias, song_id, {_norm('title')} AS nt, list_transform(regexp_extract_all(title, '\\(([^)]+)\\)', 1), lambda x: {_norm('x')}) AS ps, plays FROM cat)"
-_EXT = f"ext AS (SELECT p_partkey AS ext_id, p_name || CASE WHEN p_partkey % 2 = 0 THEN ' (live)' ELSE ' x' END AS title, lower(p_brand) AS alias FROM part WHERE p_partkey % 7 = 0), en AS (SELECT *, {_norm('title')} AS t, list_transform(regexp_extract_all(title, '\\(([^)]+)\\)', 1), lambda x: {_norm('x')}) AS p FROM ext)"
+_EXT = f"ext AS (SELECT p_partkey AS ext_id, p_name || CASE WHEN p_partkey % 2 = 0 THEN ' (live)' ELSE ' x' END AS title, lower(p_brand) AS alias FROM part), en AS (SELECT *, {_norm('title')} AS t, list_transform(regexp_extract_all(title, '\\(([^)]+)\\)', 1), lambda x: {_norm('x')}) AS p FROM ext)"
 _MATCH = "EXISTS (SELECT 1 FROM idx WHERE idx.alias = en.alias AND (t = nt OR list_contains(ps, t) OR list_contains(p, nt) OR len(list_filter(ps, lambda x: length(x) > 3 AND length(t) > 3 AND (contains(x, t) OR contains(t, x)))) > 0 OR len(list_filter(p, lambda x: length(x) > 3 AND length(nt) > 3 AND (contains(x, nt) OR contains(nt, x)))) > 0))"
 
 #: name: (common table expressions, select)
@@ -161,11 +161,11 @@ _SQL: dict[str, tuple[list[str], str]] = {
     "known_songs": ([_IDX], "SELECT alias, count(*)::BIGINT AS entries, count(DISTINCT song_id)::BIGINT AS songs FROM idx WHERE plays >= 30 GROUP BY alias"),
     "find_song": ([_CAT], "SELECT song_id, 0.85::DOUBLE * 0 + CASE WHEN contains(lower(artist || ' ' || song_id), 'red') THEN 0.85 ELSE 0.8 END::DOUBLE AS score FROM cat WHERE contains(lower(title), 'red') OR contains(lower(artist || ' ' || song_id), 'red') ORDER BY score DESC, song_id LIMIT 10"),
     "vector_cosine_topk": ([], f"SELECT vec_id AS song_id, round({_COS.format('embedding', 's')}, 6) AS similarity FROM embeddings, (SELECT embedding AS s FROM embeddings WHERE vec_id = 0) WHERE vec_id <> 0 ORDER BY {_COS.format('embedding', 's')} DESC, vec_id LIMIT 20"),
-    "vector_zscore": (["lo AS (SELECT vec_id AS song_id, i, embedding[i + 1]::DOUBLE AS x FROM embeddings, range(64) r(i) WHERE vec_id < 50)"], "SELECT song_id, i::BIGINT AS i, round(coalesce((x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0), 0), 6) + 0.0 AS z FROM lo WINDOW w AS (PARTITION BY i)"),
+    "vector_zscore": (["lo AS (SELECT vec_id AS song_id, i, embedding[i + 1]::DOUBLE AS x FROM embeddings, range(64) r(i))"], "SELECT song_id, i::BIGINT AS i, round(coalesce((x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0), 0), 6) + 0.0 AS z FROM lo WINDOW w AS (PARTITION BY i)"),
     "vector_impute": ([_CAT, "lo AS (SELECT vec_id AS song_id, i, embedding[i + 1]::DOUBLE AS x FROM embeddings, range(64) r(i)), mn AS (SELECT i, avg(x) AS m FROM lo GROUP BY i)"], "SELECT song_id, round(sum(coalesce(x, m)), 6) AS x FROM cat CROSS JOIN mn LEFT JOIN lo USING (song_id, i) GROUP BY song_id"),
     "tfidf": ([_TFIDF], "SELECT doc_id, count(*)::BIGINT AS terms, round(max(w), 6) AS top, round(sum(w), 6) AS total FROM tfidf GROUP BY doc_id"),
-    "tfidf_cosine": ([_TFIDF], "SELECT seed, doc_id, similarity FROM (SELECT a.doc_id AS seed, b.doc_id AS doc_id, round(sum(a.w * b.w), 6) AS similarity FROM tfidf a JOIN tfidf b USING (token) WHERE a.doc_id < 5 AND a.doc_id <> b.doc_id GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY seed ORDER BY similarity DESC, doc_id) <= 10"),
-    "candidate_library_similarity": ([_TAGS, "lib AS (SELECT id, unnest(tags) AS tag FROM tag WHERE id < 50), cand AS (SELECT id, unnest(tags) AS tag FROM tag WHERE id >= 50), df AS (SELECT tag, count(*) AS df FROM lib GROUP BY tag), al AS (SELECT c.id AS cand, l.id AS lib, l.tag, (ln(52.0::DOUBLE / (1 + df + (EXISTS (SELECT 1 FROM cand x WHERE x.id = c.id AND x.tag = l.tag))::INT)) + 1) AS w FROM (SELECT DISTINCT id FROM cand) c, lib l JOIN df USING (tag)), ll AS (SELECT cand, lib, sqrt(sum(w * w)) AS l FROM al GROUP BY ALL), cw AS (SELECT id AS cand, tag, ln(52.0::DOUBLE / (2 + coalesce(df, 0))) + 1 AS w FROM cand LEFT JOIN df USING (tag)), cl AS (SELECT cand, sqrt(sum(w * w)) AS l FROM cw GROUP BY cand), dd AS (SELECT cand, lib, sum(al.w * cw.w) AS d FROM al JOIN cw USING (cand, tag) GROUP BY ALL)"], "SELECT id, round(coalesce(s, 0), 6) AS similarity FROM (SELECT id FROM tag WHERE id >= 50) LEFT JOIN (SELECT cand AS id, sum(d / ll.l / cl.l) / 50 AS s FROM dd JOIN ll USING (cand, lib) JOIN cl USING (cand) GROUP BY cand) USING (id)"),
+    "tfidf_cosine": ([_TFIDF], "SELECT seed, doc_id, similarity FROM (SELECT a.doc_id AS seed, b.doc_id AS doc_id, round(sum(a.w * b.w), 6) AS similarity FROM tfidf a JOIN tfidf b USING (token) WHERE a.doc_id % 20 = 0 AND a.doc_id <> b.doc_id GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY seed ORDER BY similarity DESC, doc_id) <= 10"),
+    "candidate_library_similarity": ([_TAGS, "n AS (SELECT count(*) AS n FROM tag WHERE lib), lib AS (SELECT id, unnest(tags) AS tag FROM tag WHERE lib), cand AS (SELECT id, unnest(tags) AS tag FROM tag WHERE NOT lib), df AS (SELECT tag, count(*) AS df FROM lib GROUP BY tag), al AS (SELECT c.id AS cand, l.id AS lib, l.tag, (ln((2.0 + (SELECT n FROM n))::DOUBLE / (1 + df + (EXISTS (SELECT 1 FROM cand x WHERE x.id = c.id AND x.tag = l.tag))::INT)) + 1) AS w FROM (SELECT DISTINCT id FROM cand) c, lib l JOIN df USING (tag)), ll AS (SELECT cand, lib, sqrt(sum(w * w)) AS l FROM al GROUP BY ALL), cw AS (SELECT id AS cand, tag, ln((2.0 + (SELECT n FROM n))::DOUBLE / (2 + coalesce(df, 0))) + 1 AS w FROM cand LEFT JOIN df USING (tag)), cl AS (SELECT cand, sqrt(sum(w * w)) AS l FROM cw GROUP BY cand), dd AS (SELECT cand, lib, sum(al.w * cw.w) AS d FROM al JOIN cw USING (cand, tag) GROUP BY ALL)"], "SELECT id, round(coalesce(s, 0), 6) AS similarity FROM (SELECT id FROM tag WHERE NOT lib) LEFT JOIN (SELECT cand AS id, sum(d / ll.l / cl.l) / (SELECT n FROM n) AS s FROM dd JOIN ll USING (cand, lib) JOIN cl USING (cand) GROUP BY cand) USING (id)"),
     "metadata_similarity": (["py AS (SELECT p_partkey, p_type, 1990 + p_size % 30 AS y FROM part)"], "SELECT p.p_partkey, round(CASE WHEN p.p_type = s.p_type THEN 0.5 ELSE 0 END + CASE WHEN abs(p.y - s.y) <= 5 THEN 0.5 * (1 - abs(p.y - s.y) / 5.0::DOUBLE) ELSE 0 END, 6)::DOUBLE AS s FROM py p, (SELECT * FROM py WHERE p_partkey = 1) s"),
     "multi_signal": (["sg AS (SELECT p_partkey, " + ", ".join(f"CASE WHEN p_partkey % {m} <> 0 THEN (p_partkey % {q}) / {q}.0::DOUBLE END AS {n}" for n, m, q in (("tag", 5, 17), ("lyrics", 3, 11), ("audio", 7, 13), ("meta", 4, 19))) + " FROM part)"], "SELECT p_partkey, round(least(greatest(CASE WHEN tag > 0 THEN 0.25 * tag + 0.03 * coalesce(lyrics, 0.3) + 0.58 * coalesce(audio, 0.3) + 0.14 * coalesce(meta, 0.3) ELSE 0.04 * coalesce(lyrics, 0.3) + 0.78 * coalesce(audio, 0.3) + 0.18 * coalesce(meta, 0.3) END, 0), 1), 6)::DOUBLE AS s FROM sg"),
     "context_score": ([_CAT, f"sv AS (SELECT c.*, embedding AS v FROM cat c JOIN embeddings ON vec_id = song_id), sd AS (SELECT * FROM sv WHERE artist = 'Brand#11' ORDER BY song_id LIMIT 1), t3 AS (SELECT * FROM sv QUALIFY row_number() OVER (PARTITION BY artist ORDER BY plays DESC, song_id) <= 3), ar AS (SELECT a.artist, avg({_COS.format('a.v', 'b.v')}) AS s FROM t3 a, t3 b WHERE b.artist = 'Brand#11' GROUP BY a.artist)"], f"SELECT sv.song_id, round(100 * (0.6 * least(greatest({_COS.format('sv.v', 'sd.v')}, 0), 1) + 0.4 * CASE sv.artist WHEN 'Brand#11' THEN 1 WHEN 'Brand#12' THEN 0.8 WHEN 'Brand#13' THEN 0.4 ELSE coalesce(ar.s, 0) END), 6) AS context FROM sv JOIN sd ON sv.song_id <> sd.song_id LEFT JOIN ar ON ar.artist = sv.artist"),
@@ -181,9 +181,9 @@ _SQL: dict[str, tuple[list[str], str]] = {
     "nostalgia_internal": ([], f"SELECT song_id, artist, plays, away FROM (SELECT song_id, arg_min(artist, {_ORD}) AS artist, count(*)::BIGINT AS plays, min(ts) AS f, floor((epoch({_NOW_D}) - epoch(max(ts))) / 86400)::BIGINT AS away FROM pd GROUP BY song_id) WHERE f <= (SELECT min(ts) FROM pd) + INTERVAL 400 DAY AND plays BETWEEN 3 AND 15 AND away >= 180 AND artist NOT IN (SELECT artist FROM pd WHERE ts >= {_NOW_D} - INTERVAL 90 DAY GROUP BY artist HAVING count(*) >= 10)"),
     "nostalgia_external": ([_IDX, "mo AS (SELECT artist FROM pl GROUP BY artist ORDER BY count(*) DESC, artist LIMIT 30), tr AS (SELECT p_partkey AS ext_id, p_brand AS artist, p_name || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' ' || p_partkey END AS title FROM part WHERE p_brand IN (FROM mo) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) <= 10)", f"en AS (SELECT *, lower(artist) AS alias, {_norm('title')} AS t, list_transform(regexp_extract_all(title, '\\(([^)]+)\\)', 1), lambda x: {_norm('x')}) AS p FROM tr)"], f"SELECT ext_id, artist, title FROM en WHERE NOT {_MATCH}"),
     "tag_frequency": ([_TAGS, _TOP], "SELECT tag, weight FROM top"),
-    "nostalgia_select": ([_TAGS, _TOP], "SELECT id AS song_id, overlap, round(overlap / (SELECT count(*) FROM top)::DOUBLE + CASE WHEN id % 2 = 0 THEN 0.15 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 0.1 ELSE 0 END, 6) AS score FROM (SELECT id, len(list_intersect(tags, tt))::BIGINT AS overlap FROM tag, (SELECT list(tag) AS tt FROM top) WHERE id >= 20) WHERE overlap >= 2 ORDER BY score DESC, song_id LIMIT 10"),
+    "nostalgia_select": ([_TAGS, _TOP], "SELECT id AS song_id, overlap, round(overlap / (SELECT count(*) FROM top)::DOUBLE + CASE WHEN id % 2 = 0 THEN 0.15 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 0.1 ELSE 0 END, 6) AS score FROM (SELECT id, len(list_intersect(tags, tt))::BIGINT AS overlap FROM tag, (SELECT list(tag) AS tt FROM top) WHERE NOT lib) WHERE overlap >= 2 ORDER BY score DESC, song_id LIMIT 10"),
     "incremental_anti_join": ([], "SELECT doc_id AS song_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)"),
-    "ordered_union_distinct": (["ow AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), oc AS (SELECT doc_id, w[1:10] || w[5:16] AS c FROM ow), ou AS (SELECT doc_id, min(i) AS i, c[i] AS x FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM oc) GROUP BY doc_id, c[i])"], "SELECT doc_id, array_to_string(list(x ORDER BY i)[1:15], ' ') AS tags FROM ou GROUP BY doc_id"),
+    "ordered_union_distinct": (["ow AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), oc AS (SELECT doc_id, w || list_reverse(w) AS c FROM ow), ou AS (SELECT doc_id, min(i) AS i, c[i] AS x FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM oc) GROUP BY doc_id, c[i])"], "SELECT doc_id, array_to_string(list(x ORDER BY i)[1:15], ' ') AS tags FROM ou GROUP BY doc_id"),
     "hash_uniform": ([], f"SELECT p_partkey, round({_u('u', 'p_partkey')}, 6) AS u FROM part"),
     "time_keys": ([], f"SELECT o_orderkey, {_WEEK.format('o_orderdate')} AS week, floor((epoch(TIMESTAMP '1999-01-01 12:00:00') - epoch(o_orderdate)) / 86400)::BIGINT AS days, CASE WHEN hour(o_orderdate) < 6 THEN 'Night' WHEN hour(o_orderdate) < 12 THEN 'Morning' WHEN hour(o_orderdate) < 18 THEN 'Afternoon' ELSE 'Evening' END AS slot FROM orders"),
 }

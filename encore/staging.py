@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         if kept.isDefined():
             return kept.get()
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='encore-')}"
         spark.sparkContext.setCheckpointDir(found)
         return shared_dir(spark)

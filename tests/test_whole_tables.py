@@ -10,11 +10,14 @@ import pytest
 from encore.plans import catalog, oracles
 
 
-@pytest.mark.parametrize("name,part", [("library_anti_join", " WHERE p_partkey % 7 = 0"), ("vector_zscore", " WHERE vec_id < 50")])
-def test_against_the_sql_without_its_filter(spark, sf_dir, same_rows, name, part):
-    sql = oracles.oracle_sql()[name]
-    assert part in sql
-    same_rows(catalog.queries()[f"{name}_all"](spark, sf_dir), sql.replace(part, ""))
+@pytest.mark.parametrize("name", ["library_anti_join", "vector_zscore"])
+def test_the_other_name_gives_the_same(spark, sf_dir, same_rows, name):
+    same_rows(catalog.queries()[f"{name}_all"](spark, sf_dir), oracles.oracle_sql()[name])
+
+
+def test_no_sql_reads_a_part_of_the_ids():
+    for sql in oracles.oracle_sql().values():
+        assert not re.search(r"(?:WHERE|AND) \w*_?(?:id|partkey) < \d|WHERE p_partkey % 7", sql)
 
 
 def test_fuzzy_match_against_a_loop(spark, sf_dir, duck):
@@ -28,10 +31,10 @@ def test_fuzzy_match_against_a_loop(spark, sf_dir, duck):
             if other == brand and (title == nt or bracket and (bracket in nt or len(nt) > 3 and nt in bracket) or SequenceMatcher(None, title, nt).ratio() >= 0.85):
                 due.add(key)
     assert {r["ext_id"] for r in catalog.fuzzy_match_all(spark, sf_dir).collect()} == due
-    assert any(k % 7 for k in due)
+    assert any(k % 7 for k in due) and {r["ext_id"] for r in catalog.fuzzy_match(spark, sf_dir).collect()} == due
 
 
-def test_tags_beyond_the_tenth_word(spark, sf_dir, same_rows):
+def test_tags_of_the_whole_table(spark, sf_dir, same_rows):
     sql = oracles.oracle_sql()["tag_frequency"]
-    assert "[1:10]" in sql and "WHERE id < 20 " in sql
-    same_rows(catalog.tag_frequency_all(spark, sf_dir), sql.replace("[1:10]", "").replace("WHERE id < 20 ", ""))
+    assert "WHERE lib UNION" in sql
+    same_rows(catalog.tag_frequency_all(spark, sf_dir), sql.replace("WHERE lib UNION", "UNION"))
