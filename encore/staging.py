@@ -39,7 +39,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def drop_staged(*frames: DataFrame) -> None:
-    """Delete the files of staged tables that nothing will read again.
+    """Delete the files of staged tables that nothing will read again, and shuffle files with them.
 
     Spark removes shuffle files of finished plans only when the JVM collects garbage, which a
     driver with little to do puts off; asking for it here keeps the disks from filling."""
@@ -48,6 +48,11 @@ def drop_staged(*frames: DataFrame) -> None:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             target = spark._jvm.org.apache.hadoop.fs.Path(folder)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    gc.collect()
     if frames:
-        frames[0].sparkSession._jvm.System.gc()
+        free_shuffles(frames[0].sparkSession)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
