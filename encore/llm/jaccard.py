@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from encore.llm.common import slices, sum_slices
-from encore.staging import drop_staged, stage
+from encore.staging import drop_staged, free_shuffles, stage
 
 WORDS = 5
 PERCENT = 80
@@ -614,16 +614,20 @@ def link_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     texts = _texts(docs, text, doc_id)
     seen = stage(_overview(texts), "overview")
     levels = _level_of(sum_slices(seen.filter("slice is not null").select("slice", "cells"), "int32"))
-    rows = seen.filter("slice is null").select("doc_id", "a", "b", "n")
+    rows = stage(seen.filter("slice is null").select("doc_id", "a", "b", "n"), "rows")
     nodes = stage(seen.filter("n >= 4").groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.first("sketch").alias("sketch")), "nodes")
+    drop_staged(seen)
     lists = stage(_lists(texts, levels), "lists")
+    free_shuffles(docs.sparkSession)  # those of all prefix shingles are the largest
     labels = _joined(None, _verified(texts, nodes, _leaders(lists, nodes)))
     for turn in range(NEAREST):
         near = stage(_nearest(_cells(lists, labels, nodes)), "nearest")
-        # a list without a candidate between components now has none later
-        lists = lists.join(near.select("tok").distinct(), "tok", "left_semi")
         best = near.groupBy("a", "b").agg(F.max(F.struct("spare", "ha", "hb")).alias("m")).select("a", "b", "m.ha", "m.hb")
         labels = _joined(labels, _verified(texts, nodes, best))
+        # a list without a candidate between components now has none later
+        left = stage(lists.join(near.select("tok").distinct(), "tok", "left_semi"), "lists")
+        drop_staged(near, lists)
+        lists = left
     labels = _joined(labels, _verified(texts, nodes, _across(_cells(lists, labels, nodes))))
     # the least id of each class, then of each component; a document without a set is its own
     classes = _placed(rows.filter("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("least")), labels)
