@@ -536,6 +536,7 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     total = F.col("nx") + F.col("ny")
     near = met(pairs, "n", "wide").filter(differ <= total - 2 * F.ceil(total * PERCENT / (100 + PERCENT))).select("a", "b", "ha", "hb").distinct()
     near = stage(near, "near")
+    free_shuffles(sets.sparkSession)
     both = met(near, "toks", few=near.count() <= FEW)
     shared = F.size(F.array_intersect("x", "y"))
     return both.withColumn("i", shared).filter(F.col("i") * 100 >= (F.size("x") + F.size("y") - F.col("i")) * PERCENT).select("a", "b", "ha", "hb")
@@ -603,6 +604,7 @@ def _joined(labels: DataFrame | None, found: DataFrame) -> DataFrame | None:
 def _verified(texts: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """The links among the pairs, by their whole sets."""
     pairs = stage(pairs, "pairs")
+    free_shuffles(texts.sparkSession)  # those of lists with their sketches
     sets = stage(_sets(texts, nodes, pairs), "sets")
     found = stage(_linked(pairs, sets), "found")
     drop_staged(pairs, sets)
