@@ -56,6 +56,27 @@ def clean_lyrics(s: Column, least: int = 50) -> Column:
     return F.when(F.length(body) > least, body)
 
 
+def head(s: Column, most: int = 2000) -> Column:
+    """The first characters, as many as the text model of lyrics takes."""
+    return F.substring(s, 1, most)
+
+
+def quoted(s: Column) -> Column:
+    """Percent-encoded for a URL; a slash stays."""
+    for code, plain in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/")):
+        s = F.replace(F.url_encode(s) if code == "+" else s, F.lit(code), F.lit(plain))
+    return s
+
+
+def year_of(s: Column) -> Column:
+    """The year a date in text form starts with; null if it starts with none."""
+    return F.substring(s, 1, 4).try_cast("int")
+
+
+def before_dash(s: Column) -> Column:
+    return F.substring_index(s, " - ", 1)
+
+
 def tokens(s: Column, least: int = 1) -> Column:
     """Lower-case words of letters, digits and underscores."""
     return F.regexp_extract_all(F.lower(s), F.lit(rf"([\p{{L}}\p{{N}}_]{{{least},}})"), F.lit(1))

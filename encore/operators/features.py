@@ -133,3 +133,8 @@ def artist_encoding(songs: DataFrame, labelled: DataFrame, k: float = 0.0) -> Da
     total = labelled.agg(F.avg("label").alias("g"))
     out = songs.join(mean, "artist", "left").crossJoin(F.broadcast(total))
     return out.withColumn("artist_enc", F.coalesce(F.try_divide(F.col("s") + k * F.col("g"), F.nullif(F.col("n") + k, F.lit(0.0))), F.col("g"))).drop("n", "s", "g")
+
+
+def with_tier(songs: DataFrame, tiers: DataFrame) -> DataFrame:
+    """`songs` with their artist's `tier` (`tiers`: one row an artist); B where it has none."""
+    return songs.join(tiers.select("artist", "tier"), "artist", "left").withColumn("tier", F.coalesce("tier", F.lit("B")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from encore.functions.text import in_parens, lower_trim, may_reach, normalize_artist, normalize_title, ratio
+from encore.functions.text import in_parens, lower_trim, may_reach, normalize_artist, normalize_title, ratio, squeeze
 
 #: Other names of artists, one way each as listed.
 ALIASES = {
@@ -121,3 +121,13 @@ def find_song(index: DataFrame, query: str, artist: str | None = None, limit: in
     kept = scored.crossJoin(F.broadcast(best)).filter("best < 1 or score = 1").drop("best")
     ranked = kept.withColumn("rn", F.row_number().over(Window.partitionBy("score").orderBy("song_id")))
     return ranked.filter("score < 1 or rn = 1").drop("rn").orderBy(F.desc("score"), "song_id").limit(limit)
+
+
+def labels_by_name(songs: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """`songs` (title, artist) with the `label` of their normalised names; a label of `second` goes
+    before one of `first`, of several the least is taken."""
+    keys = {"__t": squeeze(F.col("title")), "__a": squeeze(F.col("artist"))}
+    rows = first.withColumns(keys).select("__t", "__a", "label", F.lit(1).alias("place"))
+    rows = rows.unionByName(second.withColumns(keys).select("__t", "__a", "label", F.lit(0).alias("place"))).filter("label is not null")
+    best = rows.groupBy("__t", "__a").agg(F.min(F.struct("place", "label")).alias("m")).select("__t", "__a", "m.label")
+    return songs.withColumns(keys).join(best, ["__t", "__a"], "left").drop("__t", "__a")

@@ -129,3 +129,14 @@ def mixer(songs: DataFrame, discoveries: DataFrame, size: int = 20, preset: str
     ranked = lambda df, w: df.select("song_id", (F.row_number().over(Window.orderBy(F.desc(w), "song_id")) - 1).alias("rank"))  # noqa: E731  a playlist
     return slots(ranked(main, "weight"), ranked(new, "score"))
 
+
+def uniform_of_best(rows: DataFrame, weight: str, seed: str, best: int = 20, key: str = "song_id") -> DataFrame:
+    """One of the `best` rows by weight, each as likely; the draw is a hash and can be repeated."""
+    return rows.orderBy(F.desc(weight), key).limit(best).orderBy(uniform(seed, F.col(key)), key).limit(1)
+
+
+def ranked_by_file(songs: DataFrame, ranking: DataFrame) -> DataFrame:
+    """`songs` that a ranking (place, title, artist, score) names, with their score; of rows of one
+    name the last counts."""
+    last = ranking.groupBy("title", "artist").agg(F.max_by("score", "place").alias("score"))
+    return songs.join(last, ["title", "artist"])

@@ -641,9 +641,51 @@ def tau_identifiability(spark, d):
     return pointprocess.identifiability(_times(spark, d))
 
 
-def entry(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship: the balanced playlist."""
-    return _FOUND["mode_playlist_balanced"](spark, d)
+@_tidied
+def lyrics_head(spark, d):
+    """What the reference's text model takes of a text; the cut is the operator."""
+    return table(spark, d, "documents").select("doc_id", F.md5(text.head(F.col("text"))).alias("digest"))
+
+
+@_tidied
+def url_quote(spark, d):
+    made = F.concat("p_name", F.lit(" & ~"), "p_brand", F.lit("/*+é"))
+    return table(spark, d, "part").select("p_partkey", text.quoted(made).alias("q"))
 
 
+@_tidied
+def release_fields(spark, d):
+    date = F.when(F.col("p_size") > 5, F.concat((F.lit(1990) + F.col("p_size") % 30).cast("string"), F.lit("-05-01"))).otherwise(F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", text.year_of(date).alias("year"), text.before_dash(F.concat("p_brand", F.lit(" - Topic - "), "p_name")).alias("artist"))
+
+
+@_tidied
+def artist_tier_default(spark, d):
+    """Artists heard of late have a tier, all others get the default."""
+    plays = plays_l(spark, d)
+    tiers = features.active_artists(plays).select("artist", F.when(F.col("plays") >= 30, "S").otherwise("A").alias("tier"))
+    return features.with_tier(catalogue(plays), tiers).select("song_id", "tier")
+
 
+@_tidied
+def labels_by_name(spark, d):
+    """Labels by name, the better ones given anew by a second file."""
+    songs = catalogue(plays_l(spark, d)).select("song_id", "title", "artist")
+    first = songs.join(labels_of(spark, d), "song_id")
+    return matching.labels_by_name(songs, first, first.filter("label > 2").withColumn("label", 5 - F.col("label"))).select("song_id", "label")
+
+
+@_tidied
+def uniform_of_best(spark, d):
+    return ranking.uniform_of_best(rated(spark, d), "A", "pick").select("song_id")
+
+
+@_tidied
+def ranking_file_join(spark, d):
+    file = table(spark, d, "part").select(F.col("p_partkey").alias("place"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), F.col("p_retailprice").cast("double").alias("score"))
+    return ranking.ranked_by_file(catalogue(plays_l(spark, d)), file).select("song_id", "score")
+
+
+def entry(spark: SparkSession, d: str) -> DataFrame:
+    """The flagship: the balanced playlist."""
+    return _FOUND["mode_playlist_balanced"](spark, d)

@@ -109,6 +109,8 @@ _IDX = f"{_CAT}, idx AS (SELECT lower(trim(regexp_replace(artist, '(?i)vevo$', '
 _EXT = f"ext AS (SELECT p_partkey AS ext_id, p_name || CASE WHEN p_partkey % 2 = 0 THEN ' (live)' ELSE ' x' END AS title, lower(p_brand) AS alias FROM part), en AS (SELECT *, {_norm('title')} AS t, list_transform(regexp_extract_all(title, '\\(([^)]+)\\)', 1), lambda x: {_norm('x')}) AS p FROM ext)"
 _MATCH = "EXISTS (SELECT 1 FROM idx WHERE idx.alias = en.alias AND (t = nt OR list_contains(ps, t) OR list_contains(p, nt) OR len(list_filter(ps, lambda x: length(x) > 3 AND length(t) > 3 AND (contains(x, t) OR contains(t, x)))) > 0 OR len(list_filter(p, lambda x: length(x) > 3 AND length(nt) > 3 AND (contains(x, nt) OR contains(nt, x)))) > 0))"
 
+_SQUEEZE = r"regexp_replace(lower(trim({0})), '\s+', ' ', 'g')"
+
 #: name: (common table expressions, select)
 _SQL: dict[str, tuple[list[str], str]] = {
     "scan_filter_completed": ([], "SELECT artist, count(*)::BIGINT AS n, sum(is_proactive)::BIGINT AS proactive FROM pl WHERE skip_type = 0 GROUP BY artist"),
@@ -186,6 +188,13 @@ _SQL: dict[str, tuple[list[str], str]] = {
     "ordered_union_distinct": (["ow AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), oc AS (SELECT doc_id, w || list_reverse(w) AS c FROM ow), ou AS (SELECT doc_id, min(i) AS i, c[i] AS x FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM oc) GROUP BY doc_id, c[i])"], "SELECT doc_id, array_to_string(list(x ORDER BY i)[1:15], ' ') AS tags FROM ou GROUP BY doc_id"),
     "hash_uniform": ([], f"SELECT p_partkey, round({_u('u', 'p_partkey')}, 6) AS u FROM part"),
     "time_keys": ([], f"SELECT o_orderkey, {_WEEK.format('o_orderdate')} AS week, floor((epoch(TIMESTAMP '1999-01-01 12:00:00') - epoch(o_orderdate)) / 86400)::BIGINT AS days, CASE WHEN hour(o_orderdate) < 6 THEN 'Night' WHEN hour(o_orderdate) < 12 THEN 'Morning' WHEN hour(o_orderdate) < 18 THEN 'Afternoon' ELSE 'Evening' END AS slot FROM orders"),
+    "lyrics_head": ([], "SELECT doc_id, md5(left(text, 2000)) AS digest FROM documents"),
+    "url_quote": ([], "SELECT p_partkey, replace(url_encode(p_name || ' & ~' || p_brand || '/*+é'), '%2F', '/') AS q FROM part"),
+    "release_fields": ([], "SELECT p_partkey, try_cast(left(CASE WHEN p_size > 5 THEN (1990 + p_size % 30)::VARCHAR || '-05-01' ELSE p_name END, 4) AS BIGINT) AS year, split_part(p_brand || ' - Topic - ' || p_name, ' - ', 1) AS artist FROM part"),
+    "artist_tier_default": ([_CAT], "SELECT song_id, CASE WHEN p >= 30 THEN 'S' WHEN p IS NOT NULL THEN 'A' ELSE 'B' END AS tier FROM cat LEFT JOIN (SELECT artist, count(*) AS p FROM pl WHERE ts >= (SELECT max(ts) FROM pl) - INTERVAL 90 DAY GROUP BY artist HAVING count(*) >= 10) USING (artist)"),
+    "labels_by_name": ([_CAT, _LABEL, f"nk AS (SELECT song_id, {_SQUEEZE.format('title')} AS kt, {_SQUEEZE.format('artist')} AS ka FROM cat)"], "SELECT song_id, round(coalesce(l2, l1), 6) AS label FROM nk LEFT JOIN (SELECT kt, ka, min(label) AS l1, min(5 - label) FILTER (WHERE label > 2) AS l2 FROM nk JOIN lab USING (song_id) GROUP BY kt, ka) USING (kt, ka)"),
+    "uniform_of_best": ([_RATED], f"SELECT song_id FROM (SELECT song_id FROM rated ORDER BY A DESC, song_id LIMIT 20) ORDER BY {_u('pick', 'song_id')}, song_id LIMIT 1"),
+    "ranking_file_join": ([_CAT], "SELECT song_id, round(score, 6) AS score FROM cat JOIN (SELECT p_name AS title, p_brand AS artist, arg_max(p_retailprice::DOUBLE, p_partkey) AS score FROM part GROUP BY ALL) USING (title, artist)"),
 }
 
 
