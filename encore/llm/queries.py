@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from encore.llm import chat, decontaminate, html_extract, jaccard, license, lines, mix, quality, toxicity, urls
+from encore.llm import audit, chat, decontaminate, html_extract, jaccard, license, lines, mix, negatives, pieces, quality, toxicity, urls
 from encore.llm.common import table
 
 #: op8: rules of host and path, and the blocklist for pages that no rule fits.
@@ -76,6 +76,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "license.n_sentences", F.array_join("license.ids", ",").alias("sentence_ids"), F.array_join("license.licenses", ",").alias("licenses"), "license.n_unmatched")
 
 
+def op11_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = pieces.decode_pieces(pieces.encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model, "pieces.ids")
+    return found.select("doc_id", (F.octet_length("pieces.ids") / 4).cast("long").alias("n_tokens"), F.sha2("pieces.ids", 256).alias("ids_sha256"), F.sha2("decoded.text", 256).alias("decoded_sha256"), (F.col("pieces.agrees") & F.col("decoded.agrees")).alias("agrees"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +100,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_toxicity, op2_decontamination, op3_html_extraction, op4_chat_format, op5_source_mix, op6_line_dedup, op7_quality_rules, op8_url_filter, op9_ngram_jaccard, op10_license_scan, pipeline)
+    own = (op1_toxicity, op2_decontamination, op3_html_extraction, op4_chat_format, op5_source_mix, op6_line_dedup, op7_quality_rules, op8_url_filter, op9_ngram_jaccard, op10_license_scan, op11_piece_round_trip, op12_filter_audit, op13_hard_negatives, pipeline)
     return {f.__name__: f for f in own}
 
 
@@ -186,5 +203,41 @@ SELECT doc.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c.component_id
 FROM doc LEFT JOIN size USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) c USING (doc_id)"""
 
 
+_OP12_SQL = rf"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+own AS (SELECT t, min(doc_id) AS first FROM doc GROUP BY t),
+mark AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+mask AS (SELECT part, coalesce(good, false) AS good, coalesce(bad, false) AS bad,
+         (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END)
+         + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+         + (CASE WHEN first < doc_id THEN 16 ELSE 0 END) AS mask
+         FROM doc JOIN own USING (t) LEFT JOIN mark USING (doc_id)),
+cell AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE bad) AS b FROM mask GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+           WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+step AS (SELECT filter_order, step::INT AS step, filter_order[step] AS f, (1 << (ascii(filter_order[step]) - 65)) AS bit,
+         list_sum(list_transform(string_split(filter_order[1 : step - 1], ''), lambda x: CASE WHEN x = '' THEN 0 ELSE 1 << (ascii(x) - 65) END)) AS seen
+         FROM orders, range(1, 6) s(step)),
+fig AS (SELECT part, filter_order, step, f,
+         coalesce(sum(n) FILTER (WHERE mask & coalesce(seen, 0)::INT = 0 AND mask & bit = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE mask & coalesce(seen, 0)::INT = 0 AND mask & bit <> 0), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (WHERE mask & coalesce(seen, 0)::INT <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails,
+         coalesce(sum(g) FILTER (WHERE mask & coalesce(seen, 0)::INT = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost, coalesce(sum(b) FILTER (WHERE mask & coalesce(seen, 0)::INT = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost
+        FROM cell, step GROUP BY ALL),
+total AS (SELECT part, f, sum(removed)::BIGINT AS shapley FROM fig GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley FROM fig JOIN total USING (part, f)"""
+
+
+_OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+         FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+pos AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM pair WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other))::INT AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN pair USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": _op2_sql(), "op4_chat_format": _OP4_SQL, "op5_source_mix": "WITH " + mix_sql("documents").lstrip(), "op6_line_dedup": _OP6_SQL, "op8_url_filter": _op8_sql(), "op9_ngram_jaccard": _OP9_SQL}
+    return {"op2_decontamination": _op2_sql(), "op4_chat_format": _OP4_SQL, "op5_source_mix": "WITH " + mix_sql("documents").lstrip(), "op6_line_dedup": _OP6_SQL, "op8_url_filter": _op8_sql(), "op9_ngram_jaccard": _OP9_SQL, "op12_filter_audit": _OP12_SQL, "op13_hard_negatives": _OP13_SQL}
