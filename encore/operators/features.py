@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from encore.functions.labels import time_of_day
 from encore.functions.times import days, days_floor
+from encore.operators.order import quantiles
 
 
 def completed(plays: DataFrame) -> DataFrame:
@@ -43,6 +44,13 @@ def song_features(plays: DataFrame, least: int = 5) -> DataFrame:
     )
 
 
+def song_rates(plays: DataFrame, flags: list[str], least: int = 5) -> DataFrame:
+    """(song_id, *flags): the mean of each 0/1 column by song, unknown values left out; songs of at
+    least `least` plays."""
+    rows = plays.filter(F.col("song_id").isNotNull()).groupBy("song_id").agg(F.count("*").alias("__n"), *(F.avg(c).alias(c) for c in flags))
+    return rows.filter(F.col("__n") >= least).drop("__n")
+
+
 def song_intensity(plays: DataFrame, least: int = 5, half_life: float = 30.0) -> DataFrame:
     """R (plays to the end, halved every `half_life` days), days since the last, plays of 28 days,
     plays in all; the clock is the last play to the end."""
@@ -122,8 +130,9 @@ def distribution(rows: DataFrame, value: str) -> DataFrame:
 
 def summary(rows: DataFrame, value: str) -> DataFrame:
     """Mean and exact quantiles of a column."""
-    q = lambda p: F.percentile(value, F.lit(p))
-    return rows.agg(F.avg(value).alias("mean"), q(0.1).alias("p10"), q(0.25).alias("p25"), q(0.5).alias("median"), q(0.75).alias("p75"), q(0.9).alias("p90"))
+    shares = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
+    found = quantiles(rows, value, list(shares.values())).agg(*(F.max(F.when(F.col("share") == p, F.col("q"))).alias(name) for name, p in shares.items()))
+    return rows.agg(F.avg(value).alias("mean")).crossJoin(F.broadcast(found))
 
 
 def artist_encoding(songs: DataFrame, labelled: DataFrame, k: float = 0.0) -> DataFrame:

@@ -6,22 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.functions.labels import state_label
+from encore.functions.stats import mann_whitney_p, spearman_p, wilcoxon_p
 from encore.functions.times import DAY, days
-from encore.operators import features
+from encore.operators import features, order
 from encore.staging import stage
 
 
-def _ranges(rows: DataFrame, *order: str) -> DataFrame:
-    """`rows` dealt to ranges in the given order, written once, with `part`, the range's number."""
-    return stage(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
-
-
 def play_ordinal(plays: DataFrame) -> DataFrame:
     """`plays` with `gidx`, the play's number from 0 in the order of the whole log.
 
     A window over the whole log would run in one task. Plays are numbered inside ranges of the
     order, and a running count of ranges (few rows, however long the log) gives each its start."""
-    ranges = _ranges(plays, "ts", "tie")
+    ranges = order.ranges(plays, "ts", "tie")
     sizes = ranges.groupBy("part").agg(F.count("*").alias("k"))
     starts = sizes.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("start"))
     own = F.row_number().over(Window.partitionBy("part").orderBy("ts", "tie"))
@@ -93,63 +89,52 @@ def state_distribution(panel: DataFrame) -> DataFrame:
     return features.distribution(panel.withColumn("state", state_label(F.col("level"), F.col("future"))), "state")
 
 
-def overall_rank(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """`rows` with the value's rank among all; equal values share the mean of their ranks.
-
-    Values are counted first; ranges of them are summed up side by side, and a running sum over the
-    ranges gives each its start, so no task sees all values."""
-    ranges = _ranges(rows.groupBy(value).agg(F.count("*").alias("k")), value)
-    sizes = ranges.groupBy("part").agg(F.sum("k").alias("all"))
-    starts = sizes.select("part", (F.sum("all").over(Window.orderBy("part")) - F.col("all")).alias("start"))
-    upto = F.sum("k").over(Window.partitionBy("part").orderBy(value))
-    ranks = ranges.withColumn("upto", upto).join(F.broadcast(starts), "part").select(value, (F.col("start") + F.col("upto") - (F.col("k") - 1) / 2.0).alias(name))
-    return rows.join(ranks, value)
-
-
 def average_rank(rows: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
     """`rows` with the value's rank in its group; equal values share the mean of their ranks.
     Without groups, see `overall_rank`."""
     if not by:
-        return overall_rank(rows, value, name)
+        return order.overall_rank(rows, value, name)
     group = Window.partitionBy(*by)
     return rows.withColumn(name, F.rank().over(group.orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0)
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Rank correlation by group; null where one side is constant."""
+    """Rank correlation by group with its two-sided p; null where one side is constant."""
     rows = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = average_rank(average_rank(rows, x, by, "rx"), y, by, "ry")
     out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"), F.count_distinct(x).alias("nx"), F.count_distinct(y).alias("ny"))
-    return out.withColumn("rho", F.when((F.col("nx") > 1) & (F.col("ny") > 1), F.col("rho"))).drop("nx", "ny")
+    return out.withColumn("rho", F.when((F.col("nx") > 1) & (F.col("ny") > 1), F.col("rho"))).withColumn("p", spearman_p(F.col("rho"), F.col("n"))).drop("nx", "ny")
 
 
 def cooling_slope(plays: DataFrame, least: int = 8) -> DataFrame:
     """Rank correlation of a song's play number with its intervals: above 0 it is heard less often."""
-    return spearman(exposure_intervals(plays), "familiarity", "interval", ["song_id"]).filter(F.col("n") >= least)
+    return spearman(exposure_intervals(plays), "familiarity", "interval", ["song_id"]).filter(F.col("n") >= least).drop("p")
 
 
 def partial_spearman(rows: DataFrame, x: str, y: str, z: str) -> DataFrame:
     """One row: rank correlation of x and y given z."""
     one = rows.select(x, y, z)
     for c in (x, y, z):
-        one = overall_rank(one, c, f"r_{c}")
+        one = order.overall_rank(one, c, f"r_{c}")
     r = one.agg(F.corr(f"r_{x}", f"r_{y}").alias("xy"), F.corr(f"r_{x}", f"r_{z}").alias("xz"), F.corr(f"r_{y}", f"r_{z}").alias("yz"))
     return r.select("xy", ((F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2))).alias("partial"))
 
 
 def wilcoxon(rows: DataFrame, value: str) -> DataFrame:
-    """Signed-rank statistic: the lesser sum of ranks of positive and negative values (no zeros)."""
+    """Signed-rank statistic and its two-sided p: the lesser sum of ranks of positive and negative
+    values (no zeros)."""
     some = rows.filter((F.col(value) != 0) & F.col(value).isNotNull()).select(F.col(value).alias("v"), F.abs(value).alias("a"))
-    ranked = overall_rank(some, "a", "r")
-    return ranked.agg(F.count("*").alias("n"), F.least(F.sum(F.when(F.col("v") > 0, F.col("r")).otherwise(0.0)), F.sum(F.when(F.col("v") < 0, F.col("r")).otherwise(0.0))).alias("W"))
+    ranked = order.overall_rank(some, "a", "r", "k")
+    found = ranked.agg(F.count("*").alias("n"), F.least(F.sum(F.when(F.col("v") > 0, F.col("r")).otherwise(0.0)), F.sum(F.when(F.col("v") < 0, F.col("r")).otherwise(0.0))).alias("W"), F.sum(F.col("k").cast("double") ** 2 - 1).alias("ties"))
+    return found.select("n", "W", wilcoxon_p(F.col("W"), F.col("n"), F.col("ties")).alias("p"))
 
 
 def mann_whitney(rows: DataFrame, value: str, group: str) -> DataFrame:
-    """U of the rows where `group` is true, and the AUC it means."""
+    """U of the rows where `group` is true, the AUC it means, and its two-sided p."""
     some = rows.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).select(value, F.col(group).cast("boolean").alias("one"))
-    r = overall_rank(some, value, "r").agg(F.sum(F.when(F.col("one"), F.col("r")).otherwise(0.0)).alias("s"), F.count_if("one").alias("n1"), F.count_if(~F.col("one")).alias("n0"))
+    r = order.overall_rank(some, value, "r", "k").agg(F.sum(F.when(F.col("one"), F.col("r")).otherwise(0.0)).alias("s"), F.count_if("one").alias("n1"), F.count_if(~F.col("one")).alias("n0"), F.sum(F.col("k").cast("double") ** 2 - 1).alias("ties"))
     u = F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2.0
-    return r.select("n1", "n0", u.alias("U"), F.try_divide(u, F.col("n1") * F.col("n0")).alias("auc"))
+    return r.select("n1", "n0", u.alias("U"), F.try_divide(u, F.col("n1") * F.col("n0")).alias("auc"), mann_whitney_p(u, F.col("n1"), F.col("n0"), F.col("ties")).alias("p"))
 
 
 def r_squared(rows: DataFrame, y: str, predicted: str) -> DataFrame:
@@ -164,6 +149,18 @@ def holdout(plays: DataFrame, at: Column, least: int = 8) -> DataFrame:
     return cooling_slope(before, least).join(future, "song_id", "left").withColumn("future_plays", F.coalesce("future_plays", F.lit(0)))
 
 
+def holdout_groups(held: DataFrame) -> DataFrame:
+    """(n1, n0, mean1, mean0, U, auc, p) of a `holdout`: later plays of the quarter of songs that cool
+    most against the quarter that cools least. A song on both borders is in both groups, as both
+    quarters are closed."""
+    some = stage(held.filter("rho is not null"), "held")
+    cut = order.quantiles(some, "rho", [0.25, 0.75]).agg(F.max(F.when(F.col("share") == 0.25, F.col("q"))).alias("lo"), F.max(F.when(F.col("share") == 0.75, F.col("q"))).alias("hi"))
+    near = some.crossJoin(F.broadcast(cut)).select("future_plays", F.explode(F.array_compact(F.array(F.when(F.col("rho") >= F.col("hi"), True), F.when(F.col("rho") <= F.col("lo"), False)))).alias("cools"))
+    near = stage(near, "quarters")
+    means = near.agg(F.avg(F.when(F.col("cools"), F.col("future_plays"))).alias("mean1"), F.avg(F.when(~F.col("cools"), F.col("future_plays"))).alias("mean0"))
+    return mann_whitney(near, "future_plays", "cools").crossJoin(F.broadcast(means)).select("n1", "n0", "mean1", "mean0", "U", "auc", "p")
+
+
 def sessions(plays: DataFrame, gap_seconds: int = 1800, skip_seconds: int = 30) -> DataFrame:
     """Plays by user with their session's number, and whether the next play came so soon that this
     one was skipped."""

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.functions.times import uniform
 from encore.operators import features, lifecycle
+from encore.operators.boosting import PANEL, REVIVAL, Boosting, fit_folds, score
 from encore.staging import stage
 
 
@@ -37,14 +40,19 @@ def artist_tiers(plays: DataFrame, seeds: int = 10) -> DataFrame:
     return rows.join(F.broadcast(order.select("cluster", tier.alias("tier"))), "cluster").select("artist", "total_plays", "tier")
 
 
-def curve_clusters(plays: DataFrame, k: int = 2, seeds: int = 10, least: int = 10) -> DataFrame:
-    """(song_id, cluster) of the songs' five-part life curves, each part by its mean and deviation
-    over the songs; no row for fewer than `least` songs."""
+def _curves(plays: DataFrame, k: int, seeds: int, least: int) -> tuple[DataFrame, DataFrame | None]:
     bins = lifecycle.life_bins(plays)
     wide = stage(bins.groupBy("song_id").agg(*(F.max(F.when(F.col("bin") == i, F.col("mean_interval"))).alias(f"y{i}") for i in range(5))), "bins")
     if wide.limit(least).count() < least:
-        return wide.select("song_id", F.lit(0).alias("cluster")).limit(0)
-    return kmeans(scaled(wide, [f"y{i}" for i in range(5)]), k, seeds).select("song_id", "cluster")
+        return wide, None
+    return wide, kmeans(scaled(wide, [f"y{i}" for i in range(5)]), k, seeds)
+
+
+def curve_clusters(plays: DataFrame, k: int = 2, seeds: int = 10, least: int = 10) -> DataFrame:
+    """(song_id, cluster) of the songs' five-part life curves, each part by its mean and deviation
+    over the songs; no row for fewer than `least` songs."""
+    wide, found = _curves(plays, k, seeds, least)
+    return wide.select("song_id", F.lit(0).alias("cluster")).limit(0) if found is None else found.select("song_id", "cluster")
 
 
 def pca(rows: DataFrame, k: int, key: str, vector: str = "v") -> tuple[DataFrame, list[float]]:
@@ -56,6 +64,69 @@ def pca(rows: DataFrame, k: int, key: str, vector: str = "v") -> tuple[DataFrame
     return model.transform(ready).select(key, vector_to_array("__pc").alias("pc")), list(model.explainedVariance)
 
 
+def with_components(songs: DataFrame, vectors: DataFrame, k: int = 8, name: str = "audio") -> DataFrame:
+    """`songs` with their vector's first k principal components, `{name}_0` on. Vectors (song_id, v)
+    are taken by column mean and deviation over all songs, a song without one has the means. Each
+    component's largest weight is positive, so signs don't depend on the solver."""
+    rows = songs.join(vectors.select("song_id", array_to_vector(F.transform("v", lambda x: x.cast("double"))).alias("__v")), "song_id", "left")
+    rows = stage(rows, "vectors")
+    stats = rows.filter(F.col("__v").isNotNull()).agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("__v")).alias("s")).select(vector_to_array("s.mean").alias("m"), vector_to_array("s.variance").alias("v"), F.col("s.count").alias("k")).crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))
+    stats = stats.select("m", F.transform("v", lambda x: F.sqrt(x * (F.col("k") - 1) / F.col("n")) + 1e-9).alias("d"))
+    z = F.zip_with(F.zip_with(F.coalesce(vector_to_array("__v"), F.col("m")), "m", lambda x, m: x - m), "d", lambda x, d: x / d)
+    ready = stage(rows.crossJoin(F.broadcast(stats)).withColumn("__z", array_to_vector(z)).drop("__v", "m", "d"), "scaled")
+    weights = PCA(k=k, inputCol="__z", outputCol="__pc").fit(ready).pc.toArray()
+    weights = weights * np.sign(weights[np.abs(weights).argmax(0), np.arange(k)])
+    own = vector_to_array("__z")
+    dot = lambda w: F.aggregate(F.zip_with(own, F.array(*(F.lit(float(x)) for x in w)), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return ready.select("*", *(dot(weights[:, i]).alias(f"{name}_{i}") for i in range(k))).drop("__z")
+
+
+def silhouette(rows: DataFrame, key: str, vector: str, cluster: str, block: int = 2048) -> DataFrame:
+    """(key, cluster, silhouette) by exact Euclidean distances: how much nearer a row lies to its own
+    cluster than to the nearest other; 0 in a cluster of one, null where there is one cluster.
+
+    Rows are dealt to blocks of about `block` by a hash of the key, and every pair of blocks is one
+    group that puts out sums of distances by row and cluster. No task holds more than two blocks;
+    the work grows with the square of the rows, as the measure does."""
+    rows = stage(rows.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & F.col(cluster).isNotNull()).select(F.col(key).alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.col(cluster).cast("long").alias("c")), "points")
+    blocks = max(1, -(-rows.count() // block))
+    number = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = rows.select("*", number.alias("a")).withColumn("b", other)
+    right = rows.select("*", number.alias("b")).withColumn("a", other)
+
+    def run(one: pa.Table, two: pa.Table) -> pa.Table:
+        schema = pa.schema([("key", one.schema.field("key").type if len(one.schema) else pa.int64()), ("c", pa.int64()), ("other", pa.int64()), ("s", pa.float64())])
+        if not len(one) or not len(two):
+            return schema.empty_table()
+        x, y = (np.array(t.column("v").to_pylist(), float) for t in (one, two))
+        names, at = np.unique(two.column("c").to_numpy(), return_inverse=True)
+        total = np.empty((len(x), len(names)))
+        for lo in range(0, len(x), 256):
+            gap = np.sqrt(((x[lo : lo + 256, None, :] - y[None]) ** 2).sum(-1))
+            total[lo : lo + 256] = np.stack([gap[:, at == j].sum(1) for j in range(len(names))], 1)
+        take = lambda c: one.column(c).combine_chunks().take(pa.array(np.repeat(np.arange(len(x)), len(names))))
+        return pa.Table.from_arrays([take("key"), take("c"), pa.array(np.tile(names, len(x))), pa.array(total.ravel())], schema=schema)
+
+    kind = rows.schema["key"].dataType.simpleString()
+    sums = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(run, f"key {kind}, c long, other long, s double")
+    sizes = rows.groupBy(F.col("c").alias("other")).agg(F.count("*").alias("k"))
+    each = sums.groupBy("key", "c", "other").agg(F.sum("s").alias("s")).join(sizes, "other")
+    own = F.max(F.when(F.col("c") == F.col("other"), F.try_divide(F.col("s"), (F.col("k") - 1).cast("double"))))
+    found = each.groupBy("key", "c").agg(own.alias("a"), F.max(F.when(F.col("c") == F.col("other"), F.col("k"))).alias("n"), F.min(F.when(F.col("c") != F.col("other"), F.col("s") / F.col("k"))).alias("b"))
+    value = F.when(F.col("b").isNull(), None).when(F.col("n") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return found.select(F.col("key").alias(key), F.col("c").alias(cluster), value.alias("silhouette"))
+
+
+def curve_silhouette(plays: DataFrame, k: int = 2, seeds: int = 10, least: int = 10) -> DataFrame:
+    """(songs, silhouette): the mean over the songs' life curves of `curve_clusters`; none for fewer
+    than `least` songs. Under .25 there are no two kinds of songs."""
+    wide, found = _curves(plays, k, seeds, least)
+    if found is None:
+        return wide.agg(F.count("*").alias("songs"), F.lit(None).cast("double").alias("silhouette")).filter("songs < 0")
+    return silhouette(found.select("song_id", vector_to_array("features").alias("v"), "cluster"), "song_id", "v", "cluster").agg(F.count("*").alias("songs"), F.avg("silhouette").alias("silhouette"))
+
+
 def first_component_share(plays: DataFrame, points: int = 21) -> DataFrame:
     """How much of the variance of songs' cumulative curves their first component takes."""
     curve = lifecycle.cumulative_curve(plays, points).groupBy("song_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "y"))), lambda x: x["y"]).alias("v"))
@@ -63,62 +134,170 @@ def first_component_share(plays: DataFrame, points: int = 21) -> DataFrame:
     return plays.sparkSession.createDataFrame([(k + 1, float(x)) for k, x in enumerate(share)], "component int, share double")
 
 
-def boosted(columns: list[str], label: str, trees: int = 40, depth: int = 4, step: float = 0.1) -> list:
-    return [VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep"), GBTRegressor(labelCol=label, maxIter=trees, maxDepth=depth, stepSize=step, minInstancesPerNode=5, subsamplingRate=0.8, seed=1)]
-
-
-def out_of_fold(rows: DataFrame, columns: list[str], label: str, fold: Column, folds: int = 5, linear: bool = False, **boost) -> DataFrame:
-    """`rows` with `predicted`, each row by a model that has not seen its fold."""
-    rows = stage(rows.withColumn("fold", fold), "folds")
-    parts = []
-    for k in range(folds):
-        assemble, model = boosted(columns, label, **boost)
-        if linear:
-            model = LinearRegression(labelCol=label, solver="normal")
-        ready = assemble.transform(rows)
-        parts.append(model.fit(ready.filter(F.col("fold") != k)).transform(ready.filter(F.col("fold") == k)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumnRenamed("prediction", "predicted").drop("features")
-
-
 def fold_of(key: str, folds: int = 5, seed: str = "fold") -> Column:
     """A fold by a hash of the key, so that all rows of a key are in one."""
     return F.floor(uniform(seed, F.col(key)) * folds).cast("int")
 
 
-def amplitude(songs: DataFrame, labels: DataFrame, columns: list[str], trees: int = 20) -> DataFrame:
+def numbers(columns: list[str]) -> Column:
+    return F.array(*(F.col(c).cast("double") for c in columns))
+
+
+def amplitude(songs: DataFrame, labels: DataFrame, columns: list[str], p: Boosting = Boosting()) -> DataFrame:
     """(song_id, A): affinity from behaviour and the artist's mean label, in two passes. The second
     encodes artists from labels and, where there is none, from the first pass's predictions."""
     rows = stage(songs.join(labels, "song_id", "left"), "amplitude")
+
+    def fitted(source: DataFrame) -> DataFrame:
+        coded = features.artist_encoding(rows, source).select("song_id", "artist", "label", numbers([*columns, "artist_enc"]).alias("x"))
+        coded = coded.withColumns({"fit": F.lit("A"), "fold": F.lit(0), "key": F.col("song_id"), "y": F.col("label"), "own": F.lit(None).cast("array<double>")})
+        return score(coded.select("fit", "fold", "song_id", "artist", "label", "x"), fit_folds(coded, 0, p), p).withColumnRenamed("predicted", "A")
+
+    first = stage(fitted(rows.filter("label is not null")), "pass")
+    return fitted(first.select("artist", F.coalesce("label", "A").alias("label"))).select("song_id", "A")
+
+
+def in_folds(labelled: DataFrame, reps: int, folds: int) -> DataFrame:
+    """`labelled` once for each repetition, with `rep` and the `fold` of its song in it."""
+    rows = labelled.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    return rows.withColumn("fold", F.floor(uniform("rep", F.concat_ws(":", "rep", "song_id")) * folds).cast("int"))
+
+
+def _others(sums: DataFrame, keys: list[str], folds: int) -> DataFrame:
+    """From sums (keys, fold, n, s) those of all other folds, for every fold: the total less its part."""
+    each = sums.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.map_from_entries(F.collect_list(F.struct("fold", F.struct("n", "s").alias("v")))).alias("part"))
+    rows = each.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("p", F.try_element_at("part", F.col("fold")))
+    return rows.select(*keys, "fold", (F.col("n") - F.coalesce("p.n", F.lit(0))).alias("n"), (F.col("s") - F.coalesce("p.s", F.lit(0.0))).alias("s"))
+
+
+def fold_sums(labelled: DataFrame, reps: int, folds: int) -> tuple[DataFrame, DataFrame]:
+    """Labels by artist outside each fold of each repetition (rep, artist, fold, n, s), and their
+    mean over all artists (rep, fold, g), from one pass of sums."""
+    parts = stage(in_folds(labelled, reps, folds).groupBy("rep", "artist", "fold").agg(F.count("label").alias("n"), F.sum("label").alias("s")), "folds")
+    whole = _others(parts.groupBy("rep", "fold").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), ["rep"], folds)
+    return _others(parts.filter("artist is not null"), ["rep", "artist"], folds), whole.select("rep", "fold", F.try_divide("s", "n").alias("g"))
+
+
+def fold_encodings(songs: DataFrame, labelled: DataFrame, reps: int = 10, folds: int = 5, k: float = 3.0) -> DataFrame:
+    """(rep, fold, song_id, artist, mean_enc, shrink_enc, n, s, g): for every fold its songs' artists
+    by the labels of the other folds only: their mean, and the mean drawn to that of all by `k`
+    labels. Artists without a label outside the fold take the mean of all."""
+    by_artist, whole = fold_sums(labelled, reps, folds)
+    grid = songs.select("song_id", "artist").crossJoin(F.broadcast(whole))  # a row for each fold of each repetition
+    rows = grid.join(by_artist, ["rep", "fold", "artist"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "s": F.coalesce("s", F.lit(0.0))})
+    return rows.select("rep", "fold", "song_id", "artist", F.coalesce(F.try_divide("s", "n"), "g").alias("mean_enc"), ((F.col("s") + k * F.col("g")) / (F.col("n") + k)).alias("shrink_enc"), "n", "s", "g")
+
+
+def encoder_comparison(songs: DataFrame, labels: DataFrame, sets: dict[str, list[str]], reps: int = 10, folds: int = 5, p: Boosting = Boosting()) -> DataFrame:
+    """(feature_set, encoder, r, spread): how well labels are foretold out of fold, for every set of
+    features and three encoders of artists, as mean and deviation of Pearson's r over repetitions.
+
+    Encoders: `mean` and `shrink` as in `fold_encodings`; `semi` adds the songs without a label, by
+    what a first pass with `mean` foretells of them. Each is made anew for every fold from the other
+    folds' labels. Songs are those of `songs` (song_id, artist, features); the labelled ones that a
+    fit sees are bounded (`boosting.MOST`)."""
+    rows = stage(songs.join(labels, "song_id", "left"), "songs")
     known = rows.filter("label is not null")
+    coded = stage(fold_encodings(rows, known.select("song_id", "artist", "label"), reps, folds), "encodings")
+    spread = in_folds(known, reps, folds)
+    wide = lambda enc, keys: enc.groupBy(*keys, "song_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("fold", "e"))), lambda x: x["e"]).alias("own"))
+
+    def asked(name: str, columns: list[str], enc: DataFrame) -> DataFrame:
+        """Rows to fit: `enc` holds (rep, fold, song_id, e)."""
+        own = wide(enc, ["rep"])
+        return spread.join(own, ["rep", "song_id"]).select(F.concat(F.lit(f"{name}:"), F.col("rep").cast("string")).alias("fit"), F.col("song_id").alias("key"), "fold", F.col("label").alias("y"), numbers(columns).alias("x"), "own")
+
+    labelled = coded.join(known.select("song_id"), "song_id", "left_semi")
+    mean = labelled.select("rep", "fold", "song_id", F.col("mean_enc").alias("e"))
+    firsts = [asked(name, columns, mean) for name, columns in sets.items()]
+    first = stage(fit_folds(_union(firsts), folds, p), "first")
+    unknown = rows.filter("label is null").join(coded.select("rep", "fold", "song_id", "mean_enc"), "song_id")
+    guesses = [unknown.select(F.concat(F.lit(f"{name}:"), F.col("rep").cast("string")).alias("fit"), "fold", "rep", "artist", F.lit(name).alias("feature_set"), numbers([*columns, "mean_enc"]).alias("x")) for name, columns in sets.items()]
+    guessed = stage(score(_union(guesses), first, p).groupBy("feature_set", "rep", "fold", "artist").agg(F.count("*").alias("np"), F.sum("predicted").alias("sp")), "guessed")
 
-    def fit(source: DataFrame) -> DataFrame:
-        coded = features.artist_encoding(rows, source)
-        assemble, model = boosted([*columns, "artist_enc"], "label", trees)
-        ready = assemble.transform(coded)
-        return model.fit(ready.filter("label is not null")).transform(ready).select("song_id", "artist", "label", F.col("prediction").alias("A"))
-
-    first = stage(fit(known), "pass")
-    return fit(first.select("artist", F.coalesce("label", "A").alias("label"))).select("song_id", "A")
-
-
-def panel_models(panel: DataFrame, trees: int = 10) -> DataFrame:
-    """(model, r2, mae): the next weeks' plays from the trajectory, by a line and by boosting, each
-    song's snapshots in one fold."""
-    columns = ["c1", "c2", "c3", "c4", "slope", "accel", "dsl", "familiarity", "age"]
-    rows = panel.withColumns({c: F.col(c).cast("double") for c in [*columns, "future"]})
-    out = None
-    for name, linear in (("line", True), ("boosted", False)):
-        found = lifecycle.r_squared(out_of_fold(rows, columns, "future", fold_of("song_id"), linear=linear, trees=trees, depth=3), "future", "predicted").select(F.lit(name).alias("model"), "r2", "mae")
-        out = found if out is None else out.unionByName(found)
+    final = []
+    for name, columns in sets.items():
+        final += [asked(f"{name}|mean", columns, mean), asked(f"{name}|shrink", columns, labelled.select("rep", "fold", "song_id", F.col("shrink_enc").alias("e")))]
+        own = guessed.filter(F.col("feature_set") == name).drop("feature_set")
+        both = labelled.join(own, ["rep", "fold", "artist"], "left").select("rep", "fold", "song_id", F.coalesce(F.try_divide(F.col("s") + F.coalesce("sp", F.lit(0.0)), F.col("n") + F.coalesce("np", F.lit(0))), "g").alias("e"))
+        final.append(asked(f"{name}|semi", columns, both))
+    ready = stage(_union(final), "fits")
+    models = fit_folds(ready, folds, p)
+    found = score(ready.select("fit", "fold", "y", F.concat("x", F.array(F.element_at("own", F.col("fold") + 1))).alias("x")), models, p)
+    each = found.groupBy("fit").agg(F.corr("predicted", "y").alias("r"))
+    parts = F.split(F.substring_index("fit", ":", 1), r"\|")
+    return each.groupBy(parts[0].alias("feature_set"), parts[1].alias("encoder")).agg(F.avg("r").alias("r"), F.stddev_pop("r").alias("spread"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
     return out
 
 
-def revival(panel: DataFrame, trees: int = 10) -> DataFrame:
-    """How well the trajectory tells quiet songs that come back from those that don't (AUC)."""
-    columns = ["dsl", "familiarity", "age"]
-    quiet = panel.filter("level = 0").withColumns({c: F.col(c).cast("double") for c in columns}).withColumn("back", (F.col("future") > 0).cast("double"))
-    scored = out_of_fold(quiet, columns, "back", fold_of("song_id"), trees=trees, depth=3)
-    return lifecycle.mann_whitney(scored.withColumn("one", F.col("back") > 0), "predicted", "one")
+TRAJECTORY = ["level", "c1", "c2", "c3", "c4", "slope", "accel", "dsl", "familiarity", "age"]
+
+
+def line_out_of_fold(rows: DataFrame, columns: list[str], label: str, fold: str = "fold") -> DataFrame:
+    """`rows` with `predicted` by least squares on all other folds (columns that say the same share
+    their weight). The products of columns are summed by fold in one pass; what is solved then has
+    the size of the columns, however many rows there are."""
+    names = [*columns, "1"]
+    one = rows.withColumn("1", F.lit(1.0))
+    cell = lambda a, b: F.sum(F.col(f"`{a}`").cast("double") * F.col(f"`{b}`").cast("double"))
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    sums = one.groupBy(fold).agg(*(cell(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)), *(cell(a, label).alias(f"y{i}") for i, a in enumerate(names))).collect()  # a row for each fold
+    total = np.array([[r[c] or 0.0 for c in (*(f"p{i}" for i in range(len(pairs))), *(f"y{i}" for i in range(len(names))))] for r in sums]).reshape(len(sums), -1)
+    chosen = F.lit(None).cast("double")
+    for r, own in zip(sums, total, strict=True):
+        rest = total.sum(0) - own
+        gram = np.zeros((len(names), len(names)))
+        for v, (a, b) in zip(rest, pairs, strict=False):
+            gram[names.index(a), names.index(b)] = gram[names.index(b), names.index(a)] = v
+        size = np.sqrt(np.maximum(gram.diagonal(), 1e-300))
+        weights = np.linalg.pinv(gram / np.outer(size, size), rcond=1e-10, hermitian=True) @ (rest[len(pairs) :] / size) / size
+        value = F.lit(float(weights[-1]))
+        for c, w in zip(columns, weights, strict=False):
+            value = value + F.lit(float(w)) * F.col(c).cast("double")
+        chosen = F.when(F.col(fold) == r[fold], value).otherwise(chosen)
+    return rows.withColumn("predicted", chosen)
+
+
+def _boosted_out_of_fold(rows: DataFrame, sets: dict[str, list[str]], label: str, p: Boosting, folds: int = 5) -> DataFrame:
+    """(feature_set, y, predicted) of every row, each by the trees of the other folds."""
+    ready = _union([rows.select(F.lit(name).alias("fit"), "key", "fold", F.col(label).cast("double").alias("y"), numbers(columns).alias("x"), F.lit(None).cast("array<double>").alias("own")) for name, columns in sets.items()])
+    return score(ready.select("fit", "fold", "y", "x"), fit_folds(ready, folds, p), p).select(F.col("fit").alias("feature_set"), "y", "predicted")
+
+
+def panel_models(panel: DataFrame, p: Boosting = PANEL) -> DataFrame:
+    """(model, feature_set, n, r2, mae): the next weeks' plays from the trajectory, the trajectory
+    and affinity (column `A`), and affinity alone, by a line and by boosting, all on the same folds
+    of songs and on snapshots whose song has an affinity."""
+    rows = stage(panel.filter("A is not null").withColumn("fold", fold_of("song_id")).withColumn("key", F.struct("song_id", "T")), "panel")
+    sets = {"trajectory": TRAJECTORY, "trajectory and A": [*TRAJECTORY, "A"], "A": ["A"]}
+    lines = [line_out_of_fold(rows, columns, "future").select(F.lit("line").alias("model"), F.lit(name).alias("feature_set"), F.col("future").cast("double").alias("y"), "predicted") for name, columns in sets.items()]
+    trees = _boosted_out_of_fold(rows, sets, "future", p).withColumn("model", F.lit("boosted"))
+    found = _union([*lines, trees.select("model", "feature_set", "y", "predicted")])
+    mean = rows.agg(F.avg("future").alias("m"))
+    return found.crossJoin(F.broadcast(mean)).groupBy("model", "feature_set").agg(F.count("*").alias("n"), (1 - F.try_divide(F.sum((F.col("y") - F.col("predicted")) ** 2), F.sum((F.col("y") - F.col("m")) ** 2))).alias("r2"), F.avg(F.abs(F.col("y") - F.col("predicted"))).alias("mae"))
+
+
+def revival(panel: DataFrame, p: Boosting = REVIVAL, least: int = 50) -> DataFrame:
+    """(feature_set, n, revived, auc, rho): how well quiet songs that come back are told from those
+    that don't, with affinity and without; rho is the rank correlation of affinity and coming back.
+    No rows where all or none come back, or no more than `least` snapshots are quiet."""
+    quiet = panel.filter("level = 0 and A is not null").withColumns({"back": (F.col("future") > 0).cast("int"), "fold": fold_of("song_id"), "key": F.struct("song_id", "T")})
+    quiet = stage(quiet, "quiet")
+    counts = quiet.agg(F.count("*").alias("n"), F.coalesce(F.sum("back"), F.lit(0)).alias("back")).first()
+    base = ["dsl", "familiarity", "age"]
+    out = quiet.sparkSession.createDataFrame([], "feature_set string, n long, revived double, auc double, rho double")
+    if counts["n"] <= least or counts["back"] in (0, counts["n"]):
+        return out
+    sets = {"trajectory": base, "trajectory and A": [*base, "A"]}
+    scored = stage(_boosted_out_of_fold(quiet, sets, "back", p), "scored")
+    rho = lifecycle.spearman(quiet, "A", "back", []).select("rho")
+    for name in sets:
+        found = lifecycle.mann_whitney(scored.filter(F.col("feature_set") == name).withColumn("one", F.col("y") > 0), "predicted", "one")
+        out = out.unionByName(found.crossJoin(F.broadcast(rho)).select(F.lit(name).alias("feature_set"), (F.col("n1") + F.col("n0")).alias("n"), (F.col("n1") / (F.col("n1") + F.col("n0"))).alias("revived"), "auc", "rho"))
+    return out

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from encore.functions.times import days
-from encore.operators import lifecycle
+from encore.operators import lifecycle, order
 from encore.staging import stage
 
 
@@ -102,9 +102,23 @@ def compare_shapes(times: DataFrame) -> DataFrame:
     return both.select("events", rows.alias("r")).select("r.model", "r.ll", "r.parameters", (F.col("r.parameters") * F.log("events") - 2 * F.col("r.ll")).alias("bic"))
 
 
+def halves(times: DataFrame, at: float = 0.5, least: int = 8) -> DataFrame:
+    """(song_id, n, past, future): plays up to a part of the song's horizon and after it; songs of
+    at least `least` plays in the first part."""
+    cut = 1 + at * (F.col("horizon") - 1)
+    return times.groupBy("song_id").agg(F.count("*").alias("n"), F.count_if(F.col("t") <= cut).alias("past"), F.count_if(F.col("t") > cut).alias("future")).filter(F.col("past") >= least)
+
+
+def with_baselines(songs: DataFrame) -> DataFrame:
+    """`songs` (past, future) with what the plays so far, and those by the songs' median ratio of
+    later to earlier plays, foretell."""
+    ratio = order.quantiles(songs.select((F.col("future") / F.greatest("past", F.lit(1))).alias("r")), "r", [0.5]).select(F.col("q").alias("ratio"))
+    return songs.crossJoin(F.broadcast(ratio)).select("*", F.col("past").cast("double").alias("persistence"), (F.col("past") * F.col("ratio")).alias("population")).drop("ratio")
+
+
 def forecast(times: DataFrame, at: float = 0.5, least: int = 8) -> DataFrame:
     """(song_id, past, future, predicted): a fit up to a part of the horizon foretells the rest; at
-    most five times the past."""
+    most five times all the song's plays."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         t, horizon = np.sort(pdf["t"].to_numpy()), float(pdf["horizon"].iloc[0])
@@ -115,11 +129,48 @@ def forecast(times: DataFrame, at: float = 0.5, least: int = 8) -> DataFrame:
         k, tau, _ = fit_weibull(past, d)
         cdf = lambda x: -np.expm1(-((x / tau) ** k))
         more = len(past) / max(cdf(d), 1e-12) * (cdf(horizon) - cdf(d))
-        return pd.DataFrame([(pdf["song_id"].iloc[0], len(past), len(t) - len(past), min(more, 5.0 * len(past)))], columns=["song_id", "past", "future", "predicted"])
+        return pd.DataFrame([(pdf["song_id"].iloc[0], len(past), len(t) - len(past), min(more, 5.0 * len(t)))], columns=["song_id", "past", "future", "predicted"])
 
     return times.groupBy("song_id").applyInPandas(run, "song_id long, past long, future long, predicted double")
 
 
+def errors_of(rows: DataFrame, predictors: list[str], actual: str = "future") -> DataFrame:
+    """(predictor, n, mae, median_error, rho) of each predictor's column against what came."""
+    out = None
+    for name in predictors:
+        one = rows.select(F.col(name).cast("double").alias("x"), F.col(actual).cast("double").alias("y")).withColumn("e", F.abs(F.col("x") - F.col("y")))
+        middle = order.quantiles(one, "e", [0.5]).select(F.col("q").alias("median_error"))
+        rho = lifecycle.spearman(one, "x", "y", []).select("rho")
+        found = one.agg(F.count("*").alias("n"), F.avg("e").alias("mae")).crossJoin(F.broadcast(middle)).crossJoin(F.broadcast(rho)).select(F.lit(name).alias("predictor"), "n", "mae", "median_error", "rho")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def forecast_report(times: DataFrame, at: float = 0.5, least: int = 8) -> DataFrame:
+    """Errors of three ways to foretell a song's later plays: as many as so far, those by the songs'
+    median ratio, and the fit of the song's first part."""
+    times = stage(times, "times")
+    rows = stage(with_baselines(halves(times, at, least)).join(forecast(times, at, least).select("song_id", F.col("predicted").alias("weibull")), "song_id"), "forecasts")
+    return errors_of(rows, ["persistence", "population", "weibull"])
+
+
+def tau_summary(fits: DataFrame) -> DataFrame:
+    """(songs, open_share, p25, median, p75, iqr): how many songs' tau lies beyond what was observed,
+    and the quartiles of tau of the others."""
+    fits = stage(fits.select("tau", "still_open"), "fits")
+    q = order.quantiles(fits.filter("not still_open"), "tau", [0.25, 0.5, 0.75])
+    at = lambda x: F.max(F.when(F.col("share") == x, F.col("q")))
+    middle = q.agg(at(0.25).alias("p25"), at(0.5).alias("median"), at(0.75).alias("p75"))
+    return fits.agg(F.count("*").alias("songs"), F.avg(F.col("still_open").cast("double")).alias("open_share")).crossJoin(F.broadcast(middle)).withColumn("iqr", F.col("p75") - F.col("p25"))
+
+
+def tau_life_span(fits: DataFrame, plays: DataFrame) -> DataFrame:
+    """(n, rho, p): the rank correlation of tau and the days from first to last play, over songs
+    whose tau was observed. Near 1, dividing times by the life span divides by the answer."""
+    spans = lifecycle.life_span(plays).select("song_id", days(F.col("t0"), F.col("tl")).alias("span"))
+    return lifecycle.spearman(fits.filter("not still_open").join(spans, "song_id"), "tau", "span", []).select("n", "rho", "p")
+
+
 def identifiability(times: DataFrame, parts: tuple[float, ...] = (0.3, 0.5, 0.7, 0.9), least: int = 30) -> DataFrame:
     """(part, songs, median_error): how far tau from a song's first events is from that of all."""
 

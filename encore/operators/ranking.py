@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from encore.functions.times import uniform
 from encore.functions.vectors import dot, unit
+from encore.operators.order import quantiles
 
 #: Exponents of A and 1 + R by mode.
 MODES = {"comfort": (1.0, 0.0), "balanced": (1.0, 1.0), "now": (1.0, 2.0)}
@@ -16,7 +17,7 @@ def mode_playlist(songs: DataFrame, mode: str = "balanced", total: int = 20, n_n
     """`songs` (song_id, A, R, familiarity): the best known songs by A^a (1+R)^b, then the best of
     the little known (familiarity up to the 30 % point) by A that aren't in yet."""
     a, b = MODES[mode]
-    q30 = songs.agg(F.percentile("familiarity", F.lit(0.3)).alias("q30"))
+    q30 = quantiles(songs, "familiarity", [0.3]).select(F.col("q").alias("q30"))
     rows = songs.crossJoin(F.broadcast(q30)).withColumn("s", F.pow("A", F.lit(a)) * F.pow(1 + F.col("R"), F.lit(b)))
     cols = ["song_id", "A", "R", "s", "familiarity"]
     main = rows.filter("familiarity > q30").orderBy(F.desc("s"), "song_id").limit(total - n_new).select(*cols, F.lit("main").alias("slot"))

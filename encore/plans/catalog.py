@@ -133,7 +133,7 @@ def hidden_gems(spark, d):
 
 @_tidied
 def growth_signals(spark, d):
-    return scores.growth_signals(plays_e(spark, d), share=0.05)
+    return scores.growth_signals(plays_e(spark, d), share=0.3)
 
 
 @_tidied
@@ -274,12 +274,12 @@ def partial_spearman(spark, d):
 
 @_tidied
 def wilcoxon_w(spark, d):
-    return lifecycle.wilcoxon(lifecycle.cooling_slope(plays_l(spark, d)).select(F.round("rho", 9).alias("rho")), "rho")
+    return lifecycle.wilcoxon(lifecycle.cooling_slope(plays_l(spark, d)).select(F.round("rho", 9).alias("rho")), "rho").drop("p")
 
 
 @_tidied
 def mannwhitney_u(spark, d):
-    return lifecycle.mann_whitney(rated(spark, d).withColumn("loved", F.col("A") >= 3), "familiarity", "loved")
+    return lifecycle.mann_whitney(rated(spark, d).withColumn("loved", F.col("A") >= 3), "familiarity", "loved").drop("p")
 
 
 @_tidied
@@ -486,7 +486,7 @@ def slot_insert(spark, d):
 
 @_tidied
 def dj_order(spark, d):
-    rows = ranking.interleave(plays_e(spark, d).groupBy("user_id", "song_id", "artist").agg(F.count("*").alias("weight")), "user_id").filter("pos < 30")
+    rows = ranking.interleave(plays_e(spark, d).groupBy("user_id", "song_id", "artist").agg(F.count("*").alias("weight")), "user_id")
     return ranking.play_order(rows.select("user_id", "song_id", "artist", "pos"))
 
 
@@ -596,20 +596,65 @@ def fpca_pc1(spark, d):
     return models.first_component_share(plays_d(spark, d))
 
 
+def _behaviour(spark, d) -> DataFrame:
+    """Songs of the log of users, with all rates of the reference and eight components of their vector."""
+    songs = features.song_features(plays_l(spark, d)).join(features.song_rates(plays_e(spark, d), ["is_session_start", "is_artist_deep_dive"]).withColumnsRenamed({"is_session_start": "session_start_rate", "is_artist_deep_dive": "deep_dive_rate"}), "song_id", "left")
+    return models.with_components(songs, vectors_of(spark, d), 8)
+
+
+CORE = ["completed_plays", "completion_rate", "immediate_skip_rate", "sample_skip_rate", "proactive_rate", "session_start_rate"]
+AUDIO = [f"audio_{k}" for k in range(8)]
+
+
+@_tidied
+def song_rates(spark, d):
+    return features.song_rates(plays_e(spark, d), ["is_session_start", "is_artist_deep_dive", "is_proactive"])
+
+
+@_tidied
+def audio_components(spark, d):
+    """The components themselves, signs fixed, as features of songs that have at least five plays."""
+    songs = features.song_features(plays_l(spark, d)).select("song_id")
+    return models.with_components(songs, vectors_of(spark, d), 8)
+
+
 @_tidied
 def amplitude_gbt(spark, d):
-    columns = ["completion_rate", "immediate_skip_rate", "sample_skip_rate", "proactive_rate"]
-    return models.amplitude(features.song_features(plays_l(spark, d)), labels_of(spark, d), columns)
+    return models.amplitude(_behaviour(spark, d), labels_of(spark, d), [*CORE, *AUDIO])
+
+
+@_tidied
+def fold_encodings(spark, d):
+    songs = catalogue(plays_l(spark, d)).select("song_id", "artist")
+    known = songs.join(labels_of(spark, d), "song_id")
+    return models.fold_encodings(known, known).select("rep", "fold", "song_id", "mean_enc", "shrink_enc")
+
+
+@_tidied
+def encoder_comparison(spark, d):
+    sets = {"core": CORE, "core and audio": [*CORE, *AUDIO], "core, audio and deep dives": [*CORE, *AUDIO, "deep_dive_rate"]}
+    return models.encoder_comparison(_behaviour(spark, d), labels_of(spark, d), sets)
+
+
+def _panel(spark, d) -> DataFrame:
+    return stage(lifecycle.snapshots(plays_d(spark, d)).join(pseudo_score(plays_d(spark, d)), "song_id", "left"), "panel")
 
 
 @_tidied
 def panel_gbt_oof(spark, d):
-    return models.panel_models(stage(lifecycle.snapshots(plays_d(spark, d)), "panel"))
+    return models.panel_models(_panel(spark, d))
+
+
+@_tidied
+def panel_line_oof(spark, d):
+    """The line's part of the comparison, which SQL can hold: the level alone, by folds of songs."""
+    rows = _panel(spark, d).withColumn("fold", models.fold_of("song_id"))
+    return models.line_out_of_fold(rows, ["level"], "future").select("song_id", "T", "predicted")
 
 
 @_tidied
 def revival_auc(spark, d):
-    return models.revival(stage(lifecycle.snapshots(plays_d(spark, d)), "panel"))
+    return models.revival(_panel(spark, d))
 
 
 def _times(spark, d, clock: str = "days") -> DataFrame:
@@ -631,6 +676,60 @@ def weibull_bic(spark, d):
     return pointprocess.compare_shapes(stage(_times(spark, d), "times"))
 
 
+@_tidied
+def forecast_baselines(spark, d):
+    """What needs no fit: the songs' halves and two baselines of each."""
+    return pointprocess.with_baselines(pointprocess.halves(_times(spark, d)))
+
+
+@_tidied
+def baseline_errors(spark, d):
+    rows = stage(pointprocess.with_baselines(pointprocess.halves(_times(spark, d))), "baselines")
+    return pointprocess.errors_of(rows, ["persistence", "population"])
+
+
+@_tidied
+def forecast_report(spark, d):
+    return pointprocess.forecast_report(_times(spark, d))
+
+
+@_tidied
+def tau_summary(spark, d):
+    return pointprocess.tau_summary(pointprocess.fit_songs(_times(spark, d)))
+
+
+@_tidied
+def tau_life_span(spark, d):
+    return pointprocess.tau_life_span(pointprocess.fit_songs(_times(spark, d)), plays_d(spark, d))
+
+
+@_tidied
+def rank_tests(spark, d):
+    """p-values of the three rank tests over the same songs."""
+    songs = stage(rated(spark, d), "rated")
+    rho = lifecycle.spearman(songs, "A", "R", []).select(F.lit("spearman").alias("test"), "n", "p")
+    u = lifecycle.mann_whitney(songs.withColumn("loved", F.col("A") >= 3), "familiarity", "loved").select(F.lit("mann-whitney").alias("test"), (F.col("n1") + F.col("n0")).alias("n"), "p")
+    w = lifecycle.wilcoxon(lifecycle.cooling_slope(plays_l(spark, d)).select(F.round("rho", 9).alias("rho")), "rho").select(F.lit("wilcoxon").alias("test"), "n", "p")
+    return rho.unionByName(u).unionByName(w)
+
+
+@_tidied
+def holdout_groups(spark, d):
+    held = lifecycle.holdout(plays_l(spark, d), F.expr("timestamp'1997-06-01'")).withColumn("rho", F.round("rho", 9))
+    return lifecycle.holdout_groups(held).drop("p")
+
+
+@_tidied
+def vector_silhouette(spark, d):
+    rows = table(spark, d, "embeddings")
+    return models.silhouette(rows, "vec_id", "embedding", "label").groupBy("label").agg(F.count("*").alias("n"), F.avg("silhouette").alias("silhouette"))
+
+
+@_tidied
+def curve_silhouette(spark, d):
+    return models.curve_silhouette(plays_l(spark, d))
+
+
 @_tidied
 def weibull_forecast(spark, d):
     return pointprocess.forecast(_times(spark, d))

@@ -111,6 +111,13 @@ _MATCH = "EXISTS (SELECT 1 FROM idx WHERE idx.alias = en.alias AND (t = nt OR li
 
 _SQUEEZE = r"regexp_replace(lower(trim({0})), '\s+', ' ', 'g')"
 
+_AVG_RANK = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0::DOUBLE"
+_FOLDS = [_CAT, _LABEL, f"kf AS (SELECT song_id, artist, label, rep, floor({_u('rep', "(rep || ':' || song_id)")} * 5)::INT AS fold FROM cat JOIN lab USING (song_id), range(10) r(rep))",
+          "ag AS (SELECT rep, f, artist, count(label) FILTER (WHERE fold <> f) AS n, coalesce(sum(label) FILTER (WHERE fold <> f), 0) AS s FROM kf, range(5) q(f) GROUP BY ALL)", "gl AS (SELECT rep, f, avg(label) FILTER (WHERE fold <> f) AS g FROM kf, range(5) q(f) GROUP BY ALL)"]
+_BASELINES = """hv AS (SELECT song_id, count(*)::BIGINT AS n, count(*) FILTER (WHERE t <= 1 + 0.5::DOUBLE * (h - 1))::BIGINT AS past, count(*) FILTER (WHERE t > 1 + 0.5::DOUBLE * (h - 1))::BIGINT AS future
+  FROM (SELECT song_id, (epoch(ts)::BIGINT - epoch(t0)::BIGINT) / 86400.0::DOUBLE + 1 AS t, (epoch((SELECT max(ts) FROM pd))::BIGINT - epoch(t0)::BIGINT) / 86400.0::DOUBLE + 1 AS h FROM pd JOIN life USING (song_id)) GROUP BY song_id HAVING past >= 8),
+bl AS (SELECT *, past::DOUBLE AS persistence, past * (SELECT quantile_cont(future / greatest(past, 1)::DOUBLE, 0.5) FROM hv) AS population FROM hv)"""
+
 #: name: (common table expressions, select)
 _SQL: dict[str, tuple[list[str], str]] = {
     "scan_filter_completed": ([], "SELECT artist, count(*)::BIGINT AS n, sum(is_proactive)::BIGINT AS proactive FROM pl WHERE skip_type = 0 GROUP BY artist"),
@@ -125,7 +132,7 @@ _SQL: dict[str, tuple[list[str], str]] = {
     "weekly_trend": ([_TREND], "SELECT artist, round(artist_trend, 6) AS artist_trend FROM trend"),
     "affinity_momentum": ([_SCORES], "SELECT song_id, affinity, momentum, zone, total_plays FROM score"),
     "hidden_gems": ([_SCORES], "SELECT song_id, affinity, momentum, CASE WHEN momentum > 0.8 THEN 'fire' WHEN affinity > 0.8 THEN 'heart' WHEN momentum < 0.2 THEN 'snow' ELSE 'note' END AS icon FROM score WHERE affinity >= 0.4 AND momentum <= 0.15"),
-    "growth_signals": ([], "SELECT artist, song_id AS trigger_song_id, recent, history, round(recent / history::DOUBLE, 6) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY artist ORDER BY recent DESC, song_id) AS rn FROM (SELECT artist, song_id, count(*)::BIGINT AS recent FROM pe WHERE ts >= (SELECT max(ts) FROM pe) - INTERVAL 14 DAY GROUP BY artist, song_id)) JOIN (SELECT song_id, count(*)::BIGINT AS history FROM pe GROUP BY song_id) USING (song_id) WHERE rn = 1 AND recent >= 5 AND recent / history::DOUBLE >= 0.05"),
+    "growth_signals": ([], "SELECT artist, song_id AS trigger_song_id, recent, history, round(recent / history::DOUBLE, 6) AS ratio FROM (SELECT *, row_number() OVER (PARTITION BY artist ORDER BY recent DESC, song_id) AS rn FROM (SELECT artist, song_id, count(*)::BIGINT AS recent FROM pe WHERE ts >= (SELECT max(ts) FROM pe) - INTERVAL 14 DAY GROUP BY artist, song_id)) JOIN (SELECT song_id, count(*)::BIGINT AS history FROM pe GROUP BY song_id) USING (song_id) WHERE rn = 1 AND recent >= 5 AND recent / history::DOUBLE >= 0.3"),
     "decline_series": ([_DECL], "SELECT artist, weeks, round(first_mean, 6) AS first_mean, round(second_mean, 6) AS second_mean, round(slope, 6) AS slope, round(ratio, 6) AS ratio FROM decl"),
     "decline_signals": ([_DECL], "SELECT artist, coalesce(severity, 'none') AS severity FROM sev"),
     "decline_correction": ([_DECL, _totals("pd")], "SELECT song_id, artist, round(skip_rate, 6) AS skip_rate, temperature, severity, CASE WHEN severity = 'critical' AND temperature = 'Warm' THEN 'Cool' WHEN severity = 'critical' AND temperature = 'Cool' AND skip_rate > 0.15 THEN 'Frozen' WHEN severity = 'severe' AND temperature = 'Warm' AND skip_rate > 0.2 THEN 'Cool' ELSE temperature END AS corrected FROM (SELECT *, CASE WHEN skip_rate < 0.66 THEN 'Warm' ELSE 'Cool' END AS temperature FROM tot) LEFT JOIN (SELECT artist, severity FROM sev WHERE severity IS NOT NULL) USING (artist)"),
@@ -160,10 +167,12 @@ _SQL: dict[str, tuple[list[str], str]] = {
     "lyrics_clean": ([], "SELECT doc_id, md5(CASE WHEN length(b) > 50 THEN b END) AS digest FROM (SELECT doc_id, trim(text, ' ') AS b FROM documents)"),
     "merged_artists": (["ma AS (SELECT CASE WHEN song_id % 3 = 0 THEN artist || ' - Topic' ELSE artist END AS a, artist AS base FROM pl), mc AS (SELECT base, a, count(*) AS n FROM ma GROUP BY ALL)"], "SELECT arg_min(a, row(-n, a)) AS artist_key, sum(n)::BIGINT AS n FROM mc GROUP BY base"),
     "library_anti_join": ([_IDX, _EXT], f"SELECT ext_id, title FROM en WHERE NOT {_MATCH}"),
+    "library_anti_join_all": ([_IDX, _EXT], f"SELECT ext_id, title FROM en WHERE NOT {_MATCH}"),
     "known_songs": ([_IDX], "SELECT alias, count(*)::BIGINT AS entries, count(DISTINCT song_id)::BIGINT AS songs FROM idx WHERE plays >= 30 GROUP BY alias"),
     "find_song": ([_CAT], "SELECT song_id, 0.85::DOUBLE * 0 + CASE WHEN contains(lower(artist || ' ' || song_id), 'red') THEN 0.85 ELSE 0.8 END::DOUBLE AS score FROM cat WHERE contains(lower(title), 'red') OR contains(lower(artist || ' ' || song_id), 'red') ORDER BY score DESC, song_id LIMIT 10"),
     "vector_cosine_topk": ([], f"SELECT vec_id AS song_id, round({_COS.format('embedding', 's')}, 6) AS similarity FROM embeddings, (SELECT embedding AS s FROM embeddings WHERE vec_id = 0) WHERE vec_id <> 0 ORDER BY {_COS.format('embedding', 's')} DESC, vec_id LIMIT 20"),
     "vector_zscore": (["lo AS (SELECT vec_id AS song_id, i, embedding[i + 1]::DOUBLE AS x FROM embeddings, range(64) r(i))"], "SELECT song_id, i::BIGINT AS i, round(coalesce((x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0), 0), 6) + 0.0 AS z FROM lo WINDOW w AS (PARTITION BY i)"),
+    "vector_zscore_all": (["lo AS (SELECT vec_id AS song_id, i, embedding[i + 1]::DOUBLE AS x FROM embeddings, range(64) r(i))"], "SELECT song_id, i::BIGINT AS i, round(coalesce((x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0), 0), 6) + 0.0 AS z FROM lo WINDOW w AS (PARTITION BY i)"),
     "vector_impute": ([_CAT, "lo AS (SELECT vec_id AS song_id, i, embedding[i + 1]::DOUBLE AS x FROM embeddings, range(64) r(i)), mn AS (SELECT i, avg(x) AS m FROM lo GROUP BY i)"], "SELECT song_id, round(sum(coalesce(x, m)), 6) AS x FROM cat CROSS JOIN mn LEFT JOIN lo USING (song_id, i) GROUP BY song_id"),
     "tfidf": ([_TFIDF], "SELECT doc_id, count(*)::BIGINT AS terms, round(max(w), 6) AS top, round(sum(w), 6) AS total FROM tfidf GROUP BY doc_id"),
     "tfidf_cosine": ([_TFIDF], "SELECT seed, doc_id, similarity FROM (SELECT a.doc_id AS seed, b.doc_id AS doc_id, round(sum(a.w * b.w), 6) AS similarity FROM tfidf a JOIN tfidf b USING (token) WHERE a.doc_id % 20 = 0 AND a.doc_id <> b.doc_id GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY seed ORDER BY similarity DESC, doc_id) <= 10"),
@@ -183,6 +192,7 @@ _SQL: dict[str, tuple[list[str], str]] = {
     "nostalgia_internal": ([], f"SELECT song_id, artist, plays, away FROM (SELECT song_id, arg_min(artist, {_ORD}) AS artist, count(*)::BIGINT AS plays, min(ts) AS f, floor((epoch({_NOW_D}) - epoch(max(ts))) / 86400)::BIGINT AS away FROM pd GROUP BY song_id) WHERE f <= (SELECT min(ts) FROM pd) + INTERVAL 400 DAY AND plays BETWEEN 3 AND 15 AND away >= 180 AND artist NOT IN (SELECT artist FROM pd WHERE ts >= {_NOW_D} - INTERVAL 90 DAY GROUP BY artist HAVING count(*) >= 10)"),
     "nostalgia_external": ([_IDX, "mo AS (SELECT artist FROM pl GROUP BY artist ORDER BY count(*) DESC, artist LIMIT 30), tr AS (SELECT p_partkey AS ext_id, p_brand AS artist, p_name || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE ' ' || p_partkey END AS title FROM part WHERE p_brand IN (FROM mo) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) <= 10)", f"en AS (SELECT *, lower(artist) AS alias, {_norm('title')} AS t, list_transform(regexp_extract_all(title, '\\(([^)]+)\\)', 1), lambda x: {_norm('x')}) AS p FROM tr)"], f"SELECT ext_id, artist, title FROM en WHERE NOT {_MATCH}"),
     "tag_frequency": ([_TAGS, _TOP], "SELECT tag, weight FROM top"),
+    "tag_frequency_all": ([_TAGS, _TOP.replace("WHERE lib UNION", "UNION")], "SELECT tag, weight FROM top"),
     "nostalgia_select": ([_TAGS, _TOP], "SELECT id AS song_id, overlap, round(overlap / (SELECT count(*) FROM top)::DOUBLE + CASE WHEN id % 2 = 0 THEN 0.15 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 0.1 ELSE 0 END, 6) AS score FROM (SELECT id, len(list_intersect(tags, tt))::BIGINT AS overlap FROM tag, (SELECT list(tag) AS tt FROM top) WHERE NOT lib) WHERE overlap >= 2 ORDER BY score DESC, song_id LIMIT 10"),
     "incremental_anti_join": ([], "SELECT doc_id AS song_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)"),
     "ordered_union_distinct": (["ow AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), oc AS (SELECT doc_id, w || list_reverse(w) AS c FROM ow), ou AS (SELECT doc_id, min(i) AS i, c[i] AS x FROM (SELECT doc_id, c, unnest(range(1, len(c) + 1)) AS i FROM oc) GROUP BY doc_id, c[i])"], "SELECT doc_id, array_to_string(list(x ORDER BY i)[1:15], ' ') AS tags FROM ou GROUP BY doc_id"),
@@ -195,6 +205,15 @@ _SQL: dict[str, tuple[list[str], str]] = {
     "labels_by_name": ([_CAT, _LABEL, f"nk AS (SELECT song_id, {_SQUEEZE.format('title')} AS kt, {_SQUEEZE.format('artist')} AS ka FROM cat)"], "SELECT song_id, round(coalesce(l2, l1), 6) AS label FROM nk LEFT JOIN (SELECT kt, ka, min(label) AS l1, min(5 - label) FILTER (WHERE label > 2) AS l2 FROM nk JOIN lab USING (song_id) GROUP BY kt, ka) USING (kt, ka)"),
     "uniform_of_best": ([_RATED], f"SELECT song_id FROM (SELECT song_id FROM rated ORDER BY A DESC, song_id LIMIT 20) ORDER BY {_u('pick', 'song_id')}, song_id LIMIT 1"),
     "ranking_file_join": ([_CAT], "SELECT song_id, round(score, 6) AS score FROM cat JOIN (SELECT p_name AS title, p_brand AS artist, arg_max(p_retailprice::DOUBLE, p_partkey) AS score FROM part GROUP BY ALL) USING (title, artist)"),
+    "song_rates": ([], "SELECT song_id, round(avg(starts), 6) AS is_session_start, round(avg(dive), 6) AS is_artist_deep_dive, round(avg(pro), 6) AS is_proactive FROM pe JOIN (SELECT event_id, (event_type = 'purchase')::INT AS pro FROM events) USING (event_id) WHERE song_id IS NOT NULL GROUP BY song_id HAVING count(*) >= 5"),
+    "fold_encodings": (_FOLDS, "SELECT rep::BIGINT AS rep, f::BIGINT AS fold, song_id, round(coalesce(s / nullif(n, 0), g), 6) AS mean_enc, round((s + 3 * g) / (n + 3), 6) AS shrink_enc FROM (SELECT DISTINCT song_id, artist FROM kf) JOIN ag USING (artist) JOIN gl USING (rep, f)"),
+    "panel_line_oof": ([_PANEL, f"pf AS (SELECT *, floor({_u('fold', 'song_id')} * 5)::INT AS fold FROM panel), ft AS (SELECT f, regr_slope(future::DOUBLE, level::DOUBLE) FILTER (WHERE fold <> f) AS b, regr_intercept(future::DOUBLE, level::DOUBLE) FILTER (WHERE fold <> f) AS a FROM pf, range(5) q(f) GROUP BY f)"], "SELECT song_id, T, round(a + b * level, 6) AS predicted FROM pf JOIN ft ON f = fold"),
+    "forecast_baselines": ([_curve("pd"), _BASELINES], "SELECT song_id, n, past, future, persistence, round(population, 6) AS population FROM bl"),
+    "baseline_errors": ([_curve("pd"), _BASELINES], " UNION ALL ".join(f"SELECT '{c}' AS predictor, count(*)::BIGINT AS n, round(avg(abs({c} - future)), 6) AS mae, round(quantile_cont(abs({c} - future), 0.5), 6) AS median_error, round(corr(x, y), 6) AS rho FROM (SELECT *, {_AVG_RANK.format(c)} AS x, {_AVG_RANK.format('future')} AS y FROM bl)" for c in ("persistence", "population"))),
+    "holdout_groups": (["bef AS (SELECT * FROM pl WHERE ts < TIMESTAMP '1997-06-01')", _ord("bef"), _INTERVALS, _SPEAR, "hd AS (SELECT round(rho, 9) AS rho, coalesce(f, 0)::BIGINT AS fp FROM sp LEFT JOIN (SELECT song_id, count(*) AS f FROM pl WHERE ts >= TIMESTAMP '1997-06-01' GROUP BY song_id) USING (song_id) WHERE rho IS NOT NULL)",
+                        "hq AS (SELECT quantile_cont(rho, 0.25) AS lo, quantile_cont(rho, 0.75) AS hi FROM hd), hg AS (SELECT fp, true AS one FROM hd, hq WHERE rho >= hi UNION ALL SELECT fp, false FROM hd, hq WHERE rho <= lo)", f"hr AS (SELECT *, {_AVG_RANK.format('fp')} AS r FROM hg)"],
+                       "SELECT n1, n0, round(m1, 6) AS mean1, round(m0, 6) AS mean0, s - n1 * (n1 + 1) / 2.0::DOUBLE AS U, round((s - n1 * (n1 + 1) / 2.0::DOUBLE) / (n1 * n0), 6) AS auc FROM (SELECT count(*) FILTER (WHERE one)::BIGINT AS n1, count(*) FILTER (WHERE NOT one)::BIGINT AS n0, avg(fp) FILTER (WHERE one) AS m1, avg(fp) FILTER (WHERE NOT one) AS m0, sum(r) FILTER (WHERE one) AS s FROM hr)"),
+    "vector_silhouette": (["sv AS (SELECT vec_id, label::BIGINT AS label, embedding::DOUBLE[] AS e FROM embeddings), sp AS (SELECT a.vec_id, a.label AS c, b.label AS o, avg(list_distance(a.e, b.e)) AS d FROM sv a JOIN sv b ON a.vec_id <> b.vec_id GROUP BY ALL), ss AS (SELECT vec_id, c, max(d) FILTER (WHERE o = c) AS a, min(d) FILTER (WHERE o <> c) AS b FROM sp GROUP BY ALL)"], "SELECT c AS label, count(*)::BIGINT AS n, round(avg(coalesce((b - a) / greatest(a, b), 0)), 6) AS silhouette FROM ss GROUP BY c"),
 }
 
 

@@ -32,9 +32,3 @@ def test_fuzzy_match_against_a_loop(spark, sf_dir, duck):
                 due.add(key)
     assert {r["ext_id"] for r in catalog.fuzzy_match_all(spark, sf_dir).collect()} == due
     assert any(k % 7 for k in due) and {r["ext_id"] for r in catalog.fuzzy_match(spark, sf_dir).collect()} == due
-
-
-def test_tags_of_the_whole_table(spark, sf_dir, same_rows):
-    sql = oracles.oracle_sql()["tag_frequency"]
-    assert "WHERE lib UNION" in sql
-    same_rows(catalog.tag_frequency_all(spark, sf_dir), sql.replace("WHERE lib UNION", "UNION"))
