@@ -79,9 +79,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    found = pieces.decode_pieces(pieces.encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), model), model, "pieces.ids")
-    return found.select("doc_id", (F.octet_length("pieces.ids") / 4).cast("long").alias("n_tokens"), F.sha2("pieces.ids", 256).alias("ids_sha256"), F.sha2("decoded.text", 256).alias("decoded_sha256"), (F.col("pieces.agrees") & F.col("decoded.agrees")).alias("agrees"))
+    found = pieces.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", (F.octet_length("pieces.ids") / 4).cast("long").alias("n_tokens"), F.sha2("pieces.ids", 256).alias("ids_sha256"), F.sha2("pieces.text", 256).alias("decoded_sha256"), "pieces.agrees")
 
 
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
