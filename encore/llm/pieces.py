@@ -142,6 +142,8 @@ class Pieces:
 
     def encode_short(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks whose characters are all pieces, each round merging the first pair of every chunk."""
+        if not chunks:
+            return []
         none = np.iinfo(np.int64).max
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         ids = self.of_char[np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4")].astype(np.int64)

@@ -21,6 +21,9 @@ COLUMNS = {
     "op7_quality_rules": {"doc_id": "bigint", "n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean"},
     "op8_url_filter": {"page_id": "bigint", "host": "string", "path": "string", "rule": "string", "verdict": "string"},
     "op9_ngram_jaccard": {"doc_id": "bigint", "n_shingles": "bigint", "component_id": "bigint"},
+    "op11_piece_round_trip": {"doc_id": "bigint", "n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"},
+    "op12_filter_audit": {"part": "string", "filter_order": "string", "step": "int", "kept": "bigint", "removed": "bigint", "redundant": "bigint", "unique_fails": "bigint", "good_lost": "bigint", "toxic_lost": "bigint", "shapley": "bigint"},
+    "op13_hard_negatives": {"anchor_id": "bigint", "positive_id": "bigint", "rank": "int", "negative_id": "bigint", "positive_score": "bigint", "negative_score": "bigint"},
 }
 
 
@@ -35,12 +38,28 @@ def test_columns(spark, sf_dir, name):
     assert {k: found.get(k) for k in COLUMNS[name]} == COLUMNS[name]
 
 
-@pytest.mark.parametrize("name", ["op1_toxicity", "op3_html_extraction", "op7_quality_rules", "op10_license_scan"])
+@pytest.mark.parametrize("name", ["op1_toxicity", "op3_html_extraction", "op7_quality_rules", "op10_license_scan", "op11_piece_round_trip"])
 def test_one_row_for_each_input_row(spark, sf_dir, name):
     source = "pages" if name.startswith("op3") else "documents"
     assert queries.queries()[name](spark, sf_dir).count() == table(spark, sf_dir, source).count()
 
 
+def test_op11_is_what_the_library_gives(spark, sf_dir):
+    import hashlib
+
+    import numpy as np
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    due = set()
+    for r in table(spark, sf_dir, "documents").select("doc_id", "text").collect():
+        ids = library.encode(r["text"] or "", add_bos=True, add_eos=True)
+        due.add((r["doc_id"], len(ids), sha(np.array(ids, "<u4").tobytes()), sha(library.decode(ids).encode()), True))
+    assert {tuple(r) for r in queries.op11_piece_round_trip(spark, sf_dir).collect()} == due
+
+
 @pytest.fixture(scope="module")
 def planted(spark, tmp_path_factory):
     """Tables with copies, near copies, repeated lines, a benchmark passage and toxic documents."""
