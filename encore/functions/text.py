@@ -46,6 +46,20 @@ def normalize_artist(s: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.replace(s, F.lit(" - Topic"), F.lit("")), r"(?i)vevo$", "")))
 
 
+def lyrics_title(s: Column) -> Column:
+    """A title as a search for lyrics takes it: without brackets, round or square."""
+    return F.trim(F.regexp_replace(F.regexp_replace(s, r"\s*\([^)]*\)", ""), r"\s*\[[^\]]*\]", ""))
+
+
+def lyrics_artist(s: Column) -> Column:
+    return F.trim(F.replace(F.replace(s, F.lit(" - Topic"), F.lit("")), F.lit("VEVO"), F.lit("")))
+
+
+def display(title: Column, artist: Column) -> Column:
+    """`title — artist`, the artist without a channel's ending."""
+    return F.concat(title, F.lit(" — "), F.regexp_replace(artist, r" - Topic$", ""))
+
+
 def has_hangul(s: Column) -> Column:
     return s.rlike(HANGUL)
 

@@ -13,12 +13,12 @@ from encore.operators import features, matching, ranking, scores
 QUOTAS = {"default": (0.4, 0.4, 0.2), "safe": (0.6, 0.3, 0.1), "adventure": (0.2, 0.3, 0.5)}
 
 
-def internal_discovery(plays: DataFrame, context: DataFrame, n: int, songs: DataFrame | None = None) -> DataFrame:
+def internal_discovery(plays: DataFrame, context: DataFrame, n: int, songs: DataFrame | None = None, signals: DataFrame | None = None) -> DataFrame:
     """Little heard songs: of growing artists first (under 5 plays, two each), then any with at most
     3 plays, affinity from .3 and similarity from 15; one per artist. `context`: song_id, similarity
     (0..100)."""
     songs = scores.song_scores(plays) if songs is None else songs
-    signals = scores.growth_signals(plays)
+    signals = scores.growth_signals(plays) if signals is None else signals
     own = Window.partitionBy("artist").orderBy(F.desc("affinity"), "song_id")
     first = songs.join(signals.select("artist", "trigger_song_id"), "artist").filter((F.col("song_id") != F.col("trigger_song_id")) & (F.col("total_plays") < 5))
     first = first.withColumn("rn", F.row_number().over(own)).filter("rn <= 2").select("song_id", "artist", F.lit(1).alias("kind"))
@@ -65,6 +65,21 @@ def external_nostalgia(top_tracks: DataFrame, index: DataFrame, plays: DataFrame
     return matching.not_in_library(rows, index, None).select("ext_id", "artist", "title", "listeners")
 
 
+def nostalgia_by_tags(tracks: DataFrame, index: DataFrame, per_tag: int = 30) -> DataFrame:
+    """The best known tracks of each tag (ext_id, tag, artist, title, listeners) that the library
+    lacks, each title of an artist once, with `knows_artist`: whether the library has the artist
+    under some name. Known artists come first, then listeners; a title under several tags stays with
+    the first tag by name."""
+    own = Window.partitionBy("tag").orderBy(F.desc("listeners"), "ext_id")
+    best = tracks.withColumn("__rn", F.row_number().over(own)).filter(F.col("__rn") <= per_tag).drop("__rn")
+    once = Window.partitionBy(F.lower("artist"), F.lower("title")).orderBy("tag", F.desc("listeners"), "ext_id")
+    single = best.withColumn("__rn", F.row_number().over(once)).filter(F.col("__rn") == 1).drop("__rn")
+    fresh = matching.not_in_library(single, index, None)
+    names = index.select("alias").distinct().withColumn("knows_artist", F.lit(True))
+    known = fresh.select("ext_id", F.explode(matching.artist_aliases(F.col("artist"))).alias("alias")).join(names, "alias").select("ext_id", "knows_artist").distinct()
+    return fresh.join(known, "ext_id", "left").withColumn("knows_artist", F.coalesce("knows_artist", F.lit(False))).orderBy(F.desc("knows_artist"), F.desc("listeners"), "ext_id")
+
+
 def top_tags(tags: DataFrame, seeds: DataFrame, n: int = 10) -> DataFrame:
     """The most frequent tags of a playlist (song_id, tags), the seeds' counted three times more."""
     one = tags.select(F.explode("tags").alias("tag"), F.lit(1).alias("w"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from encore.functions.text import in_parens, lower_trim, may_reach, normalize_artist, normalize_title, ratio, squeeze
+from encore.functions.text import in_parens, lower_trim, may_reach, normalize_artist, normalize_title, ratio
 
 #: Other names of artists, one way each as listed.
 ALIASES = {
@@ -30,6 +30,13 @@ ALIASES = {
 }
 
 
+#: channels' names of artists that no rule brings together.
+CHANNELS = {
+    "잔나비": "JANNABI - Topic", "검정치마": "The Black Skirts - Topic", "한로로 HANRORO": "HANRORO - Topic", "카더가든 (Car, the garden)": "Car, the Garden - Topic", "장범준": "Jang Beom June - Topic",
+    "로이킴 Roy Kim": "Roy Kim - Topic", "쏜애플 / THORNAPPLE": "Thornapple - Topic", "노을Noel": "Noel - Topic", "웅키": "Ungki - Topic",
+}
+
+
 def search(catalogue: DataFrame, query: str, limit: int = 30) -> DataFrame:
     """Songs whose title or artist holds the query; an empty one gives the first 50 by title."""
     if not query.strip():
@@ -86,8 +93,9 @@ def known_songs(index: DataFrame, least: int = 5) -> DataFrame:
 
 def merge_artists(plays: DataFrame, manual: dict[str, str] | None = None) -> DataFrame:
     """`plays` with `artist_key`: names that are equal without a channel's ending, in lower case,
-    take the most played spelling. `manual` maps spellings before."""
+    take the most played spelling. `manual` (CHANNELS if None) maps spellings before."""
     name = F.col("artist")
+    manual = CHANNELS if manual is None else manual
     if manual:
         name = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in manual.items() for x in kv)), name), name)
     rows = plays.withColumn("__name", name).withColumn("__base", normalize_artist(name))
@@ -102,32 +110,12 @@ def reverse_aliases(aliases: DataFrame) -> DataFrame:
     return rows.groupBy("alias").agg(F.max_by("song_id", F.struct("ord", "song_id")).alias("song_id"))
 
 
-def find_song(index: DataFrame, query: str, artist: str | None = None, limit: int = 10) -> DataFrame:
-    """(song_id, score): an exact alias scores 1 and stands alone; else parts of the Korean title
-    .9, of an alias .85, of the English title .8. `index`: song_id, title_en, title_kr, artist,
-    aliases."""
-    q = F.lit(query.strip().lower())
-    rows = index
-    if artist:
-        a, mine = F.lower("artist"), F.lit(artist.lower())
-        rows = rows.filter(F.contains(a, mine) | F.contains(mine, a))
-    exact = F.exists("aliases", lambda x: F.lower(x) == q)
-    part = F.greatest(
-        F.when(F.contains(F.lower(F.coalesce("title_en", F.lit(""))), q), 0.8).otherwise(0.0), F.when(F.exists("aliases", lambda x: F.contains(F.lower(x), q)), 0.85).otherwise(0.0),
-        F.when(F.contains(F.lower(F.coalesce("title_kr", F.lit(""))), q), 0.9).otherwise(0.0),
-    )
-    scored = rows.select("song_id", F.when(exact, 1.0).otherwise(part).alias("score")).filter("score > 0")
-    best = scored.agg(F.max("score").alias("best"))
-    kept = scored.crossJoin(F.broadcast(best)).filter("best < 1 or score = 1").drop("best")
-    ranked = kept.withColumn("rn", F.row_number().over(Window.partitionBy("score").orderBy("song_id")))
-    return ranked.filter("score < 1 or rn = 1").drop("rn").orderBy(F.desc("score"), "song_id").limit(limit)
-
-
 def labels_by_name(songs: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
     """`songs` (title, artist) with the `label` of their normalised names; a label of `second` goes
-    before one of `first`, of several the least is taken."""
-    keys = {"__t": squeeze(F.col("title")), "__a": squeeze(F.col("artist"))}
-    rows = first.withColumns(keys).select("__t", "__a", "label", F.lit(1).alias("place"))
-    rows = rows.unionByName(second.withColumns(keys).select("__t", "__a", "label", F.lit(0).alias("place"))).filter("label is not null")
-    best = rows.groupBy("__t", "__a").agg(F.min(F.struct("place", "label")).alias("m")).select("__t", "__a", "m.label")
+    before one of `first`. Names are trimmed and in lower case; of several rows of one name in a file
+    the last by `place` counts."""
+    keys = {"__t": lower_trim(F.col("title")), "__a": lower_trim(F.col("artist"))}
+    rows = first.withColumns(keys).select("__t", "__a", "label", F.lit(0).alias("file"), "place")
+    rows = rows.unionByName(second.withColumns(keys).select("__t", "__a", "label", F.lit(1).alias("file"), "place")).filter("label is not null")
+    best = rows.groupBy("__t", "__a").agg(F.max_by("label", F.struct("file", "place")).alias("label"))
     return songs.withColumns(keys).join(best, ["__t", "__a"], "left").drop("__t", "__a")

@@ -68,11 +68,10 @@ def with_components(songs: DataFrame, vectors: DataFrame, k: int = 8, name: str
     """`songs` with their vector's first k principal components, `{name}_0` on. Vectors (song_id, v)
     are taken by column mean and deviation over all songs, a song without one has the means. Each
     component's largest weight is positive, so signs don't depend on the solver."""
-    rows = songs.join(vectors.select("song_id", array_to_vector(F.transform("v", lambda x: x.cast("double"))).alias("__v")), "song_id", "left")
-    rows = stage(rows, "vectors")
-    stats = rows.filter(F.col("__v").isNotNull()).agg(Summarizer.metrics("mean", "variance", "count").summary(F.col("__v")).alias("s")).select(vector_to_array("s.mean").alias("m"), vector_to_array("s.variance").alias("v"), F.col("s.count").alias("k")).crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))
+    rows = stage(songs.join(vectors.select("song_id", F.transform("v", lambda x: x.cast("double")).alias("__v")), "song_id", "left"), "vectors")
+    stats = rows.filter(F.col("__v").isNotNull()).agg(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("__v")).alias("s")).select(vector_to_array("s.mean").alias("m"), vector_to_array("s.variance").alias("v"), F.col("s.count").alias("k")).crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))
     stats = stats.select("m", F.transform("v", lambda x: F.sqrt(x * (F.col("k") - 1) / F.col("n")) + 1e-9).alias("d"))
-    z = F.zip_with(F.zip_with(F.coalesce(vector_to_array("__v"), F.col("m")), "m", lambda x, m: x - m), "d", lambda x, d: x / d)
+    z = F.zip_with(F.zip_with(F.coalesce("__v", "m"), "m", lambda x, m: x - m), "d", lambda x, d: x / d)
     ready = stage(rows.crossJoin(F.broadcast(stats)).withColumn("__z", array_to_vector(z)).drop("__v", "m", "d"), "scaled")
     weights = PCA(k=k, inputCol="__z", outputCol="__pc").fit(ready).pc.toArray()
     weights = weights * np.sign(weights[np.abs(weights).argmax(0), np.arange(k)])

@@ -77,25 +77,33 @@ def slots(main: DataFrame, found: DataFrame) -> DataFrame:
     return moved.unionByName(placed.withColumn("pos", F.col("pos").cast("long")))
 
 
+def apart(artists: list, passes: int = 3) -> list[int]:
+    """The order in which neighbours of one artist are parted: such a row changes places with the
+    first later one of another artist that would not stand beside its own there, unless none does;
+    at most `passes` times over the list."""
+    order = list(range(len(artists)))
+    at = lambda k: artists[order[k]]
+    for _ in range(passes):
+        moved = False
+        for i in range(1, len(order)):
+            if at(i) != at(i - 1):
+                continue
+            free = (j for j in range(i + 1, len(order)) if at(j) != at(i) and at(j) != at(j - 1) and (j + 1 == len(order) or at(j) != at(j + 1)))
+            if (j := next(free, None)) is not None:
+                order[i], order[j], moved = order[j], order[i], True
+        if not moved:
+            break
+    return order
+
+
 def play_order(playlist: DataFrame, by: str = "user_id", passes: int = 3) -> DataFrame:
-    """Each playlist's rows (pos, song_id, artist) with neighbours of one artist apart where a swap
-    with a later row does it. Playlists have a few dozen rows; each is one group."""
+    """Each playlist's rows (pos, song_id, artist) with neighbours of one artist apart where `apart`
+    does it. A playlist is one group."""
 
     def run(pdf):
-        rows = pdf.sort_values(["pos", "song_id"]).to_dict("records")
-        for _ in range(passes):
-            moved = False
-            for i in range(1, len(rows)):
-                if rows[i]["artist"] == rows[i - 1]["artist"]:
-                    after = rows[i + 1]["artist"] if i + 1 < len(rows) else None
-                    j = next((j for j in range(i + 1, len(rows)) if rows[j]["artist"] not in (rows[i - 1]["artist"], after if j != i + 1 else None)), None)
-                    if j is not None:
-                        rows[i], rows[j], moved = rows[j], rows[i], True
-            if not moved:
-                break
-        import pandas as pd
-
-        return pd.DataFrame([r | {"pos": k} for k, r in enumerate(rows)], columns=pdf.columns)
+        pdf = pdf.sort_values(["pos", "song_id"], ignore_index=True)
+        out = pdf.iloc[apart([None if x != x else x for x in pdf["artist"]], passes)].reset_index(drop=True)
+        return out.assign(pos=range(len(out)))
 
     return playlist.groupBy(by).applyInPandas(run, playlist.schema)
 
@@ -109,24 +117,35 @@ def interleave(rows: DataFrame, by: str, weight: str = "weight", key: str = "son
     return tiers.withColumn("pos", F.row_number().over(own.orderBy("within", turn)) - 1).drop("third", "within")
 
 
+#: Exponents of affinity, momentum and context, and the share of discoveries, by preset.
+PRESETS = {"default": (1.0, 1.0, 1.0, 0.20), "explore": (0.7, 0.5, 1.5, 0.40), "comfort": (1.5, 0.7, 0.8, 0.15)}
+#: The preset `lgbm` adds up the foretold affinity (1..5, 2.5 if unknown) and context.
+LGBM = (0.45, 0.55, 2.5, 0.20)
+
+
 def mixed_weights(songs: DataFrame, preset: str = "default", jitter: float = 0.0, seed: str = "mix") -> DataFrame:
-    """`songs` (affinity, momentum, context 0..100) with the mixer's weight."""
-    wa, wm, wc, _ = {"default": (1.0, 1.0, 1.0, 0.20), "explore": (0.7, 0.5, 1.5, 0.40), "comfort": (1.5, 0.7, 0.8, 0.15)}[preset]
-    ctx = F.greatest(F.lit(0.01), F.col("context") / 100.0)
+    """`songs` (affinity, momentum, context 0..100; for `lgbm` A) with the mixer's weight. Unknown
+    affinity and momentum are .5, an unknown context is 100."""
+    ctx = F.greatest(F.lit(0.01), F.coalesce("context", F.lit(100.0)) / 100.0)
     noise = uniform(seed, F.col("song_id")) * jitter if jitter else F.lit(0.0)
-    return songs.withColumn("weight", F.pow("affinity", F.lit(wa)) * F.pow("momentum", F.lit(wm)) * F.pow(ctx, F.lit(wc)) + noise)
+    if preset == "lgbm":
+        wl, wc, unknown, _ = LGBM
+        return songs.withColumn("weight", wl * F.coalesce("A", F.lit(unknown)) / 5.0 + wc * ctx + noise)
+    wa, wm, wc, _ = PRESETS[preset]
+    return songs.withColumn("weight", F.pow(F.coalesce("affinity", F.lit(0.5)), F.lit(wa)) * F.pow(F.coalesce("momentum", F.lit(0.5)), F.lit(wm)) * F.pow(ctx, F.lit(wc)) + noise)
 
 
 def mixer(songs: DataFrame, discoveries: DataFrame, size: int = 20, preset: str = "default") -> DataFrame:
     """The playlist (pos, song_id, is_new): discoveries first under the artist cap, then the library
     by weight under the same cap; what was discovered is not taken twice."""
     cap = cap_for(size)
-    n_new = max(1, int({"default": 0.20, "explore": 0.40, "comfort": 0.15}[preset] * size))
+    n_new = max(1, int((LGBM if preset == "lgbm" else PRESETS[preset])[3] * size))
     new = artist_cap(discoveries, cap, "score").orderBy(F.desc("score"), "song_id").limit(n_new)
     used = new.groupBy("artist").agg(F.count("*").alias("used"))
     rows = mixed_weights(songs, preset).join(new.select("song_id"), "song_id", "left_anti").join(F.broadcast(used), "artist", "left")
     own = Window.partitionBy("artist").orderBy(F.desc("weight"), "song_id")
-    main = rows.withColumn("rn", F.row_number().over(own) + F.coalesce("used", F.lit(0))).filter(F.col("rn") <= cap).orderBy(F.desc("weight"), "song_id").limit(size - n_new)
+    left = size - new.count()  # at most a playlist's discoveries; what they lack the library fills
+    main = rows.withColumn("rn", F.row_number().over(own) + F.coalesce("used", F.lit(0))).filter(F.col("rn") <= cap).orderBy(F.desc("weight"), "song_id").limit(left)
     ranked = lambda df, w: df.select("song_id", (F.row_number().over(Window.orderBy(F.desc(w), "song_id")) - 1).alias("rank"))  # noqa: E731  a playlist
     return slots(ranked(main, "weight"), ranked(new, "score"))
 

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from encore.functions import labels, text, times, vectors
-from encore.operators import discovery, features, lifecycle, matching, models, pointprocess, ranking, scores, similarity
-
+from encore.operators import aliases, discovery, features, lifecycle, matching, models, pointprocess, ranking, scores, similarity
+from encore.plans import recommendation
 from encore.sources.adapters import plays_d, plays_e, plays_l, table
 from encore.staging import stage
 
@@ -358,10 +358,64 @@ def known_songs(spark, d):
     return matching.known_songs(_library(spark, d), 30)
 
 
+def _named(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Parts as songs with Korean names, in brackets, whole, or only in the metadata, and of artists
+    that have an entry of their own."""
+    k, part = F.col("p_partkey"), table(spark, d, "part")
+    word = F.split("p_name", " ")[0]
+    title = F.when(k % 5 == 0, F.concat(F.lit("노래 "), k.cast("string"))).when(k % 5 == 1, F.concat("p_name", F.lit(" (빨강 "), k.cast("string"), F.lit(")"))).when(k % 5 == 2, "Step (live)").when(k % 5 == 3, F.concat("p_name", F.lit(" (live)"))).otherwise(F.col("p_name"))
+    artist = F.when(k % 5 == 2, F.when(k % 2 == 0, "JANNABI - Topic").otherwise("Nell")).otherwise(F.concat("p_brand", F.lit(" - Topic")))
+    songs = part.select(k.alias("song_id"), title.alias("title"), artist.alias("artist"))
+    meta = part.filter(k % 4 == 0).select(k.alias("song_id"), F.when(k % 8 == 0, F.concat(word, F.lit(" 노을"))).otherwise(word).alias("found_title"), k.alias("place"))
+    return songs, meta
+
+
+@_tidied
+def song_aliases(spark, d):
+    rows = aliases.build_aliases(*_named(spark, d))
+    return rows.select("song_id", "title_en", "title_kr", "artist", F.array_join("aliases", "|").alias("aliases"))
+
+
+@_tidied
+def alias_names(spark, d):
+    return aliases.names_of(aliases.build_aliases(*_named(spark, d)))
+
+
 @_tidied
 def find_song(spark, d):
-    songs = catalogue(plays_l(spark, d)).select("song_id", F.col("title").alias("title_en"), F.lit(None).cast("string").alias("title_kr"), "artist", F.array(F.concat("artist", F.lit(" "), F.col("song_id").cast("string"))).alias("aliases"))
-    return matching.find_song(songs, "red")
+    return aliases.find_song(aliases.build_aliases(*_named(spark, d)), "노을")
+
+
+@_tidied
+def find_song_exact(spark, d):
+    """An exact name of an artist asked for in Korean."""
+    return aliases.find_song(aliases.build_aliases(*_named(spark, d)), "한걸음", "잔나비")
+
+
+@_tidied
+def seed_resolution(spark, d):
+    """Every supplier's and customer's seed against every song: words, whole names, and longer ones."""
+    songs = catalogue(plays_l(spark, d)).select("song_id", "title", "artist")
+    k = F.col("p_partkey")
+    title = F.when(k % 4 == 0, F.split("p_name", " ")[0]).when(k % 4 == 1, F.concat("p_name", F.lit(" (Remix)"))).when(k % 4 == 2, F.upper("p_name")).otherwise(F.substring("p_name", 2, 2))
+    seeds = table(spark, d, "part").select(k.alias("seed_id"), title.alias("title"), F.when(k % 3 == 0, F.substring("p_brand", 1, 7)).otherwise(F.upper("p_brand")).alias("artist"))
+    return aliases.resolve_seeds(songs, seeds)
+
+
+@_tidied
+def lyrics_query(spark, d):
+    made = F.concat("p_name", F.lit(" [live] (feat. "), "p_brand", F.lit(")"))
+    return table(spark, d, "part").select("p_partkey", text.lyrics_title(made).alias("title"), text.lyrics_artist(F.concat("p_brand", F.lit("VEVO"))).alias("artist"), text.display(F.col("p_name"), F.concat("p_brand", F.lit(" - Topic"))).alias("shown"))
+
+
+@_tidied
+def mixer_weights(spark, d):
+    """Every song's weight by every preset."""
+    songs = scores.song_scores(plays_d(spark, d)).join(pseudo_score(plays_d(spark, d)).filter("A < 3"), "song_id", "left").withColumn("context", F.when(F.col("song_id") % 7 != 0, (F.col("song_id") % 101) * 100.0 / 103.0))
+    out = songs.select("song_id", "affinity", "momentum", "context", "A")
+    for name in (*ranking.PRESETS, "lgbm"):
+        out = ranking.mixed_weights(out, name).withColumnRenamed("weight", f"w_{name}")
+    return out.drop("affinity", "momentum", "context", "A")
 
 
 @_tidied
@@ -501,6 +555,35 @@ def _context(spark, d, key: str = "song_id") -> DataFrame:
     return catalogue(plays_d(spark, d)).select(key, (F.col(key) % 50).cast("double").alias("similarity"))
 
 
+@_tidied
+def recommend(spark, d):
+    """All steps from the log to the playlist, each computed once."""
+    return recommendation.recommend(plays_d(spark, d), context=_context(spark, d), size=20)["playlist"]
+
+
+@_tidied
+def recommend_summary(spark, d):
+    return recommendation.summary(recommendation.recommend(plays_d(spark, d), context=_context(spark, d), size=20))
+
+
+@_tidied
+def nostalgia_by_tags(spark, d):
+    """Nations as tags, customers as their best known tracks, parts' brands as artists; artists of
+    the library are told by its names."""
+    nation = F.broadcast(table(spark, d, "nation"))
+    k = F.col("c_custkey")
+    tracks = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(k.alias("ext_id"), F.col("n_name").alias("tag"), F.concat(F.when(k % 2 == 0, "BRAND#1").otherwise("Band#"), (k % 9).cast("string")).alias("artist"), F.concat(F.col("c_mktsegment"), F.lit(" "), (k % 40).cast("string")).alias("title"), F.col("c_acctbal").alias("listeners"))
+    return discovery.nostalgia_by_tags(tracks, _library(spark, d), per_tag=30).select("ext_id", "tag", "artist", "title", "knows_artist")
+
+
+@_tidied
+def signal_breakdown(spark, d):
+    """The four signals of pairs of a song and the first song, and how each counts."""
+    k = F.col("p_partkey")
+    part = table(spark, d, "part").select(k, *(F.when(k % m != 0, (k % q) / float(q)).alias(n) for n, m, q in (("tag", 5, 17), ("lyrics", 3, 11), ("audio", 7, 13), ("meta", 4, 19))))
+    return part.select("p_partkey", similarity.signal_breakdown(F.col("tag"), F.col("lyrics"), F.col("audio"), F.col("meta")).alias("b")).select("p_partkey", "b.*")
+
+
 @_tidied
 def internal_discovery(spark, d):
     return discovery.internal_discovery(plays_d(spark, d), _context(spark, d), 6)
@@ -770,7 +853,7 @@ def artist_tier_default(spark, d):
 def labels_by_name(spark, d):
     """Labels by name, the better ones given anew by a second file."""
     songs = catalogue(plays_l(spark, d)).select("song_id", "title", "artist")
-    first = songs.join(labels_of(spark, d), "song_id")
+    first = songs.join(labels_of(spark, d), "song_id").withColumn("place", F.col("song_id"))
     return matching.labels_by_name(songs, first, first.filter("label > 2").withColumn("label", 5 - F.col("label"))).select("song_id", "label")
 
 

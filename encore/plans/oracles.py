@@ -118,6 +118,11 @@ _BASELINES = """hv AS (SELECT song_id, count(*)::BIGINT AS n, count(*) FILTER (W
   FROM (SELECT song_id, (epoch(ts)::BIGINT - epoch(t0)::BIGINT) / 86400.0::DOUBLE + 1 AS t, (epoch((SELECT max(ts) FROM pd))::BIGINT - epoch(t0)::BIGINT) / 86400.0::DOUBLE + 1 AS h FROM pd JOIN life USING (song_id)) GROUP BY song_id HAVING past >= 8),
 bl AS (SELECT *, past::DOUBLE AS persistence, past * (SELECT quantile_cont(future / greatest(past, 1)::DOUBLE, 0.5) FROM hv) AS population FROM hv)"""
 
+_ALIASES = r"""nm AS (SELECT p_partkey AS song_id, CASE p_partkey % 5 WHEN 0 THEN '노래 ' || p_partkey WHEN 1 THEN p_name || ' (빨강 ' || p_partkey || ')' WHEN 2 THEN 'Step (live)' WHEN 3 THEN p_name || ' (live)' ELSE p_name END AS title_en,
+  CASE WHEN p_partkey % 5 = 2 THEN CASE WHEN p_partkey % 2 = 0 THEN 'JANNABI' ELSE 'Nell' END ELSE p_brand END AS artist, p_name, CASE WHEN p_partkey % 8 = 0 THEN split_part(p_name, ' ', 1) || ' 노을' WHEN p_partkey % 4 = 0 THEN split_part(p_name, ' ', 1) END AS found FROM part),
+al AS (SELECT song_id, title_en, CASE WHEN artist = 'JANNABI' THEN '한걸음' WHEN song_id % 5 = 1 THEN '빨강 ' || song_id WHEN song_id % 5 = 0 THEN title_en WHEN song_id % 8 = 0 THEN found END AS title_kr, artist,
+  list_sort(list_distinct(list_filter([CASE WHEN song_id % 5 = 1 THEN '빨강 ' || song_id END, CASE WHEN song_id % 5 = 1 THEN p_name END, CASE WHEN found <> title_en THEN found END, CASE WHEN artist = 'JANNABI' THEN '한걸음' END], lambda x: x IS NOT NULL))) AS aliases FROM nm)"""
+
 #: name: (common table expressions, select)
 _SQL: dict[str, tuple[list[str], str]] = {
     "scan_filter_completed": ([], "SELECT artist, count(*)::BIGINT AS n, sum(is_proactive)::BIGINT AS proactive FROM pl WHERE skip_type = 0 GROUP BY artist"),
@@ -169,7 +174,14 @@ _SQL: dict[str, tuple[list[str], str]] = {
     "library_anti_join": ([_IDX, _EXT], f"SELECT ext_id, title FROM en WHERE NOT {_MATCH}"),
     "library_anti_join_all": ([_IDX, _EXT], f"SELECT ext_id, title FROM en WHERE NOT {_MATCH}"),
     "known_songs": ([_IDX], "SELECT alias, count(*)::BIGINT AS entries, count(DISTINCT song_id)::BIGINT AS songs FROM idx WHERE plays >= 30 GROUP BY alias"),
-    "find_song": ([_CAT], "SELECT song_id, 0.85::DOUBLE * 0 + CASE WHEN contains(lower(artist || ' ' || song_id), 'red') THEN 0.85 ELSE 0.8 END::DOUBLE AS score FROM cat WHERE contains(lower(title), 'red') OR contains(lower(artist || ' ' || song_id), 'red') ORDER BY score DESC, song_id LIMIT 10"),
+    "song_aliases": ([_ALIASES], "SELECT song_id, title_en, title_kr, artist, array_to_string(aliases, '|') AS aliases FROM al"),
+    "alias_names": ([_ALIASES], "SELECT name, arg_max(song_id, song_id) AS song_id FROM (SELECT song_id, unnest(list_transform(list_filter(aliases || [title_en, title_kr], lambda x: x IS NOT NULL), lambda x: lower(trim(x)))) AS name FROM al) WHERE name <> '' GROUP BY name"),
+    "find_song": ([_ALIASES], "SELECT song_id, CASE WHEN title_kr <> title_en THEN title_kr || ' (' || title_en || ')' ELSE title_en END || ' — ' || artist AS display, (CASE WHEN contains(title_kr, '노을') THEN 0.9 ELSE 0.85 END)::DOUBLE AS score FROM al WHERE contains(title_kr, '노을') OR len(list_filter(aliases, lambda x: contains(x, '노을'))) > 0 ORDER BY score DESC, song_id LIMIT 10"),
+    "find_song_exact": ([_ALIASES], "SELECT song_id, title_kr || ' (' || title_en || ') — ' || artist AS display, 1.0::DOUBLE AS score FROM al WHERE title_kr = '한걸음' AND contains(lower(artist), 'jannabi') ORDER BY song_id DESC LIMIT 1"),
+    "seed_resolution": ([_CAT, "sd AS (SELECT p_partkey AS seed_id, CASE p_partkey % 4 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN p_name || ' (Remix)' WHEN 2 THEN upper(p_name) ELSE substr(p_name, 2, 2) END AS t, CASE WHEN p_partkey % 3 = 0 THEN substr(p_brand, 1, 7) ELSE upper(p_brand) END AS a FROM part)"], "SELECT seed_id, min(song_id) AS song_id FROM sd LEFT JOIN cat ON (contains(lower(title), lower(t)) OR contains(lower(t), lower(title))) AND contains(lower(artist), lower(a)) GROUP BY seed_id"),
+    "nostalgia_by_tags": ([_IDX, "tr AS (SELECT c_custkey AS ext_id, n_name AS tag, CASE WHEN c_custkey % 2 = 0 THEN 'BRAND#1' ELSE 'Band#' END || c_custkey % 9 AS artist, c_mktsegment || ' ' || c_custkey % 40 AS title, c_acctbal AS l FROM customer JOIN nation ON c_nationkey = n_nationkey QUALIFY row_number() OVER (PARTITION BY n_name ORDER BY c_acctbal DESC, c_custkey) <= 30), t1 AS (SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY lower(artist), lower(title) ORDER BY tag, l DESC, ext_id) = 1)", f"en AS (SELECT *, lower(artist) AS alias, {_norm('title')} AS t, list_transform(regexp_extract_all(title, '\\(([^)]+)\\)', 1), lambda x: {_norm('x')}) AS p FROM t1)"], f"SELECT ext_id, tag, artist, title, alias IN (SELECT alias FROM idx) AS knows_artist FROM en WHERE NOT {_MATCH}"),
+    "lyrics_query": ([], "SELECT p_partkey, p_name AS title, p_brand AS artist, p_name || ' — ' || p_brand AS shown FROM part"),
+    "mixer_weights": ([_SCORES, "mw AS (SELECT s.song_id, affinity, momentum, greatest(0.01, coalesce(CASE WHEN s.song_id % 7 <> 0 THEN (s.song_id % 101) * 100.0::DOUBLE / 103.0::DOUBLE END, 100.0::DOUBLE) / 100.0::DOUBLE) AS ctx, A FROM score s LEFT JOIN (SELECT song_id, 1 + 4 * avg((skip_type = 0)::INT) AS A FROM pd GROUP BY song_id HAVING 1 + 4 * avg((skip_type = 0)::INT) < 3) USING (song_id))"], "SELECT song_id, " + ", ".join(f"round(pow(affinity, {a}) * pow(momentum, {m}) * pow(ctx, {c}), 6) AS w_{n}" for n, a, m, c in (("default", 1, 1, 1), ("explore", 0.7, 0.5, 1.5), ("comfort", 1.5, 0.7, 0.8))) + ", round(0.45 * coalesce(A, 2.5) / 5 + 0.55 * ctx, 6) AS w_lgbm FROM mw"),
     "vector_cosine_topk": ([], f"SELECT vec_id AS song_id, round({_COS.format('embedding', 's')}, 6) AS similarity FROM embeddings, (SELECT embedding AS s FROM embeddings WHERE vec_id = 0) WHERE vec_id <> 0 ORDER BY {_COS.format('embedding', 's')} DESC, vec_id LIMIT 20"),
     "vector_zscore": (["lo AS (SELECT vec_id AS song_id, i, embedding[i + 1]::DOUBLE AS x FROM embeddings, range(64) r(i))"], "SELECT song_id, i::BIGINT AS i, round(coalesce((x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0), 0), 6) + 0.0 AS z FROM lo WINDOW w AS (PARTITION BY i)"),
     "vector_zscore_all": (["lo AS (SELECT vec_id AS song_id, i, embedding[i + 1]::DOUBLE AS x FROM embeddings, range(64) r(i))"], "SELECT song_id, i::BIGINT AS i, round(coalesce((x - avg(x) OVER w) / nullif(stddev_pop(x) OVER w, 0), 0), 6) + 0.0 AS z FROM lo WINDOW w AS (PARTITION BY i)"),
@@ -179,6 +191,7 @@ _SQL: dict[str, tuple[list[str], str]] = {
     "candidate_library_similarity": ([_TAGS, "n AS (SELECT count(*) AS n FROM tag WHERE lib), lib AS (SELECT id, unnest(tags) AS tag FROM tag WHERE lib), cand AS (SELECT id, unnest(tags) AS tag FROM tag WHERE NOT lib), df AS (SELECT tag, count(*) AS df FROM lib GROUP BY tag), al AS (SELECT c.id AS cand, l.id AS lib, l.tag, (ln((2.0 + (SELECT n FROM n))::DOUBLE / (1 + df + (EXISTS (SELECT 1 FROM cand x WHERE x.id = c.id AND x.tag = l.tag))::INT)) + 1) AS w FROM (SELECT DISTINCT id FROM cand) c, lib l JOIN df USING (tag)), ll AS (SELECT cand, lib, sqrt(sum(w * w)) AS l FROM al GROUP BY ALL), cw AS (SELECT id AS cand, tag, ln((2.0 + (SELECT n FROM n))::DOUBLE / (2 + coalesce(df, 0))) + 1 AS w FROM cand LEFT JOIN df USING (tag)), cl AS (SELECT cand, sqrt(sum(w * w)) AS l FROM cw GROUP BY cand), dd AS (SELECT cand, lib, sum(al.w * cw.w) AS d FROM al JOIN cw USING (cand, tag) GROUP BY ALL)"], "SELECT id, round(coalesce(s, 0), 6) AS similarity FROM (SELECT id FROM tag WHERE NOT lib) LEFT JOIN (SELECT cand AS id, sum(d / ll.l / cl.l) / (SELECT n FROM n) AS s FROM dd JOIN ll USING (cand, lib) JOIN cl USING (cand) GROUP BY cand) USING (id)"),
     "metadata_similarity": (["py AS (SELECT p_partkey, p_type, 1990 + p_size % 30 AS y FROM part)"], "SELECT p.p_partkey, round(CASE WHEN p.p_type = s.p_type THEN 0.5 ELSE 0 END + CASE WHEN abs(p.y - s.y) <= 5 THEN 0.5 * (1 - abs(p.y - s.y) / 5.0::DOUBLE) ELSE 0 END, 6)::DOUBLE AS s FROM py p, (SELECT * FROM py WHERE p_partkey = 1) s"),
     "multi_signal": (["sg AS (SELECT p_partkey, " + ", ".join(f"CASE WHEN p_partkey % {m} <> 0 THEN (p_partkey % {q}) / {q}.0::DOUBLE END AS {n}" for n, m, q in (("tag", 5, 17), ("lyrics", 3, 11), ("audio", 7, 13), ("meta", 4, 19))) + " FROM part)"], "SELECT p_partkey, round(least(greatest(CASE WHEN tag > 0 THEN 0.25 * tag + 0.03 * coalesce(lyrics, 0.3) + 0.58 * coalesce(audio, 0.3) + 0.14 * coalesce(meta, 0.3) ELSE 0.04 * coalesce(lyrics, 0.3) + 0.78 * coalesce(audio, 0.3) + 0.18 * coalesce(meta, 0.3) END, 0), 1), 6)::DOUBLE AS s FROM sg"),
+    "signal_breakdown": (["sg AS (SELECT p_partkey, " + ", ".join(f"CASE WHEN p_partkey % {m} <> 0 THEN (p_partkey % {q}) / {q}.0::DOUBLE END AS {n}" for n, m, q in (("tag", 5, 17), ("lyrics", 3, 11), ("audio", 7, 13), ("meta", 4, 19))) + " FROM part)"], "SELECT p_partkey, " + ", ".join(f"round({c}, 6) AS {c}, round(CASE WHEN tag > 0 THEN {w} ELSE {o} END::DOUBLE * coalesce({c}, 0.3), 6) AS {c}_part" for c, w, o in (("tag", 0.25, 0.0), ("lyrics", 0.03, 0.04), ("audio", 0.58, 0.78), ("meta", 0.14, 0.18))) + " FROM sg"),
     "context_score": ([_CAT, f"sv AS (SELECT c.*, embedding AS v FROM cat c JOIN embeddings ON vec_id = song_id), sd AS (SELECT * FROM sv WHERE artist = 'Brand#11' ORDER BY song_id LIMIT 1), t3 AS (SELECT * FROM sv QUALIFY row_number() OVER (PARTITION BY artist ORDER BY plays DESC, song_id) <= 3), ar AS (SELECT a.artist, avg({_COS.format('a.v', 'b.v')}) AS s FROM t3 a, t3 b WHERE b.artist = 'Brand#11' GROUP BY a.artist)"], f"SELECT sv.song_id, round(100 * (0.6 * least(greatest({_COS.format('sv.v', 'sd.v')}, 0), 1) + 0.4 * CASE sv.artist WHEN 'Brand#11' THEN 1 WHEN 'Brand#12' THEN 0.8 WHEN 'Brand#13' THEN 0.4 ELSE coalesce(ar.s, 0) END), 6) AS context FROM sv JOIN sd ON sv.song_id <> sd.song_id LEFT JOIN ar ON ar.artist = sv.artist"),
     **{f"mode_playlist_{m}": ([_RATED, f"rs AS (SELECT *, A * pow(1 + R, {b}) AS s, (SELECT quantile_cont(familiarity, 0.3) FROM rated) AS q FROM rated), mn AS (SELECT *, 'main' AS slot FROM rs WHERE familiarity > q ORDER BY s DESC, song_id LIMIT 16), nw AS (SELECT *, 'new' AS slot FROM rs WHERE familiarity <= q ORDER BY A DESC, song_id LIMIT 4)"], "SELECT song_id, round(A, 6) AS A, round(R, 6) AS R, round(s, 6) AS s, familiarity, slot FROM (FROM mn UNION ALL FROM nw)") for m, b in _MODES.items()},
     "playlist_tags": ([_RATED], "SELECT song_id, CASE WHEN familiarity < 8 THEN 'new' WHEN level28 >= 3 THEN 'now' WHEN dsl >= 30 THEN 'dormant' ELSE '' END AS tag FROM rated"),
@@ -202,7 +215,7 @@ _SQL: dict[str, tuple[list[str], str]] = {
     "url_quote": ([], "SELECT p_partkey, replace(url_encode(p_name || ' & ~' || p_brand || '/*+é'), '%2F', '/') AS q FROM part"),
     "release_fields": ([], "SELECT p_partkey, try_cast(left(CASE WHEN p_size > 5 THEN (1990 + p_size % 30)::VARCHAR || '-05-01' ELSE p_name END, 4) AS BIGINT) AS year, split_part(p_brand || ' - Topic - ' || p_name, ' - ', 1) AS artist FROM part"),
     "artist_tier_default": ([_CAT], "SELECT song_id, CASE WHEN p >= 30 THEN 'S' WHEN p IS NOT NULL THEN 'A' ELSE 'B' END AS tier FROM cat LEFT JOIN (SELECT artist, count(*) AS p FROM pl WHERE ts >= (SELECT max(ts) FROM pl) - INTERVAL 90 DAY GROUP BY artist HAVING count(*) >= 10) USING (artist)"),
-    "labels_by_name": ([_CAT, _LABEL, f"nk AS (SELECT song_id, {_SQUEEZE.format('title')} AS kt, {_SQUEEZE.format('artist')} AS ka FROM cat)"], "SELECT song_id, round(coalesce(l2, l1), 6) AS label FROM nk LEFT JOIN (SELECT kt, ka, min(label) AS l1, min(5 - label) FILTER (WHERE label > 2) AS l2 FROM nk JOIN lab USING (song_id) GROUP BY kt, ka) USING (kt, ka)"),
+    "labels_by_name": ([_CAT, _LABEL, "nk AS (SELECT song_id, lower(trim(title)) AS kt, lower(trim(artist)) AS ka FROM cat)"], "SELECT song_id, round(coalesce(l2, l1), 6) AS label FROM nk LEFT JOIN (SELECT kt, ka, arg_max(label, song_id) AS l1, arg_max(5 - label, song_id) FILTER (WHERE label > 2) AS l2 FROM nk JOIN lab USING (song_id) GROUP BY kt, ka) USING (kt, ka)"),
     "uniform_of_best": ([_RATED], f"SELECT song_id FROM (SELECT song_id FROM rated ORDER BY A DESC, song_id LIMIT 20) ORDER BY {_u('pick', 'song_id')}, song_id LIMIT 1"),
     "ranking_file_join": ([_CAT], "SELECT song_id, round(score, 6) AS score FROM cat JOIN (SELECT p_name AS title, p_brand AS artist, arg_max(p_retailprice::DOUBLE, p_partkey) AS score FROM part GROUP BY ALL) USING (title, artist)"),
     "song_rates": ([], "SELECT song_id, round(avg(starts), 6) AS is_session_start, round(avg(dive), 6) AS is_artist_deep_dive, round(avg(pro), 6) AS is_proactive FROM pe JOIN (SELECT event_id, (event_type = 'purchase')::INT AS pro FROM events) USING (event_id) WHERE song_id IS NOT NULL GROUP BY song_id HAVING count(*) >= 5"),

@@ -103,6 +103,44 @@ def crawl(catalogue: DataFrame, cache: DataFrame, fetch: Callable[[dict], dict |
     return cache.filter("matched").unionByName(fresh)
 
 
+def crawl_in_steps(catalogue: DataFrame, path: str, fetch: Callable[[dict], dict | None], schema: str, every: int = 20, requests: int = 4, key: str = "song_id", again: bool = False) -> DataFrame:
+    """A crawl that survives a stop: rows go in steps of about `every` for each of `requests` tasks,
+    each step a folder below `path` that is written whole or not at all. A new call leaves out what
+    earlier steps found, and what they found missing unless `again`.
+
+    `fetch` gets a row as a dict and gives the row of the cache (`schema`, which has the key and a
+    boolean `matched`); None, or an error of its own, is kept as a row that is not matched, so a
+    service isn't asked twice for what it lacks. Which step a row is in is a hash of its key, so the
+    same call asks for the same steps. Returns all rows found so far, the last answer of each key."""
+    spark = catalogue.sparkSession
+    fields = [f.name for f in T._parse_datatype_string(schema)]
+    kept = lambda: spark.read.schema(f"{schema}, step long").parquet(path) if exists(spark, path) else None
+    last = lambda df: df.groupBy(key).agg(F.max_by(F.struct(*fields), "step").alias("r")).select("r.*")
+    known = kept()
+    todo = catalogue if known is None else catalogue.join(last(known).filter("matched" if again else "true").select(key), key, "left_anti")
+    first = 0 if known is None else 1 + (known.agg(F.max("step")).first()[0] or 0)
+    steps = -(-todo.count() // (every * requests))
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        def one(row: dict) -> dict:
+            try:
+                found = fetch(row)
+            except Exception:  # noqa: BLE001  a service's failure is an answer: not matched
+                found = None
+            return found if found is not None else dict.fromkeys(fields) | {key: row[key], "matched": False}
+
+        for pdf in batches:
+            yield pd.DataFrame([one(r) for r in pdf.to_dict("records")], columns=fields)
+
+    for k in range(steps):
+        part = todo.filter(F.pmod(F.xxhash64(key), F.lit(steps)) == k).repartition(requests, key)
+        part.mapInPandas(run, schema).write.mode("overwrite").parquet(f"{path}/step={first + k}")
+    found = kept()
+    return spark.createDataFrame([], schema) if found is None else last(found)
+
+
 def push(playlist: DataFrame, send: Callable[[list[dict]], None]) -> None:
     """Hands the rows of a playlist, in order, to a service. A playlist is a few dozen rows."""
 
