@@ -23,14 +23,21 @@ PLAY_LOG = _schema(
 METADATA = _schema("song_id string, query_artist string, query_title string, itunes_artist string, itunes_title string, release_date string, release_year int, genre string, matched boolean")
 
 
+def _unmarked(raw: DataFrame) -> DataFrame:
+    return raw.toDF(*(c.lstrip("\ufeff") for c in raw.columns))
+
+
+def _typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    raw = _unmarked(raw)
+    return raw.select(*((F.col(f"`{f.name}`").cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema))
+
+
 def read_play_log(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """A CSV log by its header's names; a byte order mark is dropped, missing optional columns are
     null, `timestamp` becomes `ts`. Without `strict`, what is no time becomes null."""
     raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-    raw = raw.toDF(*(c.lstrip("﻿") for c in raw.columns))
-    typed = [(F.col(f.name).cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in PLAY_LOG]
     parse = F.to_timestamp if strict else F.try_to_timestamp
-    return raw.select(*typed).withColumn("ts", parse("timestamp")).drop("timestamp")
+    return _typed(raw, PLAY_LOG).withColumn("ts", parse("timestamp")).drop("timestamp")
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
@@ -46,14 +53,15 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """Matched rows of a metadata CSV."""
-    return spark.read.schema(METADATA).option("header", True).csv(path).filter("matched")
+    """Matched rows of a metadata CSV, its columns by name; a byte order mark is dropped, columns it
+    lacks are null."""
+    return _typed(spark.read.option("header", True).csv(path), METADATA).filter("matched")
 
 
 def read_labels(spark: SparkSession, path: str, names: dict[str, str]) -> DataFrame:
     """(title, artist, label) of a label CSV whose header names are mapped; labels that are no
     number become null."""
-    raw = spark.read.option("header", True).csv(path).withColumnsRenamed(names)
+    raw = _unmarked(spark.read.option("header", True).csv(path)).withColumnsRenamed(names)
     return raw.select("title", "artist", F.try_to_number("label", F.lit("9999.99")).cast("double").alias("label"))
 
 
@@ -71,6 +79,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def _has_rows(spark: SparkSession, path: str) -> bool:
+    """Whether steps of a crawl were written below `path`; what a broken step left is no file of it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/step=*/part-*")
+    return bool(found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found))
+
+
 def write_table(df: DataFrame, path: str, format: str = "parquet", mode: str = "overwrite", by: list[str] | None = None) -> None:
     """Scores, vectors, caches and crawls: a written table; partitions are replaced one by one."""
     writer = df.write.mode(mode).format(format)
@@ -114,7 +128,7 @@ def crawl_in_steps(catalogue: DataFrame, path: str, fetch: Callable[[dict], dict
     same call asks for the same steps. Returns all rows found so far, the last answer of each key."""
     spark = catalogue.sparkSession
     fields = [f.name for f in T._parse_datatype_string(schema)]
-    kept = lambda: spark.read.schema(f"{schema}, step long").parquet(path) if exists(spark, path) else None
+    kept = lambda: spark.read.schema(f"{schema}, step long").parquet(path) if _has_rows(spark, path) else None
     last = lambda df: df.groupBy(key).agg(F.max_by(F.struct(*fields), "step").alias("r")).select("r.*")
     known = kept()
     todo = catalogue if known is None else catalogue.join(last(known).filter("matched" if again else "true").select(key), key, "left_anti")
@@ -134,7 +148,7 @@ def crawl_in_steps(catalogue: DataFrame, path: str, fetch: Callable[[dict], dict
         for pdf in batches:
             yield pd.DataFrame([one(r) for r in pdf.to_dict("records")], columns=fields)
 
-    for k in range(steps):
+    for k in range(steps):  # a step that breaks off leaves no file: its folder is replaced as a whole
         part = todo.filter(F.pmod(F.xxhash64(key), F.lit(steps)) == k).repartition(requests, key)
         part.mapInPandas(run, schema).write.mode("overwrite").parquet(f"{path}/step={first + k}")
     found = kept()
