@@ -14,6 +14,9 @@ HANGUL = "[가-힣]"
 #: Characters without width that titles carry along.
 INVISIBLE = "[​‌‍⁠﻿­]"
 
+#: What artists' names carry along.
+UNSEEN = r"[\x{200B}-\x{200F}\x{2028}-\x{202F}\x{FEFF}]"
+
 
 def squeeze(s: Column) -> Column:
     """Trimmed, lower case, runs of white space as one space."""
@@ -43,6 +46,12 @@ def in_parens(s: Column) -> Column:
 
 
 def normalize_artist(s: Column) -> Column:
+    """An artist as the library's matcher knows it: without invisible characters and a channel's ending."""
+    return F.lower(F.trim(F.replace(F.regexp_replace(s, UNSEEN, ""), F.lit(" - Topic"), F.lit(""))))
+
+
+def artist_base(s: Column) -> Column:
+    """What spellings of one channel have in common: without the endings of its kinds."""
     return F.lower(F.trim(F.regexp_replace(F.replace(s, F.lit(" - Topic"), F.lit("")), r"(?i)vevo$", "")))
 
 

@@ -6,10 +6,11 @@ where two songs have one name (the last one has it)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from encore.functions.text import has_hangul, lower_trim
+from encore.operators.grams import contained
 
 #: Korean titles of songs whose English title does not tell them, by artist.
 TITLES = {
@@ -106,30 +107,14 @@ def find_song(aliases: DataFrame, query: str, artist: str | None = None, limit:
     return kept.withColumn("score", F.when(F.col("owner.fits"), 1.0).otherwise(F.col("part"))).orderBy(F.desc("score"), "ord", "song_id").limit(limit).select("song_id", "display", "score")
 
 
-def _grams(s: Column, n: int) -> Column:
-    """All runs of n characters; a shorter text is its own one."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i: F.substring(s, i, F.lit(n))))
-
-
-def resolve_seeds(songs: DataFrame, seeds: DataFrame, n: int = 3) -> DataFrame:
+def resolve_seeds(songs: DataFrame, seeds: DataFrame) -> DataFrame:
     """(seed_id, song_id): for each seed (seed_id, title, artist) the first song, by id, whose title
     is, holds or is held by the seed's, and whose artist is or holds the seed's; null without one.
-
-    Containment is an equality join on runs of characters: a title that holds another has all runs
-    of it, so the one of its runs that fewest titles have is looked up; both ways, the shorter title
-    asking. Titles shorter than a run are looked up by what they are among all runs of that length.
     Null and empty titles are found by nothing; a null artist fits nothing, an empty one all."""
-    clean = lambda df, key: df.select(key, F.lower("title").alias("t"), F.lower(F.col("artist").cast("string")).alias("a")).filter("t != '' and a is not null")
-    lib, asked = clean(songs, "song_id"), clean(seeds, "seed_id")
-    runs = lambda df: df.select("*", F.explode(F.array_distinct(F.concat(*(_grams(F.col("t"), k) for k in range(1, n + 1))))).alias("g"))
-
-    def rarest(short: DataFrame, key: str, long: DataFrame) -> DataFrame:
-        counts = long.groupBy("g").agg(F.count("*").alias("k"))
-        own = short.select("*", F.explode(_grams(F.col("t"), n)).alias("g")).join(counts, "g", "left").withColumn("k", F.coalesce("k", F.lit(0)))
-        return own.groupBy(key, "t", "a").agg(F.min_by("g", F.struct("k", "g")).alias("g"))
-
-    lib_runs, asked_runs = runs(lib), runs(asked)
-    held = rarest(asked, "seed_id", lib_runs).withColumnsRenamed({"t": "st", "a": "sa"}).join(lib_runs, "g").filter(F.contains("t", "st"))
-    holds = rarest(lib, "song_id", asked_runs).join(asked_runs.withColumnsRenamed({"t": "st", "a": "sa"}), "g").filter(F.contains("st", "t"))
-    found = held.select("seed_id", "song_id", "a", "sa").unionByName(holds.select("seed_id", "song_id", "a", "sa")).filter(F.contains("a", "sa"))
-    return seeds.select("seed_id").join(found.groupBy("seed_id").agg(F.min("song_id").alias("song_id")), "seed_id", "left")
+    lib = songs.select("song_id", F.lower("title").alias("t"), F.lower(F.col("artist").cast("string")).alias("a")).filter("a is not null")
+    asked = seeds.select("seed_id", F.lower("title").alias("t"), F.lower(F.col("artist").cast("string")).alias("sa")).filter("sa is not null")
+    held = contained(asked.withColumnRenamed("t", "s"), lib.withColumnRenamed("t", "l"))
+    holds = contained(lib.withColumnRenamed("t", "s"), asked.withColumnRenamed("t", "l"))
+    pairs = held.select("seed_id", "song_id", "a", "sa").unionByName(holds.select("seed_id", "song_id", "a", "sa"))
+    first = pairs.filter(F.contains("a", "sa")).groupBy("seed_id").agg(F.min("song_id").alias("song_id"))
+    return seeds.select("seed_id").join(first, "seed_id", "left")

@@ -116,6 +116,14 @@ def profile(plays: DataFrame) -> DataFrame:
     return plays.agg(F.count("*").alias("n_rows"), F.count_distinct("song_id").alias("n_songs"), F.count_distinct("artist").alias("n_artists"), F.min(F.to_date("ts")).cast("string").alias("first_day"), F.max(F.to_date("ts")).cast("string").alias("last_day"))
 
 
+def coverage(songs: DataFrame, scored: DataFrame, value: str) -> DataFrame:
+    """(songs, scored, share): how many distinct songs there are, and how many of them `scored`
+    (song_id, value) knows a value of."""
+    known = scored.filter(F.col(value).isNotNull()).select("song_id").distinct().withColumn("__known", F.lit(1))
+    rows = songs.filter(F.col("song_id").isNotNull()).select("song_id").distinct().join(known, "song_id", "left")
+    return rows.agg(F.count("*").alias("songs"), F.count("__known").alias("scored"), F.try_divide(F.count("__known"), F.count("*")).alias("share"))
+
+
 def active_artists(plays: DataFrame, days_back: int = 90, least: int = 10) -> DataFrame:
     """Artists with at least `least` plays in the last days."""
     recent = with_clock(plays.filter(F.col("artist").isNotNull()), plays).filter(F.col("ts") >= F.col("now") - F.expr(f"interval {days_back} days"))

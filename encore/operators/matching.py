@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from encore.functions.text import in_parens, lower_trim, may_reach, normalize_artist, normalize_title, ratio
+from encore.functions.text import artist_base, in_parens, lower_trim, normalize_artist, normalize_title, ratio
+from encore.operators.grams import contained, may_be_similar
 
 #: Other names of artists, one way each as listed.
 ALIASES = {
@@ -68,18 +69,33 @@ def library_index(songs: DataFrame, table: dict[str, str] | None = None) -> Data
 def matches(external: DataFrame, index: DataFrame, least: float | None = 0.85, key: str = "ext_id", table: dict[str, str] | None = None) -> DataFrame:
     """Keys of external tracks that the library has: some name of the artist is equal, and titles
     are equal, or one is a bracketed part of the other, or lies in one (over 3 characters), or they
-    are similar enough (`least`; None leaves that test out). Only pairs whose lengths allow the
-    similarity reach the Python function."""
+    are similar enough (`least`; None leaves that test out).
+
+    Every test is a join on what it asks for: equal titles and brackets on the name and the title,
+    containment on runs of characters, similarity on rare pairs of characters (`grams`). Only pairs
+    that may be similar reach the Python function, and each pair of titles once."""
     ext = external.select(key, F.explode(artist_aliases(F.col("artist"), table)).alias("alias"), normalize_title(F.col("title")).alias("t"), F.transform(in_parens(F.col("title")), normalize_title).alias("p"))
-    pairs = ext.join(index, "alias")
-    within = lambda a, b: (F.length(a) > 3) & (F.length(b) > 3) & (F.contains(a, b) | F.contains(b, a))
-    exact = (F.col("t") == F.col("norm_title")) | F.array_contains("parens", F.col("t")) | F.array_contains("p", F.col("norm_title"))
-    part = F.exists("parens", lambda x: within(x, F.col("t"))) | F.exists("p", lambda x: within(x, F.col("norm_title")))
-    native = pairs.filter(exact | part).select(key)
-    if least is None:
-        return native.distinct()
-    rest = pairs.filter(~(exact | part) & may_reach(F.col("t"), F.col("norm_title"), least)).filter(ratio("t", "norm_title") >= least).select(key)
-    return native.union(rest).distinct()
+    titles = index.select("alias", F.col("norm_title").alias("nt")).distinct()
+    brackets = index.select("alias", F.explode("parens").alias("x")).distinct()
+    own = ext.select(key, "alias", F.explode("p").alias("x"))
+    long = lambda df, c: df.filter(F.length(c) > 3)
+    found = [
+        ext.join(titles.withColumnRenamed("nt", "t"), ["alias", "t"], "left_semi").select(key),
+        ext.join(brackets.withColumnRenamed("x", "t"), ["alias", "t"], "left_semi").select(key),
+        own.join(titles.withColumnRenamed("nt", "x"), ["alias", "x"], "left_semi").select(key),
+    ]
+    for mine, theirs in ((ext.select(key, "alias", F.col("t").alias("x")), brackets), (own, titles.withColumnRenamed("nt", "x"))):
+        mine, theirs = long(mine, "x"), long(theirs, "x")
+        for short, other in ((mine, theirs), (theirs, mine)):
+            found.append(contained(short.withColumnRenamed("x", "s"), other.withColumnRenamed("x", "l"), ["alias"]).select(key))
+    if least is not None:
+        near = may_be_similar(ext.select("alias", F.col("t").alias("x")), titles.withColumnRenamed("nt", "y"), least, ["alias"])
+        alike = near.filter(ratio("x", "y") >= least).select("alias", F.col("x").alias("t")).distinct()
+        found.append(ext.join(alike, ["alias", "t"], "left_semi").select(key))
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
 
 
 def not_in_library(external: DataFrame, index: DataFrame, least: float | None = 0.85, key: str = "ext_id", table: dict[str, str] | None = None) -> DataFrame:
@@ -98,7 +114,7 @@ def merge_artists(plays: DataFrame, manual: dict[str, str] | None = None) -> Dat
     manual = CHANNELS if manual is None else manual
     if manual:
         name = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in manual.items() for x in kv)), name), name)
-    rows = plays.withColumn("__name", name).withColumn("__base", normalize_artist(name))
+    rows = plays.withColumn("__name", name).withColumn("__base", artist_base(name))
     counts = rows.filter("__base is not null").groupBy("__base", "__name").agg(F.count("*").alias("n"))
     best = counts.groupBy("__base").agg(F.min_by("__name", F.struct(-F.col("n"), "__name")).alias("artist_key"))
     return rows.join(best, "__base", "left").drop("__base", "__name")

@@ -183,6 +183,17 @@ def dataset_profile(spark, d):
     return features.profile(plays_l(spark, d))
 
 
+@_tidied
+def score_coverage(spark, d):
+    return features.coverage(plays_l(spark, d), labels_of(spark, d), "label")
+
+
+@_tidied
+def artist_names(spark, d):
+    made = F.concat(F.lit("\u200b"), "p_brand", F.lit("VEVO - Topic\ufeff"))
+    return table(spark, d, "part").select("p_partkey", text.normalize_artist(made).alias("name"), text.artist_base(F.concat("p_brand", F.lit("Vevo"))).alias("base"))
+
+
 @_tidied
 def label_join(spark, d):
     return features.song_features(plays_l(spark, d)).select("song_id", "completed_plays").join(labels_of(spark, d), "song_id", "left")

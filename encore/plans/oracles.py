@@ -147,6 +147,8 @@ _SQL: dict[str, tuple[list[str], str]] = {
     "value_distribution": ([], "SELECT skip_type::BIGINT AS skip_type, count(*)::BIGINT AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM pl), 6) AS pct FROM pl GROUP BY skip_type"),
     "summary_quantiles": ([_RATED], "SELECT round(avg(R), 6) AS mean, " + ", ".join(f"round(quantile_cont(R, {q}), 6) AS {n}" for q, n in ((0.1, "p10"), (0.25, "p25"), (0.5, "median"), (0.75, "p75"), (0.9, "p90"))) + " FROM rated"),
     "dataset_profile": ([], "SELECT count(*)::BIGINT AS n_rows, count(DISTINCT song_id)::BIGINT AS n_songs, count(DISTINCT artist)::BIGINT AS n_artists, min(ts)::DATE::VARCHAR AS first_day, max(ts)::DATE::VARCHAR AS last_day FROM pl"),
+    "score_coverage": ([_LABEL], "SELECT count(*)::BIGINT AS songs, count(label)::BIGINT AS scored, round(count(label) / count(*)::DOUBLE, 6) AS share FROM (SELECT DISTINCT song_id FROM pl) LEFT JOIN lab USING (song_id)"),
+    "artist_names": ([], "SELECT p_partkey, lower(p_brand) || 'vevo' AS name, lower(p_brand) AS base FROM part"),
     "label_join": ([_LABEL], "SELECT song_id, completed_plays, label FROM (SELECT song_id, count(*) FILTER (WHERE skip_type = 0)::BIGINT AS completed_plays FROM pl GROUP BY song_id HAVING count(*) >= 5) LEFT JOIN lab USING (song_id)"),
     "score_fallback_join": ([_CAT, "sc AS (SELECT song_id, 1 + 4 * avg((skip_type = 0)::INT) AS A FROM pl GROUP BY song_id), nk AS (SELECT song_id, regexp_replace(lower(trim(title)), '\\s+', ' ', 'g') AS kt, regexp_replace(lower(trim(artist)), '\\s+', ' ', 'g') AS ka FROM cat), byname AS (SELECT kt, ka, arg_min(A, song_id) AS A2 FROM nk JOIN sc USING (song_id) WHERE song_id % 3 = 1 GROUP BY ALL)"], "SELECT song_id, round(coalesce(CASE WHEN song_id % 3 = 0 THEN A END, A2), 6) AS A FROM nk JOIN sc USING (song_id) LEFT JOIN byname USING (kt, ka)"),
     **{name: ([_CAT, _LABEL], f"SELECT song_id, artist, round(coalesce((s + {k} * g) / nullif(n + {k}, 0), g), 6) AS artist_enc FROM cat LEFT JOIN (SELECT artist, count(label) AS n, sum(label) AS s FROM cat JOIN lab USING (song_id) GROUP BY artist) USING (artist), (SELECT avg(label) AS g FROM cat JOIN lab USING (song_id))") for name, k in (("target_mean_encoding", "0.0::DOUBLE"), ("shrinkage_encoding", "3.0::DOUBLE"))},
