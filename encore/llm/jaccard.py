@@ -8,10 +8,12 @@ l; each document takes the l with the least estimated cost (entries it adds to t
 candidates that still need verification), and a pair is a candidate if it shares min(l_x, l_y) and
 as many more as the overlap that its two sizes ask for leaves to the prefixes (see `_need`).
 
-Every set also has a sketch: one bit for each of `SKETCH` cells (and of `SECOND` more if the set is
-large), set if the cell holds an odd number
-of its shingles. Two sketches differ in at most as many bits as the sets have shingles apart, so a
-pair of a list whose sketches differ in more than its sizes allow is no link and is not put out.
+Every set also has a sketch: a bit for each of a power of two of cells, about two to four times as
+many as the set has shingles, 4096 at most; it is set if the cell holds an odd number of them. Half
+a sketch laid over the other half is the sketch of half the cells, so sets of neighbouring sizes are
+compared by the smaller number. Two sketches differ in at most as many bits as the sets have
+shingles apart, so a pair of a list whose sketches differ in more than its sizes allow is no link
+and is not put out.
 
 Lists of the same classes are one list that counts as many times, so the many prefix shingles that
 copies of a long text share are met once.
@@ -47,9 +49,9 @@ from encore.staging import drop_staged, free_shuffles, stage
 WORDS = 5
 PERCENT = 80
 CELLS = 1 << 20
-#: Bits of the sketch of every set, of another one of sets over LARGE shingles, and of the one that
-#: pairs of such sets are compared by before the sets themselves are.
-SKETCH, SECOND, WIDE = 1024, 4096, 8192
+#: Bits of a sketch at least and at most, and of the one that pairs of sets over LARGE shingles are
+#: compared by before the sets themselves are.
+LEAST, SKETCH, WIDE = 256, 4096, 8192
 LARGE = 512
 #: Pairs (16 MB of ends) up to which the ends are sent to all tasks.
 FEW = 1_000_000
@@ -158,13 +160,28 @@ def _sets_of(texts: list[bytes | None]) -> Iterator[np.ndarray]:
         yield tokens[at:end]
 
 
-def sketches(sets: list[np.ndarray], bits: int = SKETCH) -> np.ndarray:
-    """A row of `bits` bits for each set: whether a cell holds an odd number of its shingles."""
+def sketch_bits(n: np.ndarray | int) -> np.ndarray:
+    """How many bits the sketch of a set of n shingles has."""
+    return np.clip(1 << np.ceil(np.log2(2 * np.maximum(n, 1))).astype(np.int64), LEAST, SKETCH)
+
+
+def sketches(sets: list[np.ndarray]) -> list[bytes]:
+    """The sketches of several sets. A cell's number is that of the largest sketch, its upper bits
+    left out, so that halves can be laid over each other."""
+    bits = sketch_bits(np.array([len(s) for s in sets], np.int64))
+    start = np.cumsum(bits) - bits
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    at = owner * bits + ((tokens * _K) >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)
-    odd = np.bincount(at, minlength=len(sets) * bits).astype(np.uint8) & 1
-    return np.packbits(odd).reshape(len(sets), bits // 8)
+    cell = ((tokens * _K) >> np.uint64(65 - SKETCH.bit_length())).astype(np.int64) & (bits[owner] - 1)
+    odd = np.bincount(start[owner] + cell, minlength=int(bits.sum())).astype(np.uint8) & 1
+    packed = np.packbits(odd, bitorder="little").tobytes()
+    return [packed[x // 8 : (x + k) // 8] for x, k in zip(start.tolist(), bits.tolist(), strict=True)]
+
+
+def wide_sketch(tokens: np.ndarray) -> np.ndarray:
+    """The sketch of WIDE bits, in 64-bit numbers."""
+    odd = np.bincount(((tokens * _K) >> np.uint64(65 - WIDE.bit_length())).astype(np.int64), minlength=WIDE).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
 
 
 def _cell(tokens: np.ndarray) -> np.ndarray:
@@ -186,7 +203,7 @@ def _overview(docs: DataFrame) -> DataFrame:
             for at, stop, texts in _chunks(batch.column(1)):
                 sets = list(_sets_of(texts))
                 keys = [class_of(s) if len(s) else (None, None) for s in sets]
-                marks = [x.tobytes() + (sketches([s], SECOND).tobytes() if len(s) > LARGE else b"") for x, s in zip(sketches(sets), sets, strict=True)]
+                marks = sketches(sets)
                 for key, s in zip(keys, sets, strict=True):
                     if len(s) and key not in seen:
                         seen.add(key)
@@ -295,13 +312,14 @@ def _near(n: np.ndarray, marks: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.
     nx, ny = n[x], n[y]
     spare = np.full(len(x), -1, np.int64)
     fits = np.flatnonzero(np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * PERCENT)
-    first = SKETCH // 64
-    for words, least in ((slice(first), 0), (slice(first, None), LARGE)):
-        fits = fits[np.minimum(nx, ny)[fits] > least]
-        total = (nx + ny)[fits]
-        differ = np.bitwise_count(marks[x[fits], words] ^ marks[y[fits], words]).sum(1, dtype=np.int64)
-        spare[fits] = np.maximum(-1, total - 2 * _least_overlap(total) - differ)
-        fits = fits[spare[fits] >= 0]
+    words = sketch_bits(np.minimum(nx, ny)) // 64
+    for w in np.unique(words[fits]).tolist():
+        at = fits[words[fits] == w]
+        differ = marks[x[at], :w] ^ marks[y[at], :w]
+        if 64 * w < SKETCH:  # a sketch of twice the cells has its other half there, a smaller one nothing
+            differ ^= marks[x[at], w : 2 * w] ^ marks[y[at], w : 2 * w]
+        total = (nx + ny)[at]
+        spare[at] = np.maximum(-1, total - 2 * _least_overlap(total) - np.bitwise_count(differ).sum(1, dtype=np.int64))
     return spare
 
 
@@ -319,7 +337,7 @@ def _by_list(batches: Iterator[pa.RecordBatch], most: int | None = None, marked:
         rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(width)], 1)
         if not len(rows):
             continue
-        full = (SKETCH + SECOND) // 8
+        full = SKETCH // 8
         marks = np.frombuffer(b"".join(x.ljust(full, b"\0") for x in batch.column(width).to_pylist()), np.uint64).reshape(len(rows), full // 8) if marked else rows
         if held and (held[-1][0][-1, :2] != rows[0, :2]).any():
             yield joined()
@@ -510,7 +528,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                     if len(seen) >= 500_000:
                         seen.clear()
                     seen.add(key)
-                    wide = sketches([tokens], WIDE)[0].view(np.int64) if len(tokens) > LARGE else none
+                    wide = wide_sketch(tokens) if len(tokens) > LARGE else none
                     rows.append((key[0], key[1], len(tokens), wide, tokens.view(np.int64)))
                 columns = [[r[k] for r in rows] for k in range(5)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["a", "b", "n", "wide", "toks"])
