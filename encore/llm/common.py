@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +24,26 @@ def utf8(column: pa.Array, rows: int = 256) -> Iterator[bytes | None]:
         yield from column.slice(at, rows).cast(pa.large_binary()).to_pylist()
 
 
-def per_value(fn: Callable[[], Callable], returns: str, kind: pa.DataType):
+def give_back() -> None:
+    """Hand memory that a task has freed to the system. Python workers outlive their tasks; without
+    this what one stage needed is held while the next ones run."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has one
+    if trim:
+        trim(0)
+
+
+def released(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives memory back when it ends."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from fn(batches)
+        give_back()
+
+    return run
+
+
+def per_value(fn: Callable[[], Callable], returns: str, kind: pa.DataType, release: bool = False):
     """A column function from one text column to a struct.
 
     `fn()` runs once in each task and gives a function from bytes to a tuple or dict of fields. It
@@ -33,6 +53,8 @@ def per_value(fn: Callable[[], Callable], returns: str, kind: pa.DataType):
         one = fn()
         for batch in batches:
             yield pa.array([one(x) for x in utf8(batch)], kind)
+        if release:
+            give_back()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, returns).asNondeterministic()

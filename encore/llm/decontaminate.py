@@ -117,7 +117,7 @@ def _searcher(table: dict):
         return one
 
     kind = pa.struct([("n_words", pa.int64()), ("hit", pa.list_(pa.int32())), ("items", pa.list_(pa.string()))])
-    return per_value(start, "struct<n_words: bigint, hit: array<int>, items: array<string>>", kind)
+    return per_value(start, "struct<n_words: bigint, hit: array<int>, items: array<string>>", kind, release=True)
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", max_patterns: int = MAX_PATTERNS) -> DataFrame:

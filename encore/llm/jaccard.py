@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from encore.llm.common import slices, sum_slices
+from encore.llm.common import released, slices, sum_slices
 from encore.staging import drop_staged, free_shuffles, stage
 
 WORDS = 5
@@ -215,7 +215,7 @@ def _overview(docs: DataFrame) -> DataFrame:
             none = pa.nulls(len(own), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(own), pa.binary()), own.column(0), own.column(1)], schema=schema)
 
-    return docs.mapInArrow(scan, "doc_id long, a long, b long, n long, sketch binary, slice int, cells binary")
+    return docs.mapInArrow(released(scan), "doc_id long, a long, b long, n long, sketch binary, slice int, cells binary")
 
 
 def _level_of(counts: np.ndarray) -> np.ndarray:
@@ -295,9 +295,9 @@ def _lists(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 out = [np.repeat(name[lists], size[lists]), rows[own, 1], rows[own, 2], rows[own, 3], rows[own, 4] >> 8, rows[own, 4] & 255, np.repeat(times, size[lists])]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out], ["tok", "part", "a", "b", "n", "l", "w"])
 
-    entries = docs.mapInArrow(emit, "tok long, part long, a long, b long, nl long")
+    entries = docs.mapInArrow(released(emit), "tok long, part long, a long, b long, nl long")
     dealt = entries.repartition("tok", "part").sortWithinPartitions("tok", "part", "a", "b")
-    lists = dealt.mapInArrow(runs, "tok long, part long, a long, b long, n long, l long, w long")
+    lists = dealt.mapInArrow(released(runs), "tok long, part long, a long, b long, n long, l long, w long")
     return lists.groupBy("tok", "part", "a", "b").agg(F.min("n").alias("n"), F.min("l").alias("l"), F.sum("w").alias("w"))
 
 
@@ -380,7 +380,7 @@ def _leaders(lists: DataFrame, nodes: DataFrame) -> DataFrame:
                 rest = mine[~near]
 
     dealt = lists.join(nodes.select("a", "b", "sketch"), ["a", "b"]).select("tok", "part", "a", "b", "n", "sketch").repartition("tok", "part").sortWithinPartitions("tok", "part", "a", "b")
-    return dealt.mapInArrow(go, "a long, b long, ha long, hb long").distinct()
+    return dealt.mapInArrow(released(go), "a long, b long, ha long, hb long").distinct()
 
 
 def _cells(lists: DataFrame, labels: DataFrame | None, nodes: DataFrame) -> DataFrame:
@@ -453,7 +453,7 @@ def _nearest(cells: DataFrame) -> DataFrame:
             if len(found):
                 yield _pair_batch(rows[found, 2:4], rows[whom[found], 2:4], rows[found, 0], best[found])
 
-    return cells.mapInArrow(go, "a long, b long, ha long, hb long, tok long, spare long")
+    return cells.mapInArrow(released(go), "a long, b long, ha long, hb long, tok long, spare long")
 
 
 def _need(n: Column, l: Column, m: Column, o: Column) -> Column:
@@ -477,7 +477,7 @@ def _across(cells: DataFrame) -> DataFrame:
                     x, y = np.where(swap, y, x), np.where(swap, x, y)
                     yield _pair_batch(rows[x, 2:4], rows[y, 2:4], rows[x, 4], rows[x, 5], rows[y, 4], rows[y, 5], np.maximum(rows[x, 10], rows[y, 10]))
 
-    met = cells.mapInArrow(go, "a long, b long, ha long, hb long, n long, l long, m long, o long, w long")
+    met = cells.mapInArrow(released(go), "a long, b long, ha long, hb long, n long, l long, m long, o long, w long")
     pair = met.groupBy("a", "b", "ha", "hb").agg(F.sum("w").alias("k"), *(F.min(c).alias(c) for c in "nlmo"))
     return pair.filter(F.col("k") >= _need(*(F.col(c) for c in "nlmo"))).select("a", "b", "ha", "hb")
 
@@ -499,7 +499,7 @@ def _member_bits(ids: DataFrame) -> tuple[np.ndarray, int]:
                 bits[at] = True
         yield slices(np.packbits(bits))
 
-    return sum_slices(ids.mapInArrow(mark, "slice int, cells binary"), "uint8", either=True), size
+    return sum_slices(ids.mapInArrow(released(mark), "slice int, cells binary"), "uint8", either=True), size
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -533,7 +533,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
                 columns = [[r[k] for r in rows] for k in range(5)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["a", "b", "n", "wide", "toks"])
 
-    return docs.mapInArrow(emit, "a long, b long, n long, wide array<long>, toks array<long>")
+    return docs.mapInArrow(released(emit), "a long, b long, n long, wide array<long>, toks array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
