@@ -14,10 +14,10 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from encore.llm.common import per_value
+from encore.llm.common import own_name, per_value
 
 WINDOW = 10
 #: Patterns that are searched at once; more go through further passes over the same rows.
@@ -87,22 +87,20 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", out: str =
     """`docs` with a struct column `out`: n_words, hit (positions of hit words), items (sorted ids).
 
     The patterns are dealt by hash into blocks of about `max_patterns`, each a search table of
-    bounded size; the rows stream through one search per block, without a shuffle."""
+    bounded size; the rows stream through one search per block, without a shuffle. A column named
+    `out` is replaced, all others stay, whatever they are called. Without items nothing is hit."""
     patterns = windows(items)
     blocks = max(1, -(-patterns.count() // max_patterns))
-    found: Column | None = None
-    for k in range(blocks):
+    names = [own_name("hits") for _ in range(blocks)]
+    for k, name in enumerate(names):
         part = patterns if blocks == 1 else patterns.filter(F.pmod(F.xxhash64("window", "id"), F.lit(blocks)) == k)
         table: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
         for row in part.collect():
             table[tuple(row["window"].encode().split(b" "))] |= {row["id"]} - {None}
-        hit = _searcher(dict(table))(F.col(text))
-        docs = docs.withColumn(f"{out}_next" if found is not None else out, hit)
-        if found is not None:
-            both = F.struct(F.col(f"{out}.n_words"), *(F.array_sort(F.array_union(f"{out}.{c}", f"{out}_next.{c}")).alias(c) for c in ("hit", "items")))
-            docs = docs.withColumn(out, both).drop(f"{out}_next")
-        found = F.col(out)
-    return docs
+        docs = docs.withColumn(name, _searcher(dict(table))(F.col(text)))
+    union = {c: F.array_sort(F.array_distinct(F.flatten(F.array(*(F.col(f"{n}.{c}") for n in names))))) for c in ("hit", "items")}
+    found = F.col(names[0]) if blocks == 1 else F.struct(F.col(f"{names[0]}.n_words").alias("n_words"), *(v.alias(c) for c, v in union.items()))
+    return docs.withColumn(out, found).drop(*names)
 
 
 def _searcher(table: dict):
@@ -122,5 +120,5 @@ def _searcher(table: dict):
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """The documents without any occurrence of a benchmark window, columns unchanged."""
-    mark = "__hits"
+    mark = own_name("hits")
     return find_hits(docs, items, text, mark, max_patterns).filter(F.size(f"{mark}.hit") == 0).drop(mark)

@@ -12,7 +12,9 @@ probing goes by shard: lines are packed for each document and shard, meet their
 one task of that shard (hot shards are salted), and only the hashes to drop come back.
 
 A null or empty text is one empty line. A null doc_id counts as one document, larger than any
-other. Repeated rows of a doc_id are one document, and lose or keep their lines alike."""
+other. Repeated rows of a doc_id are one document, and lose or keep their lines alike. Ids are
+numbers. A column named as the result is replaced, all others stay, whatever they are called; very
+long texts go line by line; an empty table gives an empty one."""
 
 from __future__ import annotations
 
@@ -24,12 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from encore.llm.common import own_name
 from encore.staging import stage
 
 MIN_CHARS = 10
 NO_ID = 2**63 - 1
 SHARD_KEYS = 200_000
 MAX_BROADCAST = 96 << 20
+#: Lines that a task probes a shard with at a time, about.
+PROBES = 4_000_000
 _MASK = 2**64 - 1
 
 
@@ -218,32 +223,40 @@ def _probe_all(rows: list[dict], shards: int, least: int):
     return F.arrow_udf(run, _RETURNS).asNondeterministic()
 
 
-def _probe_by_shard(docs: DataFrame, arrays: DataFrame, shards: int, doc, body, out: str, least: int, salts: int = 8) -> DataFrame:
-    """The same answer without a broadcast: documents' hashes go to the shards, drops come back."""
+def _probe_by_shard(docs: DataFrame, arrays: DataFrame, shards: int, doc, body, out: str, least: int, probes_at_once: int = PROBES) -> DataFrame:
+    """The same answer without a broadcast: documents' hashes go to the shards, drops come back.
+
+    A shard's probes go in as many parts as keep each at about `probes_at_once` lines, by a count of
+    all lines. Drops come back by id and text, so rows that share an id, or have none, don't meet."""
+    lines = docs.agg(F.sum(F.length(body) - F.length(F.replace(body, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    salts = max(8, -(-int(lines) // (shards * probes_at_once)))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for n, batch in enumerate(batches):
             by: dict[int, list] = {}
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for h in set(_hashes(t, least)) - {None}:
-                    by.setdefault(h[0] % shards, []).append((h[0], h[1], d))
-            rows = [(s, (n + s) % salts, np.array(v, np.int64).tobytes()) for s, v in by.items()]
+            for at in range(0, len(batch), 256):
+                some = batch.slice(at, 256)
+                for d, h, t in zip(*(some.column(k).to_pylist() for k in range(3)), strict=True):
+                    for x in set(_hashes(t, least)) - {None}:
+                        by.setdefault(x[0] % shards, []).append((x[0], x[1], d, h))
+            rows = [(s, hash((n, s, v[0])) % salts, np.array(v, np.int64).tobytes()) for s, v in by.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["shard", "salt", "probe"])
 
     def probe(left, right):
         import pandas as pd
 
         if not len(left) or not len(right):
-            return pd.DataFrame({"d": [], "a": [], "b": []}).astype("int64")
-        x = np.concatenate([np.frombuffer(p, np.int64).reshape(-1, 3) for p in right["probe"]])
+            return pd.DataFrame({"d": [], "h": [], "a": [], "b": []}).astype("int64")
+        x = np.concatenate([np.frombuffer(p, np.int64).reshape(-1, 4) for p in right["probe"]])
         ok = Shard(left.iloc[0]).drop(x[:, 0].copy(), x[:, 1].copy(), x[:, 2].copy())
-        return pd.DataFrame({"d": x[ok, 2], "a": x[ok, 0], "b": x[ok, 1]})
+        return pd.DataFrame({"d": x[ok, 2], "h": x[ok, 3], "a": x[ok, 0], "b": x[ok, 1]})
 
-    rows = docs.select(doc.alias("d"), body.cast("binary").alias("t"))
+    d, h, gone = own_name("d"), own_name("h"), own_name("gone")
+    rows = docs.select(doc.alias("d"), F.xxhash64(body).alias("h"), body.cast("binary").alias("t"))
     probes = rows.mapInArrow(pack, "shard int, salt int, probe binary")
     dealt = arrays.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    drops = dealt.groupBy("shard", "salt").cogroup(probes.groupBy("shard", "salt")).applyInPandas(probe, "d long, a long, b long")
-    gone = drops.groupBy("d").agg(F.collect_set(F.struct("a", "b")).alias("__gone"))
+    drops = dealt.groupBy("shard", "salt").cogroup(probes.groupBy("shard", "salt")).applyInPandas(probe, "d long, h long, a long, b long")
+    found = drops.groupBy(F.col("d").alias(d), F.col("h").alias(h)).agg(F.collect_set(F.struct("a", "b")).alias(gone))
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for bodies, drop in batches:
@@ -252,6 +265,5 @@ def _probe_by_shard(docs: DataFrame, arrays: DataFrame, shards: int, doc, body,
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     keep = F.arrow_udf(run, _RETURNS).asNondeterministic()
-    joined = docs.withColumn("__d", doc).join(gone.withColumnRenamed("d", "__d"), "__d", "left")
-    return joined.withColumn(out, keep(body, F.col("__gone"))).drop("__d", "__gone")
-
+    joined = docs.withColumns({d: doc, h: F.xxhash64(body)}).join(found, [d, h], "left")
+    return joined.withColumn(out, keep(body, F.col(gone))).drop(d, h, gone)

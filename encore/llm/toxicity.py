@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from encore.llm.common import per_value, utf8
+from encore.llm.common import own_name, per_value, utf8
 from encore.staging import stage
 
 MAX_ROWS = 12_000
@@ -224,5 +224,5 @@ def score_toxicity(text: Column, model: Model) -> Column:
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents whose P(grade > 0) is below the threshold, columns unchanged."""
-    mark = "__toxicity"
+    mark = own_name("toxicity")
     return docs.withColumn(mark, score_toxicity(F.col(text), model)).filter(F.col(f"{mark}.p_toxic") < threshold).drop(mark)

@@ -46,13 +46,19 @@ def cases():
 @pytest.mark.parametrize("most", [200_000, 3])
 def test_against_brute_force(spark, most):
     docs, items = cases()
-    frame = spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, n_words int, window string")
+    frame = spark.createDataFrame([(*d, 1, "x", 2, "y") for d in docs], "doc_id long, text string, n_words int, window string, hits_next int, items string")
     got = find_hits(frame, spark.createDataFrame(items, "item_id long, text string"), max_patterns=most)
     assert got.columns == [*frame.columns, "hits"]
     ours = sorted((repr(r["doc_id"]), r["text"] or "", r["text"] is None, r["hits"]["n_words"], r["hits"]["hit"], r["hits"]["items"]) for r in got.collect())
     assert ours == sorted((repr(i), t or "", t is None, *brute(t, items)) for i, t in docs)
 
 
+def test_a_column_of_the_results_name_is_replaced(spark):
+    frame = spark.createDataFrame([(1, "a b", "mine", 7)], "doc_id long, text string, hits string, hits_next int")
+    got = find_hits(frame, spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "item_id long, text string"), max_patterns=1).first()
+    assert (got["hits"]["items"], got["hits"]["hit"], got["hits_next"]) == (["1", "2"], [0, 1], 7)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

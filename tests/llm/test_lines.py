@@ -40,12 +40,23 @@ def cases():
 @pytest.mark.parametrize("shard_keys,most", [(200_000, 96 << 20), (4, 96 << 20), (4, -1), (200_000, -1)])
 def test_against_brute_force(spark, shard_keys, most):
     docs = cases()
-    frame = spark.createDataFrame([(*d, 1, 2, "x") for d in docs], "doc_id long, text string, a int, shard int, owner string").repartition(3)
+    frame = spark.createDataFrame([(*d, 1, 2, "x", 3, 4, 5, 6) for d in docs], "doc_id long, text string, a int, shard int, owner string, __gone int, __d int, h int, salt int").repartition(3)
     got = dedup_lines(frame, shard_keys=shard_keys, max_broadcast=most)
     assert sorted(got.columns) == sorted([*frame.columns, "lines"])
     assert sorted((repr(r["doc_id"]), r["lines"]["n_lines"], r["lines"]["n_dropped"], r["lines"]["kept"]) for r in got.collect()) == brute(docs)
 
 
+def test_a_hot_line_many_null_ids_and_small_probes(spark, monkeypatch):
+    """By shard: a line that a third of all documents hold, rows without an id that share nothing else,
+    probes in several parts, and a column of the result's name, which is replaced."""
+    monkeypatch.setattr("encore.llm.lines._probe_by_shard.__defaults__", (20,))
+    docs = [(k if k % 5 else None, "\n".join([f"own line number {k}", *(["a hot line of many"] if k % 3 == 0 else []), f"line of a pair {k // 2}"])) for k in range(300)]
+    frame = spark.createDataFrame([(*d, "mine") for d in docs], "doc_id long, text string, lines string").repartition(4)
+    got = dedup_lines(frame, shard_keys=30, max_broadcast=-1)
+    assert got.columns == frame.columns
+    assert sorted((repr(r["doc_id"]), r["lines"]["n_lines"], r["lines"]["n_dropped"], r["lines"]["kept"]) for r in got.collect()) == brute(docs)
+
+
 @pytest.mark.parametrize("most", [96 << 20, -1])
 def test_empty_table_and_nothing_repeated(spark, most):
     frame = spark.createDataFrame([(1, "a single long line"), (2, "another long line")], "doc_id long, text string")
