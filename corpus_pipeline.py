@@ -1,7 +1,13 @@
 """From raw documents to a training mix: five stages, each a written table for the next one.
 
-Stages take (spark, docs, sf_dir); all but the last return the columns of documents. SQL cannot
-express the toxicity model, so the whole has no oracle; each stage is tested by itself."""
+Stages take (spark, docs, sf_dir); all but the last return the columns of documents, whatever others
+the table has. SQL cannot express the toxicity model, so the whole has no oracle; each stage is tested
+by itself.
+
+Null and empty texts are never toxic, hold no repeated line and no benchmark passage, are near copies
+of nothing, and are left out by the mix, which takes documents with a token only. Rows without an id
+stay until the mix. Rows that repeat an id stay or go together as near copies. Very long texts are read
+whole. An empty table goes through all stages empty."""
 
 from __future__ import annotations
 
@@ -9,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from encore.llm import decontaminate, jaccard, lines, mix, queries, toxicity
-from encore.llm.common import table
+from encore.llm.common import own_name, table
 from encore.staging import stage
 
 
@@ -20,8 +26,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; a document keeps its row, its n_chars follow its text."""
-    found = lines.dedup_lines(docs, out="__lines")
-    return found.withColumns({"text": F.when(F.col("text").isNotNull(), F.col("__lines.kept")), "n_chars": F.when(F.col("text").isNotNull(), F.length("__lines.kept").cast("long")).otherwise(F.col("n_chars"))}).drop("__lines")
+    own = own_name("lines")
+    found, kept = lines.dedup_lines(docs, out=own), F.col(f"{own}.kept")
+    return found.withColumns({"text": F.when(F.col("text").isNotNull(), kept), "n_chars": F.when(F.col("text").isNotNull(), F.length(kept).cast("long")).otherwise(F.col("n_chars"))}).drop(own)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
