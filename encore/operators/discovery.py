@@ -39,8 +39,9 @@ def external_discovery(edges: DataFrame, tracks: DataFrame, known: DataFrame, ta
     rows = tracks.join(best, F.col("artist") == F.col("name")).drop("name").join(known, "artist", "left")
     rows = rows.withColumn("tier", familiarity_tier(F.coalesce("songs", F.lit(0)))).filter(F.col("tier").isNotNull())
     rows = rows.join(tag_similarity, "ext_id").filter(F.col("similarity").between(0.25, 0.85))
-    top = F.max("listeners").over(Window.partitionBy("tier"))
-    scored = rows.withColumn("score", 0.5 * F.col("similarity") + 0.3 * F.col("match") + 0.2 * F.coalesce(F.try_divide(F.col("listeners"), F.nullif(top, F.lit(0))), F.lit(0.0)))
+    most = rows.groupBy("tier").agg(F.max("listeners").alias("__most"))  # three rows
+    top = F.col("__most")
+    scored = rows.join(F.broadcast(most), "tier").withColumn("score", 0.5 * F.col("similarity") + 0.3 * F.col("match") + 0.2 * F.coalesce(F.try_divide(F.col("listeners"), F.nullif(top, F.lit(0))), F.lit(0.0))).drop("__most")
     capped = ranking.artist_cap(scored, 2, "score", "ext_id")
     a, b, _ = QUOTAS.get(preset, QUOTAS["default"])
     half_even = lambda x: int(round(x))

@@ -28,7 +28,7 @@ def exposure_intervals(plays: DataFrame) -> DataFrame:
     """Per play from a song's second on: plays of the log since the song's last one, and its number
     among the song's plays."""
     own = Window.partitionBy("song_id").orderBy("gidx")
-    rows = play_ordinal(plays.filter(F.col("song_id").isNotNull())).select("song_id", "gidx", (F.col("gidx") - F.lag("gidx").over(own)).alias("interval"), (F.row_number().over(own) - 1).alias("familiarity"))
+    rows = play_ordinal(plays.filter(F.col("song_id").isNotNull()).select("song_id", "ts", "tie")).select("song_id", "gidx", (F.col("gidx") - F.lag("gidx").over(own)).alias("interval"), (F.row_number().over(own) - 1).alias("familiarity"))
     return rows.filter(F.col("interval").isNotNull())
 
 

@@ -54,7 +54,7 @@ def event_times(plays: DataFrame, clock: str = "days", least: int = 16, least_da
         end = plays.agg(F.max("ts").alias("end"))
         rows = rows.crossJoin(F.broadcast(end)).select("song_id", (days(F.min("ts").over(own), F.col("ts")) + 1).alias("t"), (days(F.min("ts").over(own), F.col("end")) + 1).alias("horizon"))
         return rows
-    counted = lifecycle.play_ordinal(plays).join(rows.select("song_id").distinct(), "song_id", "left_semi")
+    counted = lifecycle.play_ordinal(plays.select("song_id", "ts", "tie")).join(rows.select("song_id").distinct(), "song_id", "left_semi")
     end = plays.agg((F.count("*") - 1).alias("end"))
     first = F.min("gidx").over(own)
     return counted.crossJoin(F.broadcast(end)).select("song_id", (F.col("gidx") - first + 1).cast("double").alias("t"), (F.col("end") - first + 1).cast("double").alias("horizon"))

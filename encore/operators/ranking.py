@@ -58,10 +58,12 @@ def cap_for(size: int) -> int:
 
 
 def quota_fill(rows: DataFrame, quotas: dict[str, int], n: int, tier: str = "tier", score: str = "score", key: str = "song_id") -> DataFrame:
-    """Up to its quota from each tier, the rest by score from what is left."""
+    """Up to its quota from each tier, the rest by score from what is left; of a tier no more than
+    its first n can be among them, so tasks keep those only."""
     rank = F.row_number().over(Window.partitionBy(tier).orderBy(F.desc(score), key))
     quota = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv)), F.col(tier)), F.lit(0))
-    return rows.withColumn("in_quota", rank <= quota).orderBy(F.desc("in_quota"), F.desc(score), key).limit(n)
+    best = rows.withColumn("__rn", rank).filter(F.col("__rn") <= n)
+    return best.withColumn("in_quota", F.col("__rn") <= quota).drop("__rn").orderBy(F.desc("in_quota"), F.desc(score), key).limit(n)
 
 
 def slots(main: DataFrame, found: DataFrame) -> DataFrame:
