@@ -37,6 +37,49 @@ def test_ordinal_fit_orders_the_grades():
     assert severity == sorted(severity) and severity[0] < 0.4 and severity[5] > 1.6
 
 
+def test_fit_is_where_the_likelihood_is_level():
+    """Differences of the penalised likelihood, worked out by a plain loop, are nought at the fit (weights
+    that would go below nought stay there)."""
+    rng = np.random.default_rng(5)
+    rows = [{j: float(v) for j, v in enumerate(rng.integers(0, 3, 4)) if v} for _ in range(150)]
+    grades = np.array([min(2, int(r.get(0, 0) + r.get(1, 0) * 0.5 - r.get(2, 0) * 0.3 + rng.normal(0, 0.7) > 0.8) + int(r.get(0, 0) + rng.normal(0, 0.5) > 1.6)) for r in rows])
+    model = fit_ordinal(rows, grades, list("abcd"), steps=4000)
+
+    def loss(weights, thresholds):
+        total = 0.0
+        for r, g in zip(rows, grades, strict=True):
+            score = sum(weights[j] * v for j, v in r.items())
+            below = [0.0, *(1 / (1 + np.exp(score - t)) for t in thresholds), 1.0]
+            total -= np.log(below[g + 1] - below[g])
+        return total / len(rows) + 0.5 * sum(w * w for w in weights) / 2 / len(rows)
+
+    w, t = model.weights.astype(float), np.asarray(model.thresholds, float)
+    for k in range(len(w) + len(t)):
+        step = np.zeros(len(w) + len(t))
+        step[k] = 1e-4
+        slope = (loss(w + step[: len(w)], t + step[len(w) :]) - loss(w - step[: len(w)], t - step[len(w) :])) / 2e-4
+        if k < len(w) and w[k] == 0:
+            assert slope > -2e-3
+        else:
+            assert abs(slope) < 2e-3, (k, slope)
+    assert (w > 0).sum() >= 2
+
+
+def test_scores_by_a_plain_loop(spark):
+    from encore.llm.toxicity import Model, value, word_features
+
+    features = ["^bad$", "vile", "^vilewo", "nope"]
+    model = Model(features, np.array([1.5, 0.7, 0.2, 9.0]), np.array([1.0, 2.5]))
+    texts = ["bad vileword", "Bad bad badly", "nothing", "", None, "vile! VILE? vile_vile", "x" * 5000 + " bad"]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, t string").select("k", score_toxicity(F.col("t"), model).alias("s")).collect()
+    for r in got:
+        words = "".join(c if c.isalpha() else " " for c in (texts[r["k"]] or "").lower()).split()
+        score = sum(model.weights[j] * value(n) for j, f in enumerate(features) if (n := sum(f in word_features(w) for w in words)))
+        over = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+        assert r["s"]["severity"] == pytest.approx(sum(over)) and r["s"]["p_toxic"] == pytest.approx(over[0])
+        assert r["s"]["grade"] == int(np.argmax([1 - over[0], over[0] - over[1], over[1]]))
+
+
 def test_held_out_documents(spark):
     rows, labels = corpus()
     docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, severity string")
