@@ -248,11 +248,25 @@ def _parts(level: np.ndarray) -> np.ndarray:
     return 1 << np.maximum(level.astype(np.int64) - BLOCK.bit_length(), 0)
 
 
+def _sized(rows: np.ndarray) -> np.ndarray:
+    """The entries (tok, part, a, b, nl) of whole lists, without those whose size lets them link to
+    no other entry of their list. A list in parts keeps all, as no task sees it whole."""
+    edge = np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)])
+    own, n = np.cumsum(edge), rows[:, 4] >> 8
+    order = np.lexsort((n, own))
+    own, n = own[order], n[order]
+    fits = (own[1:] == own[:-1]) & (n[1:] * PERCENT <= n[:-1] * 100)
+    kept = rows[:, 1] > 0
+    kept[order[1:][fits]] = True
+    kept[order[:-1][fits]] = True
+    return rows[kept]
+
+
 def _lists(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     """(tok, part, a, b, n, l, w): the lists of prefix shingles that two or more classes share.
 
-    Lists of the same classes are one, `w` says of how many shingles, and `tok` is made of the
-    classes. The list of a very common shingle goes in parts, so that none is one task's work; it
+    A class that no other class of a list comes near in size is left out of it. Lists of the same
+    classes are one, `w` says of how many shingles, and `tok` is made of the classes. The list of a very common shingle goes in parts, so that none is one task's work; it
     stays one by itself. Parts above 0 may hold a single class, which then meets nothing."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +295,9 @@ def _lists(docs: DataFrame, levels: np.ndarray) -> DataFrame:
         for rows, _ in _by_list(batches, marked=False):
             fresh = np.ones(len(rows), bool)
             fresh[1:] = (rows[1:, :4] != rows[:-1, :4]).any(1)
-            rows = rows[fresh]
+            rows = _sized(rows[fresh])
+            if not len(rows):
+                continue
             edge = np.flatnonzero(np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)]))
             size = np.diff(np.append(edge, len(rows)))
             x = (rows[:, 2].view(np.uint64) * _K ^ rows[:, 3].view(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)

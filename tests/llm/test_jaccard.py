@@ -108,3 +108,13 @@ def test_longer_prefixes_where_lists_are_full():
     for own, least in (usual, full):
         assert len(own) == 100 - 80 + least
     assert full[1] >= usual[1] >= 1
+
+
+def test_sized_keeps_what_fits_another_of_its_list():
+    rng = random.Random(4)
+    rows = sorted((rng.randrange(40), rng.choice([0, 0, 0, 1]), k, k, rng.choice([4, 5, 9, 10, 11, 50, 300, 370, 380]) << 8 | 1) for k in range(150))
+    fits = lambda n, m: min(n, m) * 100 >= max(n, m) * 80
+    want = [r for r in rows if r[1] or any(s[:2] == r[:2] and s != r and fits(r[4] >> 8, s[4] >> 8) for s in rows)]
+    assert jaccard._sized(np.array(rows, np.int64)).tolist() == [list(r) for r in want]
+    assert 0 < len(want) < len(rows)
+    assert not len(jaccard._sized(np.array([[1, 0, 2, 2, 9 << 8]], np.int64)))
