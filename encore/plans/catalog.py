@@ -18,6 +18,9 @@ from encore.staging import stage
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, Query] = {}
 
+#: Genres beside those of the groups: parts of families, none, empty, unknown.
+GENRES = ["kpop", "Alternative Folk", "Post-Punk", "Adult Contemporary", "Neo Soul", "Synthpop", "Trap", "Deep House", "Contemporary Folk", "Polka", "", None]
+
 
 def query(f: Query) -> Query:
     _FOUND[f.__name__] = f
@@ -152,6 +155,15 @@ def decline_correction(spark, d):
     return scores.decline_correction(songs, scores.decline_signals(plays_d(spark, d)))
 
 
+@_tidied
+def decline_correction_graded(spark, d):
+    """The same with a grade by the artist's name, so that every grade has songs."""
+    artist = F.col("artist")
+    songs = features.song_totals(plays_d(spark, d)).select("song_id", "artist", "skip_rate", F.when(F.col("skip_rate") < 0.66, "Warm").otherwise("Cool").alias("temperature"))
+    grade = F.when(artist == "ECONOMY", "critical").when(artist == "STANDARD", "severe").when(artist == "PROMO", "mild")
+    return scores.decline_correction(songs, songs.select("artist", grade.alias("severity")).distinct().filter("severity is not null"))
+
+
 @_tidied
 def active_artists(spark, d):
     return features.active_artists(plays_l(spark, d))
@@ -168,6 +180,26 @@ def genre_labels(spark, d):
     return genres.select(F.col("p_type").alias("genre"), labels.genre_family(F.col("p_type")).alias("family"), labels.genre_group(F.col("p_type")).alias("grp"))
 
 
+def _genres(spark, d) -> DataFrame:
+    """Parts with a genre of every group and family, some of none, empty and unknown ones, and a year."""
+    names = F.array(*(F.lit(g) for g in [*labels.GENRE_GROUPS, *GENRES]))
+    return table(spark, d, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % F.size(names)).cast("int")).alias("genre"), (F.lit(1990) + F.col("p_size") % 30).alias("y"))
+
+
+@_tidied
+def genre_labels_named(spark, d):
+    rows = _genres(spark, d)
+    return rows.select("p_partkey", "genre", labels.genre_family(F.col("genre")).alias("family"), labels.genre_group(F.col("genre")).alias("grp"))
+
+
+@_tidied
+def metadata_similarity_named(spark, d):
+    """Every part against the one of id 1: the same genre, one of its group, or another."""
+    rows = _genres(spark, d)
+    seed = rows.filter("p_partkey = 1").select(F.col("genre").alias("g0"), F.col("y").alias("y0"))
+    return rows.crossJoin(F.broadcast(seed)).select("p_partkey", similarity.metadata_similarity(F.col("genre"), F.col("y"), F.col("g0"), F.col("y0")).alias("s"))
+
+
 @_tidied
 def value_distribution(spark, d):
     return features.distribution(plays_l(spark, d), "skip_type")

@@ -97,6 +97,13 @@ _TOP = "top AS (SELECT tag, sum(w)::BIGINT AS weight FROM (SELECT unnest(tags) A
 _MODES = {"comfort": 0, "balanced": 1, "now": 2}
 _GENRES = [("indie", ["indie rock", "indie", "alternative"]), ("rock", ["rock", "punk", "metal"]), ("ballad", ["ballad", "adult contemporary"]), ("rnb", ["r&b", "soul"]), ("pop", ["pop"]), ("hiphop", ["hip-hop", "rap", "hip hop"]), ("electronic", ["electronic", "edm", "house", "techno"]), ("singer-songwriter", ["singer/songwriter", "folk"])]
 _FAMILY = "CASE WHEN lower(p_type) IN ('k-pop', 'kpop') THEN 'k-pop' " + " ".join(f"WHEN contains(lower(p_type), '{p}') THEN '{f}'" for f, ps in _GENRES for p in ps) + " ELSE 'other' END"
+_NAMES = """['K-Pop', 'Korean Pop', 'K-Hip-Hop', 'Korean Hip-Hop', 'Pop', 'J-Pop', 'Rock', 'Alternative', 'Indie Rock', 'Korean Indie', 'R&B/Soul', 'R&B', 'Soul', 'Hip-Hop/Rap', 'Hip-Hop', 'Electronic', 'Dance',
+    'Singer/Songwriter', 'Ballad', 'Korean Ballad', 'Metal', 'Hard Rock', 'Classical', 'Jazz', 'Blues', 'Country', 'Soundtrack', 'Anime',
+    'kpop', 'Alternative Folk', 'Post-Punk', 'Adult Contemporary', 'Neo Soul', 'Synthpop', 'Trap', 'Deep House', 'Contemporary Folk', 'Polka', '', NULL]"""
+_NAMED = f"named AS (SELECT p_partkey, 1990 + p_size % 30 AS y, {_NAMES}[1 + p_partkey % len({_NAMES})] AS p_type FROM part)"
+_GROUP = """CASE WHEN {0} IN ('K-Pop', 'Korean Pop') THEN 'korean_pop' WHEN {0} IN ('K-Hip-Hop', 'Korean Hip-Hop') THEN 'korean_hiphop' WHEN {0} = 'J-Pop' THEN 'jpop' WHEN {0} IN ('Rock', 'Alternative', 'Indie Rock') THEN 'rock'
+    WHEN {0} = 'Korean Indie' THEN 'korean_indie' WHEN {0} IN ('R&B/Soul', 'R&B', 'Soul') THEN 'rnb' WHEN {0} IN ('Hip-Hop/Rap', 'Hip-Hop') THEN 'hiphop' WHEN {0} IN ('Electronic', 'Dance') THEN 'electronic'
+    WHEN {0} = 'Singer/Songwriter' THEN 'singer_songwriter' WHEN {0} IN ('Ballad', 'Korean Ballad') THEN 'ballad' WHEN {0} IN ('Metal', 'Hard Rock') THEN 'metal' ELSE lower({0}) END"""
 _DOT = "list_inner_product(list_transform({0}, lambda x: x::DOUBLE), list_transform({1}, lambda x: x::DOUBLE))"
 _COS = "(" + _DOT + ") / (sqrt(" + _DOT.format("{0}", "{0}") + ") * sqrt(" + _DOT.format("{1}", "{1}") + "))"
 
@@ -143,6 +150,9 @@ _SQL: dict[str, tuple[list[str], str]] = {
     "decline_correction": ([_DECL, _totals("pd")], "SELECT song_id, artist, round(skip_rate, 6) AS skip_rate, temperature, severity, CASE WHEN severity = 'critical' AND temperature = 'Warm' THEN 'Cool' WHEN severity = 'critical' AND temperature = 'Cool' AND skip_rate > 0.15 THEN 'Frozen' WHEN severity = 'severe' AND temperature = 'Warm' AND skip_rate > 0.2 THEN 'Cool' ELSE temperature END AS corrected FROM (SELECT *, CASE WHEN skip_rate < 0.66 THEN 'Warm' ELSE 'Cool' END AS temperature FROM tot) LEFT JOIN (SELECT artist, severity FROM sev WHERE severity IS NOT NULL) USING (artist)"),
     "active_artists": ([], "SELECT artist, count(*)::BIGINT AS plays FROM pl WHERE ts >= (SELECT max(ts) FROM pl) - INTERVAL 90 DAY GROUP BY artist HAVING count(*) >= 10"),
     "modal_genre": ([], "SELECT artist, arg_min(genre, row(-n, genre)) AS genre FROM (SELECT artist, genre, count(*) AS n FROM pl GROUP BY ALL) GROUP BY artist"),
+    "decline_correction_graded": ([_totals("pd")], "SELECT *, CASE WHEN severity = 'critical' AND temperature = 'Warm' THEN 'Cool' WHEN severity = 'critical' AND skip_rate > 0.15 THEN 'Frozen' WHEN severity = 'severe' AND temperature = 'Warm' AND skip_rate > 0.2 THEN 'Cool' ELSE temperature END AS corrected FROM (SELECT song_id, artist, round(skip_rate, 6) AS skip_rate, CASE WHEN skip_rate < 0.66 THEN 'Warm' ELSE 'Cool' END AS temperature, CASE artist WHEN 'ECONOMY' THEN 'critical' WHEN 'STANDARD' THEN 'severe' WHEN 'PROMO' THEN 'mild' END AS severity FROM tot)"),
+    "genre_labels_named": ([_NAMED], f"SELECT p_partkey, p_type AS genre, CASE WHEN p_type <> '' THEN {_FAMILY} END AS family, {_GROUP.format('p_type')} AS grp FROM named"),
+    "metadata_similarity_named": ([_NAMED], f"SELECT p.p_partkey, round(CASE WHEN p.p_type = s.p_type THEN 0.5 WHEN {_GROUP.format('p.p_type')} = {_GROUP.format('s.p_type')} THEN 0.25 ELSE 0 END + CASE WHEN abs(p.y - s.y) <= 5 THEN 0.5 * (1 - abs(p.y - s.y) / 5.0::DOUBLE) ELSE 0 END, 6)::DOUBLE AS s FROM named p, (SELECT * FROM named WHERE p_partkey = 1) s"),
     "genre_labels": ([], f"SELECT DISTINCT p_type AS genre, {_FAMILY} AS family, lower(p_type) AS grp FROM part"),
     "value_distribution": ([], "SELECT skip_type::BIGINT AS skip_type, count(*)::BIGINT AS n, round(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM pl), 6) AS pct FROM pl GROUP BY skip_type"),
     "summary_quantiles": ([_RATED], "SELECT round(avg(R), 6) AS mean, " + ", ".join(f"round(quantile_cont(R, {q}), 6) AS {n}" for q, n in ((0.1, "p10"), (0.25, "p25"), (0.5, "median"), (0.75, "p75"), (0.9, "p90"))) + " FROM rated"),
