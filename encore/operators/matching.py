@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from encore.functions.text import artist_base, in_parens, lower_trim, normalize_artist, normalize_title, ratio
 from encore.operators.grams import contained, may_be_similar
+from encore.staging import stage
 
 #: Other names of artists, one way each as listed.
 ALIASES = {
@@ -72,34 +75,32 @@ def matches(external: DataFrame, index: DataFrame, least: float | None = 0.85, k
     are similar enough (`least`; None leaves that test out).
 
     Every test is a join on what it asks for: equal titles and brackets on the name and the title,
-    containment on runs of characters, similarity on rare pairs of characters (`grams`). Only pairs
-    that may be similar reach the Python function, and each pair of titles once."""
-    ext = external.select(key, F.explode(artist_aliases(F.col("artist"), table)).alias("alias"), normalize_title(F.col("title")).alias("t"), F.transform(in_parens(F.col("title")), normalize_title).alias("p"))
-    titles = index.select("alias", F.col("norm_title").alias("nt")).distinct()
+    containment on runs of characters, similarity on rare pairs of characters (`grams`). Tests are
+    made once for each name and text, however many tracks have it, and tracks look their texts up at
+    the end. Texts that many rows share look small in files, so no side is left to be broadcast by
+    that size. Only pairs that may be similar reach the Python function."""
+    ext = stage(external.select(key, F.explode(artist_aliases(F.col("artist"), table)).alias("alias"), normalize_title(F.col("title")).alias("t"), F.transform(in_parens(F.col("title")), normalize_title).alias("p")), "tracks")
+    index = stage(index.select("alias", "norm_title", "parens").distinct(), "library")
+    titles = index.select("alias", F.col("norm_title").alias("x")).distinct()
     brackets = index.select("alias", F.explode("parens").alias("x")).distinct()
     own = ext.select(key, "alias", F.explode("p").alias("x"))
-    long = lambda df, c: df.filter(F.length(c) > 3)
-    found = [
-        ext.join(titles.withColumnRenamed("nt", "t"), ["alias", "t"], "left_semi").select(key),
-        ext.join(brackets.withColumnRenamed("x", "t"), ["alias", "t"], "left_semi").select(key),
-        own.join(titles.withColumnRenamed("nt", "x"), ["alias", "x"], "left_semi").select(key),
-    ]
-    for mine, theirs in ((ext.select(key, "alias", F.col("t").alias("x")), brackets), (own, titles.withColumnRenamed("nt", "x"))):
-        mine, theirs = long(mine, "x"), long(theirs, "x")
-        for short, other in ((mine, theirs), (theirs, mine)):
-            found.append(contained(short.withColumnRenamed("x", "s"), other.withColumnRenamed("x", "l"), ["alias"]).select(key))
+    mine, inner = ext.select("alias", F.col("t").alias("x")).distinct(), own.select("alias", "x").distinct()
+    equal = lambda one, two: one.join(two.hint("merge"), ["alias", "x"], "left_semi")
+    long = lambda df, c: df.filter(F.length("x") > 3).withColumnRenamed("x", c)
+    within = lambda one, two: contained(long(one, "s"), long(two, "l"), ["alias"])
+    holding = lambda one, two: [within(one, two).select("alias", F.col("s").alias("x")), within(two, one).select("alias", F.col("l").alias("x"))]
+    by_title = [equal(mine, titles), equal(mine, brackets), *holding(mine, brackets)]
+    by_bracket = [equal(inner, titles), *holding(inner, titles)]
     if least is not None:
-        near = may_be_similar(ext.select("alias", F.col("t").alias("x")), titles.withColumnRenamed("nt", "y"), least, ["alias"])
-        alike = near.filter(ratio("x", "y") >= least).select("alias", F.col("x").alias("t")).distinct()
-        found.append(ext.join(alike, ["alias", "t"], "left_semi").select(key))
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out.distinct()
+        near = may_be_similar(mine, titles.withColumnRenamed("x", "y"), least, ["alias"])
+        by_title.append(near.filter(ratio("x", "y") >= least).select("alias", "x"))
+    hits = lambda parts: reduce(DataFrame.unionByName, parts).distinct()
+    found = equal(ext.select(key, "alias", F.col("t").alias("x")), hits(by_title)).select(key)
+    return found.unionByName(equal(own, hits(by_bracket)).select(key)).distinct()
 
 
 def not_in_library(external: DataFrame, index: DataFrame, least: float | None = 0.85, key: str = "ext_id", table: dict[str, str] | None = None) -> DataFrame:
-    return external.join(matches(external, index, least, key, table), key, "left_anti")
+    return external.join(matches(external, index, least, key, table).hint("merge"), key, "left_anti")
 
 
 def known_songs(index: DataFrame, least: int = 5) -> DataFrame:

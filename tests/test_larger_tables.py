@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import duckdb
 
+import pytest
+
+from encore.operators import aliases, matching
 from encore.plans import catalog, oracles
 
 
@@ -14,3 +17,38 @@ def test_lyrics_keep_a_number_at_the_end(spark, tmp_path, same_rows):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     same_rows(catalog.queries()["lyrics_clean"](spark, str(tmp_path)), oracles.oracle_sql()["lyrics_clean"], con)
+
+
+@pytest.fixture
+def met(monkeypatch):
+    """Rows of both sides of every containment join."""
+    sizes = []
+    for module in (matching, aliases):
+        def spied(short, long, *more, _own=module.contained):
+            sizes.extend((short.count(), long.count()))
+            return _own(short, long, *more)
+
+        monkeypatch.setattr(module, "contained", spied)
+    return sizes
+
+
+def test_tracks_of_one_name_meet_the_library_once(spark, met):
+    external = spark.createDataFrame([(k, "Sea (olive)", "A") for k in range(40)] + [(99, "Other", "A")], "ext_id long, title string, artist string")
+    songs = spark.createDataFrame([(k, "Green olive tree", "A", 1) for k in range(30)], "song_id long, title string, artist string, plays long")
+    found = matching.matches(external, matching.library_index(songs))
+    assert sorted(r["ext_id"] for r in found.collect()) == list(range(40))
+    assert met and max(met) <= 2
+
+
+def test_seeds_of_one_name_meet_the_songs_once(spark, met):
+    songs = spark.createDataFrame([(k, "Green tree", "The A") for k in range(5, 35)] + [(1, "Green tree", None)], "song_id long, title string, artist string")
+    seeds = spark.createDataFrame([(k, "GREEN", "a") for k in range(40)] + [(50, "red", "a"), (51, None, "a"), (52, "green", None)], "seed_id long, title string, artist string")
+    got = {r["seed_id"]: r["song_id"] for r in aliases.resolve_seeds(songs, seeds).collect()}
+    assert got == {**dict.fromkeys(range(40), 5), 50: None, 51: None, 52: None}
+    assert met and max(met) <= 3
+
+
+def test_no_side_of_a_text_join_is_broadcast_by_its_size_in_files(spark):
+    songs = spark.createDataFrame([(1, "Green tree", "A")], "song_id long, title string, artist string")
+    plan = aliases.resolve_seeds(songs, songs.withColumnRenamed("song_id", "seed_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
