@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import duckdb
-
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from encore.operators import aliases, matching
+from encore.operators import aliases, matching, models, pointprocess
 from encore.plans import catalog, oracles
 
 
@@ -52,3 +53,51 @@ def test_no_side_of_a_text_join_is_broadcast_by_its_size_in_files(spark):
     songs = spark.createDataFrame([(1, "Green tree", "A")], "song_id long, title string, artist string")
     plan = aliases.resolve_seeds(songs, songs.withColumnRenamed("song_id", "seed_id"))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def _brute(x, c):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    out = []
+    for i in range(len(x)):
+        mean = {k: d[i, c == k].sum() / ((c == k).sum() - (k == c[i])) for k in np.unique(c) if (c == k).sum() > (k == c[i])}
+        a, b = mean.get(c[i]), min(v for k, v in mean.items() if k != c[i])
+        out.append(0.0 if a is None else (b - a) / max(a, b))
+    return out
+
+
+def test_silhouette_by_parts_sends_a_row_once_for_each(spark, monkeypatch):
+    """Parts are few, however small a block: what is shuffled grows with the rows."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(140, 3)) + 1000, np.repeat(rng.normal(size=(20, 3)), 3, 0)])
+    c = np.array([*rng.integers(0, 3, 199), 7])
+    frame = spark.createDataFrame([(k, v.tolist(), int(g)) for k, (v, g) in enumerate(zip(x, c, strict=True))], "id long, v array<double>, g long")
+    for block, cells, parts in ((1, 4, 4), (1000, 4, 1), (1, 12, 12)):
+        got = models.silhouette(frame, "id", "v", "g", block=block, cells=cells)
+        assert parts == 1 or f", {parts * (parts + 1) // 2}), REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+        assert [r["silhouette"] for r in got.orderBy("id").collect()] == pytest.approx(_brute(x, c), abs=1e-9)
+
+
+def test_kmeans_computes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(40).select(F.col("id").cast("double").alias("x")).mapInArrow(run, "x double")
+    models.kmeans(models.scaled(rows, ["x"]), 2, 3).count()
+    assert seen.value <= 3 * 40  # the means and the rows
+
+
+def test_fits_side_by_side_are_those_of_each_song(spark):
+    rng = np.random.default_rng(3)
+    songs = [np.sort(1 + rng.exponential(20 + 30 * i, int(rng.integers(16, 50)))) for i in range(20)]
+    ends = np.array([t[-1] + 5 for t in songs])
+    for shape, rounds in ((None, 6), (0.7, 4)):
+        got = np.array(pointprocess.fit_many(songs, ends, shape, rounds)).T
+        assert got == pytest.approx(np.array([pointprocess.fit_weibull(t, e, shape, rounds) for t, e in zip(songs, ends, strict=True)]), rel=1e-9)
+    rows = [(i, float(x), float(e)) for i, (t, e) in enumerate(zip(songs, ends, strict=True)) for x in t]
+    fits = pointprocess.fit_songs(spark.createDataFrame(rows, "song_id long, t double, horizon double"))
+    assert "FlatMapGroupsInPandas" not in fits._jdf.queryExecution().executedPlan().toString()
+    assert {r["song_id"]: (r["n"], r["k"]) for r in fits.collect()} == {i: (len(t), pytest.approx(pointprocess.fit_weibull(t, e)[0])) for i, (t, e) in enumerate(zip(songs, ends, strict=True))}
