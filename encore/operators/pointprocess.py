@@ -1,12 +1,15 @@
 """Weibull life cycles: plays of a song as a point process with intensity A f(t; k, tau).
 
 For given k and tau the likelihood is largest at A = n / F(T), so two parameters are searched: a
-log-spaced grid over both, then finer grids around the best. Songs are independent; each is one group."""
+log-spaced grid over both, then finer grids around the best. Songs are independent; each is one row
+with its sorted plays, and the grids of many songs are searched at once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +48,63 @@ def fit_weibull(t: np.ndarray, horizon: float, shape: float | None = None, round
     return best
 
 
+def fit_many(songs: list[np.ndarray], horizons: np.ndarray, shape: float | None = None, rounds: int = 6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`fit_weibull` of every song (sorted times), side by side."""
+    n = np.array([len(t) for t in songs])
+    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+    log_t = np.log(np.concatenate(songs))
+    s1, top = np.add.reduceat(log_t, starts), np.maximum.reduceat(log_t, starts)
+    gap = log_t - np.repeat(top, n)
+    low, high = np.log(0.2), np.log(5.0)
+    k_lo, k_hi = np.full(len(n), low), np.full(len(n), high)
+    t_lo, t_hi = np.log(np.maximum(np.array([t[0] for t in songs]), 1e-3) / 2), np.log(100 * horizons)
+    k, tau, best = np.ones(len(n)), np.array(horizons, float), np.full(len(n), -np.inf)
+    all_songs = np.arange(len(n))
+    powers = None
+    for _ in range(rounds):
+        ks = np.full((len(n), 1), shape) if shape else np.exp(np.linspace(k_lo, k_hi, 13, axis=1))
+        ts = np.exp(np.linspace(t_lo, t_hi, 25, axis=1))
+        if powers is None or not shape:
+            powers = np.stack([np.add.reduceat(np.exp(np.repeat(ks[:, j], n) * gap), starts) for j in range(ks.shape[1])], 1)
+        a, b, m = ks[:, :, None], ts[:, None, :], n[:, None, None]
+        with np.errstate(all="ignore"):
+            reach = -np.expm1(-((horizons[:, None, None] / b) ** a))
+            ll = m * (np.log(a) - a * np.log(b)) + (a - 1) * s1[:, None, None] - powers[:, :, None] * np.exp(a * (top[:, None, None] - np.log(b))) - m * np.log(reach)
+        ll = np.where(reach > 1e-12, ll, -1e18).reshape(len(n), -1)
+        at = ll.argmax(1)
+        found = ll[all_songs, at]
+        better = found > best
+        k, tau, best = np.where(better, ks[all_songs, at // 25], k), np.where(better, ts[all_songs, at % 25], tau), np.where(better, found, best)
+        dk, dt = (k_hi - k_lo) / 12 * 1.2, (t_hi - t_lo) / 24 * 1.2
+        k_lo, k_hi = np.maximum(low, np.log(k) - dk), np.minimum(high, np.log(k) + dk)
+        t_lo, t_hi = np.log(tau) - dt, np.log(tau) + dt
+    return k, tau, best
+
+
+def by_songs(times: DataFrame, f: Callable[[list, list[np.ndarray], np.ndarray], list[tuple]], schema: str, most: int = 50_000) -> DataFrame:
+    """Rows that `f` makes of ids, sorted times and horizons of some songs, at most `most` plays at
+    once (or one song)."""
+    rows = times.groupBy("song_id").agg(F.sort_array(F.collect_list("t")).alias("t"), F.max("horizon").alias("horizon"))
+    kinds = times.sparkSession.createDataFrame([], schema).schema
+    out = pa.schema([(c.name, {"long": pa.int64(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[c.dataType.simpleString()]) for c in kinds])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("t")
+            ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))
+            songs = np.split(column.flatten().to_numpy(zero_copy_only=False), ends[:-1])
+            ids, horizons = batch.column("song_id").to_pylist(), batch.column("horizon").to_numpy(zero_copy_only=False)
+            lo = 0
+            while lo < len(ids):
+                hi = max(lo + 1, min(lo + 500, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, side="right"))))
+                found = f(ids[lo:hi], songs[lo:hi], horizons[lo:hi])
+                columns = zip(*found, strict=True) if found else [[] for _ in out]
+                yield pa.RecordBatch.from_arrays([pa.array([x.item() if hasattr(x, "item") else x for x in c], f.type) for c, f in zip(columns, out, strict=True)], schema=out)
+                lo = hi
+
+    return rows.mapInArrow(run, schema)
+
+
 def event_times(plays: DataFrame, clock: str = "days", least: int = 16, least_days: float = 7.0) -> DataFrame:
     """(song_id, t, horizon): time since a song's first play, plus 1, in days or in plays of the log;
     the horizon runs to the log's end."""
@@ -66,13 +126,11 @@ FIT = "song_id long, n long, horizon double, k double, tau double, A double, ll
 def fit_songs(times: DataFrame, shape: float | None = None) -> DataFrame:
     """One fit by song; `still_open` marks a tau far beyond what was observed (over 5 horizons)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, horizon = np.sort(pdf["t"].to_numpy()), float(pdf["horizon"].iloc[0])
-        k, tau, ll = fit_weibull(t, horizon, shape)
-        reach = -np.expm1(-((horizon / tau) ** k))
-        return pd.DataFrame([(pdf["song_id"].iloc[0], len(t), horizon, k, tau, len(t) / max(reach, 1e-12), ll, tau > 5 * horizon)], columns=[c.split()[0] for c in FIT.split(", ")])
+    def run(ids: list, songs: list[np.ndarray], horizons: np.ndarray) -> list[tuple]:
+        fits = zip(ids, songs, horizons, *fit_many(songs, horizons, shape), strict=True)
+        return [(i, len(t), h, k, tau, len(t) / max(-np.expm1(-((h / tau) ** k)), 1e-12), ll, tau > 5 * h) for i, t, h, k, tau, ll in fits]
 
-    return times.groupBy("song_id").applyInPandas(run, FIT)
+    return by_songs(times, run, FIT)
 
 
 def shared_shape(times: DataFrame, low: float = 0.2, high: float = 5.0, points: int = 17) -> DataFrame:
@@ -80,11 +138,10 @@ def shared_shape(times: DataFrame, low: float = 0.2, high: float = 5.0, points:
     grid of k, all in one pass, then as many points between the best one's neighbours."""
 
     def tried(shapes: list[float]) -> DataFrame:
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            t, horizon = np.sort(pdf["t"].to_numpy()), float(pdf["horizon"].iloc[0])
-            return pd.DataFrame([(k, fit_weibull(t, horizon, k, 4)[2]) for k in shapes], columns=["k", "ll"])
+        def run(ids: list, songs: list[np.ndarray], horizons: np.ndarray) -> list[tuple]:
+            return [(k, fit_many(songs, horizons, k, 4)[2].sum()) for k in shapes]
 
-        return stage(times.groupBy("song_id").applyInPandas(run, "k double, ll double").groupBy("k").agg(F.sum("ll").alias("ll")), "shapes")
+        return stage(by_songs(times, run, "k double, ll double").groupBy("k").agg(F.sum("ll").alias("ll")), "shapes")
 
     coarse = tried([float(x) for x in np.geomspace(low, high, points)])
     best = coarse.orderBy(F.desc("ll"), "k").limit(1).collect()
@@ -120,18 +177,19 @@ def forecast(times: DataFrame, at: float = 0.5, least: int = 8) -> DataFrame:
     """(song_id, past, future, predicted): a fit up to a part of the horizon foretells the rest; at
     most five times all the song's plays."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, horizon = np.sort(pdf["t"].to_numpy()), float(pdf["horizon"].iloc[0])
-        d = 1 + at * (horizon - 1)
-        past = t[t <= d]
-        if len(past) < least:
-            return pd.DataFrame({"song_id": [], "past": [], "future": [], "predicted": []})
-        k, tau, _ = fit_weibull(past, d)
-        cdf = lambda x: -np.expm1(-((x / tau) ** k))
-        more = len(past) / max(cdf(d), 1e-12) * (cdf(horizon) - cdf(d))
-        return pd.DataFrame([(pdf["song_id"].iloc[0], len(past), len(t) - len(past), min(more, 5.0 * len(t)))], columns=["song_id", "past", "future", "predicted"])
+    def run(ids: list, songs: list[np.ndarray], horizons: np.ndarray) -> list[tuple]:
+        cuts = 1 + at * (horizons - 1)
+        pasts = [t[t <= d] for t, d in zip(songs, cuts, strict=True)]
+        some = [i for i, past in enumerate(pasts) if len(past) >= least]
+        out = []
+        for i, k, tau, _ in zip(some, *fit_many([pasts[i] for i in some], cuts[some]), strict=True) if some else ():
+            cdf = lambda x: -np.expm1(-((x / tau) ** k))  # noqa: E731, B023
+            past, all_plays = len(pasts[i]), len(songs[i])
+            more = past / max(cdf(cuts[i]), 1e-12) * (cdf(horizons[i]) - cdf(cuts[i]))
+            out.append((ids[i], past, all_plays - past, min(more, 5.0 * all_plays)))
+        return out
 
-    return times.groupBy("song_id").applyInPandas(run, "song_id long, past long, future long, predicted double")
+    return by_songs(times, run, "song_id long, past long, future long, predicted double")
 
 
 def errors_of(rows: DataFrame, predictors: list[str], actual: str = "future") -> DataFrame:
@@ -174,15 +232,16 @@ def tau_life_span(fits: DataFrame, plays: DataFrame) -> DataFrame:
 def identifiability(times: DataFrame, parts: tuple[float, ...] = (0.3, 0.5, 0.7, 0.9), least: int = 30) -> DataFrame:
     """(part, songs, median_error): how far tau from a song's first events is from that of all."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, horizon = np.sort(pdf["t"].to_numpy()), float(pdf["horizon"].iloc[0])
+    def run(ids: list, songs: list[np.ndarray], horizons: np.ndarray) -> list[tuple]:
+        some = [i for i, t in enumerate(songs) if len(t) >= least]
+        if not some:
+            return []
+        whole = fit_many([songs[i] for i in some], horizons[some])[1]
         rows = []
-        if len(t) >= least:
-            whole = fit_weibull(t, horizon)[1]
-            for f in parts:
-                some = t[: max(int(len(t) * f), 8)]
-                rows.append((f, abs(fit_weibull(some, float(some[-1]))[1] / whole - 1)))
-        return pd.DataFrame(rows, columns=["part", "error"])
-
-    errors = times.groupBy("song_id").applyInPandas(run, "part double, error double")
+        for f in parts:
+            first = [songs[i][: max(int(len(songs[i]) * f), 8)] for i in some]
+            rows += [(f, abs(tau / w - 1)) for tau, w in zip(fit_many(first, np.array([t[-1] for t in first]))[1], whole, strict=True)]
+        return rows
+
+    errors = by_songs(times, run, "part double, error double")
     return errors.groupBy("part").agg(F.count("*").alias("songs"), F.median("error").alias("median_error"))
