@@ -5,9 +5,10 @@ from __future__ import annotations
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from encore.operators import aliases, matching, models, pointprocess
+from encore.operators import aliases, boosting, matching, models, pointprocess
 from encore.plans import catalog, oracles
 
 
@@ -101,3 +102,15 @@ def test_fits_side_by_side_are_those_of_each_song(spark):
     fits = pointprocess.fit_songs(spark.createDataFrame(rows, "song_id long, t double, horizon double"))
     assert "FlatMapGroupsInPandas" not in fits._jdf.queryExecution().executedPlan().toString()
     assert {r["song_id"]: (r["n"], r["k"]) for r in fits.collect()} == {i: (len(t), pytest.approx(pointprocess.fit_weibull(t, e)[0])) for i, (t, e) in enumerate(zip(songs, ends, strict=True))}
+
+
+def test_fits_order_only_the_rows_they_see(spark):
+    rows = spark.range(4000).select(F.concat(F.lit("f"), (F.col("id") % 2).cast("string")).alias("fit"), F.col("id").alias("key"), (F.col("id") % 3).cast("int").alias("fold"), (F.col("id") % 7).cast("double").alias("y"), F.array(F.col("id").cast("double")).alias("x"), F.lit(None).cast("array<double>").alias("own"))
+    within = rows.join(boosting._reach(rows, 50), "fit").filter(F.shiftright(F.xxhash64("key"), boosting.SHIFT) <= F.col("__reach"))
+    by = {r["fit"]: r["count"] for r in within.groupBy("fit").count().collect()}
+    assert set(by) == {"f0", "f1"} and all(50 <= n <= 60 for n in by.values())
+    few = boosting.Boosting(trees=2, depth=1)
+    first = rows.withColumn("p", F.row_number().over(Window.partitionBy("fit").orderBy(F.xxhash64("key"), "key"))).filter("p <= 50").drop("p")
+    a, b = boosting.fit_folds(rows, 0, few, most=50), boosting.fit_folds(first, 0, few, most=1000)
+    pred = lambda m: [(r["key"], round(r["predicted"], 9)) for r in boosting.score(rows.filter("key < 200").select("fit", F.lit(0).alias("fold"), "key", "x"), m, few).orderBy("key").collect()]
+    assert a.count() == 2 and pred(a) == pred(b)
