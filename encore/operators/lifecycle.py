@@ -17,7 +17,10 @@ def play_ordinal(plays: DataFrame) -> DataFrame:
 
     A window over the whole log would run in one task. Plays are numbered inside ranges of the
     order, and a running count of ranges (few rows, however long the log) gives each its start."""
-    ranges = order.ranges(plays, "ts", "tie")
+    return _ordinal(order.ranges(plays, "ts", "tie"))
+
+
+def _ordinal(ranges: DataFrame) -> DataFrame:
     sizes = ranges.groupBy("part").agg(F.count("*").alias("k"))
     starts = sizes.select("part", (F.sum("k").over(Window.orderBy("part")) - F.col("k")).alias("start"))
     own = F.row_number().over(Window.partitionBy("part").orderBy("ts", "tie"))
@@ -28,7 +31,9 @@ def exposure_intervals(plays: DataFrame) -> DataFrame:
     """Per play from a song's second on: plays of the log since the song's last one, and its number
     among the song's plays."""
     own = Window.partitionBy("song_id").orderBy("gidx")
-    rows = play_ordinal(plays.filter(F.col("song_id").isNotNull()).select("song_id", "ts", "tie")).select("song_id", "gidx", (F.col("gidx") - F.lag("gidx").over(own)).alias("interval"), (F.row_number().over(own) - 1).alias("familiarity"))
+    ranges = order.ranges(plays.filter(F.col("song_id").isNotNull()).select("song_id", "ts", "tie"), "ts", "tie")
+    numbered = _ordinal(ranges).select("song_id", "gidx").repartition(order.tasks_for(ranges), "song_id")
+    rows = numbered.select("song_id", "gidx", (F.col("gidx") - F.lag("gidx").over(own)).alias("interval"), (F.row_number().over(own) - 1).alias("familiarity"))
     return rows.filter(F.col("interval").isNotNull())
 
 
@@ -102,8 +107,8 @@ def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Rank correlation by group with its two-sided p; null where one side is constant."""
     rows = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = average_rank(average_rank(rows, x, by, "rx"), y, by, "ry")
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"), F.count_distinct(x).alias("nx"), F.count_distinct(y).alias("ny"))
-    return out.withColumn("rho", F.when((F.col("nx") > 1) & (F.col("ny") > 1), F.col("rho"))).withColumn("p", spearman_p(F.col("rho"), F.col("n"))).drop("nx", "ny")
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("rx", "ry"), F.sqrt(F.var_pop("rx") * F.var_pop("ry"))).alias("rho"), (F.min(x) < F.max(x)).alias("vx"), (F.min(y) < F.max(y)).alias("vy"))
+    return out.withColumn("rho", F.when(F.col("vx") & F.col("vy"), F.col("rho"))).withColumn("p", spearman_p(F.col("rho"), F.col("n"))).drop("vx", "vy")
 
 
 def cooling_slope(plays: DataFrame, least: int = 8) -> DataFrame:
