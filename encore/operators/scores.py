@@ -25,6 +25,11 @@ def weekly_trend(plays: DataFrame) -> DataFrame:
     return out.select("artist", F.when((F.col("plays") < 5) | (F.col("weeks") < 2), 0.5).otherwise(trend).alias("artist_trend"))
 
 
+def scored(plays: DataFrame) -> DataFrame:
+    """What `song_scores` reads of a log; it reads it several times, so stage a log that is costly."""
+    return plays.select("song_id", "artist", "title", "ts", "tie", "is_skipped", "proactive_score")
+
+
 def song_scores(plays: DataFrame) -> DataFrame:
     """Affinity, momentum and zone by song."""
     totals = features.song_totals(plays)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from encore.operators import aliases, boosting, matching, models, pointprocess
+from encore.operators import aliases, boosting, lifecycle, matching, models, order, pointprocess
 from encore.plans import catalog, oracles
 
 
@@ -114,3 +114,33 @@ def test_fits_order_only_the_rows_they_see(spark):
     a, b = boosting.fit_folds(rows, 0, few, most=50), boosting.fit_folds(first, 0, few, most=1000)
     pred = lambda m: [(r["key"], round(r["predicted"], 9)) for r in boosting.score(rows.filter("key < 200").select("fit", F.lit(0).alias("fold"), "key", "x"), m, few).orderBy("key").collect()]
     assert a.count() == 2 and pred(a) == pred(b)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rank_correlation_by_group_does_not_multiply_rows(spark):
+    rows = spark.createDataFrame([(1, 1, 5), (1, 2, 7), (1, 3, 6), (2, 1, 4), (2, 2, 4), (3, 1, None), (3, 2, 9)], "g int, x int, y int")
+    found = lifecycle.spearman(rows, "x", "y", ["g"])
+    assert "Expand" not in _plan(found)
+    assert {r["g"]: (r["n"], r["rho"]) for r in found.collect()} == {1: (3, pytest.approx(0.5)), 2: (2, None), 3: (1, None)}
+
+
+def test_parts_to_sort_grow_with_the_rows(spark, monkeypatch):
+    plays = spark.range(3000).select((F.col("id") % 7).alias("song_id"), F.timestamp_seconds("id").alias("ts"), F.struct("id").alias("tie"))
+    want = sorted(map(tuple, lifecycle.exposure_intervals(plays).collect()))
+    monkeypatch.setattr(order, "ROWS", 100)
+    rows = lifecycle.exposure_intervals(plays)
+    assert "hashpartitioning(song_id" in _plan(rows) and "REPARTITION_BY_NUM" in _plan(rows) and ", 30)" in _plan(rows)
+    assert sorted(map(tuple, rows.collect())) == want and len(want) == 2993
+
+
+@pytest.mark.parametrize("name", ["mixer_playlist", "recommend", "recommend_summary"])
+def test_the_log_is_made_once(spark, sf_dir, monkeypatch, name):
+    """Nothing but the staged log reads the tables."""
+    made = []
+    own = catalog.plays_d
+    monkeypatch.setattr(catalog, "plays_d", lambda *a: made.append(a) or own(*a))
+    found = catalog.queries()[name](spark, sf_dir)
+    assert len(made) == 1 and not any("/lineitem.parquet" in f for f in found.inputFiles())
