@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from encore.llm.common import own_name
+from encore.llm.common import give_back, own_name, released, utf8
 from encore.staging import stage
 
 MIN_CHARS = 10
@@ -35,6 +35,8 @@ SHARD_KEYS = 200_000
 MAX_BROADCAST = 96 << 20
 #: Lines that a task probes a shard with at a time, about.
 PROBES = 4_000_000
+#: Documents whose lines a task holds as Python values at a time.
+AT_ONCE = 512
 _MASK = 2**64 - 1
 
 
@@ -136,7 +138,7 @@ def repeated_lines(docs: DataFrame, text: str, doc_id: str, least: int) -> DataF
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[bytes, list[int]] = {}
-            for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, body in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 for line in {key_of(x, least) for x in body.split(b"\n")} - {None} if body else ():
                     if (own := seen.get(line)) is None:
                         seen[line] = [doc, doc, 1]
@@ -147,7 +149,7 @@ def repeated_lines(docs: DataFrame, text: str, doc_id: str, least: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "low", "high", "n"])
 
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("d"), F.col(text).cast("binary").alias("t"))
-    found = rows.mapInArrow(scan, "a long, b long, low long, high long, n long")
+    found = rows.mapInArrow(released(scan), "a long, b long, low long, high long, n long")
     return found.groupBy("a", "b").agg(F.min("low").alias("owner"), F.max("high").alias("high"), F.sum("n").alias("n")).filter("owner <> high").drop("high")
 
 
@@ -202,22 +204,28 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", out
 def _probe_all(rows: list[dict], shards: int, least: int):
     sent = None if not rows else rows
 
+    def probed(own: dict[int, Shard], ids: pa.Array, bodies: pa.Array) -> pa.Array:
+        docs, texts = ids.to_pylist(), bodies.cast(pa.large_binary()).to_pylist()
+        each = [_hashes(t, least) for t in texts]
+        flat = [(h[0], h[1], k) for k, hs in enumerate(each) for h in hs if h]
+        gone: list[set] = [set() for _ in docs]
+        if flat and own:
+            a, b, k = (np.array(x, np.int64) for x in zip(*flat, strict=True))
+            d = np.array(docs, np.int64)[k]
+            which = np.mod(a, shards)
+            for s, shard in own.items():
+                here = np.flatnonzero(which == s)
+                for i in here[shard.drop(a[here], b[here], d[here])].tolist():
+                    gone[k[i]].add((flat[i][0], flat[i][1]))
+        return pa.array([_kept(t, g, h) for t, g, h in zip(texts, gone, each, strict=True)], _KIND)
+
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         own = {r["shard"]: Shard(r) for r in sent or ()}
         for ids, bodies in batches:
-            docs, texts = ids.to_pylist(), bodies.cast(pa.large_binary()).to_pylist()
-            each = [_hashes(t, least) for t in texts]
-            flat = [(h[0], h[1], k) for k, hs in enumerate(each) for h in hs if h]
-            gone: list[set] = [set() for _ in docs]
-            if flat and own:
-                a, b, k = (np.array(x, np.int64) for x in zip(*flat, strict=True))
-                d = np.array(docs, np.int64)[k]
-                which = np.mod(a, shards)
-                for s, shard in own.items():
-                    here = np.flatnonzero(which == s)
-                    for i in here[shard.drop(a[here], b[here], d[here])].tolist():
-                        gone[k[i]].add((flat[i][0], flat[i][1]))
-            yield pa.array([_kept(t, g, h) for t, g, h in zip(texts, gone, each, strict=True)], _KIND)
+            some = [probed(own, ids.slice(at, AT_ONCE), bodies.slice(at, AT_ONCE)) for at in range(0, len(ids), AT_ONCE)]
+            yield pa.concat_arrays(some) if some else pa.array([], _KIND)
+        del own
+        give_back()
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, _RETURNS).asNondeterministic()

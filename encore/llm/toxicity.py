@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from encore.llm.common import own_name, per_value, utf8
+from encore.llm.common import own_name, per_value, released, utf8
 from encore.staging import stage
 
 MAX_ROWS = 12_000
@@ -100,7 +100,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str,
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], ["id", "y", "t", "key"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("t")).join(F.broadcast(ids), "id")
-    rows = rows.select("id", F.col("y").cast("int"), "t").mapInArrow(keyed, "id long, y int, t binary, key long")
+    rows = rows.select("id", F.col("y").cast("int"), "t").mapInArrow(released(keyed), "id long, y int, t binary, key long")
     return rows.groupBy("key").agg(F.min(F.struct("id", "y", "t")).alias("r")).select("r.*")
 
 
@@ -130,7 +130,7 @@ def enriched_features(sample: DataFrame, max_features: int, ratio: float = 10.0,
     sizes = sample.agg(F.count_if(F.col("y") > 0), F.count_if(F.col("y") <= 0)).first()
     if not all(sizes):
         return []
-    found = sample.mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    found = sample.mapInArrow(released(count), "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     rate = (F.col("toxic") / sizes[0]) / ((F.col("clean") + 0.5) / sizes[1])
     best = found.filter(F.col("toxic") >= least).withColumn("rate", rate).filter(F.col("rate") >= ratio)
     return [r["feature"] for r in best.orderBy(F.desc(F.col("toxic") * F.log("rate")), "feature").limit(max_features).select("feature").collect()]
@@ -189,7 +189,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], ["id", "y", "marked", "at", "n"])
 
-    rows = sorted(sample.mapInArrow(count, "id long, y int, marked long, at array<int>, n array<int>").collect(), key=lambda r: (r["id"], r["marked"], r["at"]))
+    rows = sorted(sample.mapInArrow(released(count), "id long, y int, marked long, at array<int>, n array<int>").collect(), key=lambda r: (r["id"], r["marked"], r["at"]))
     marked = np.array([r["marked"] for r in rows])
     toxic = np.array([r["y"] > 0 for r in rows])
     grades = toxic.astype(int) + (toxic & (marked > np.median(marked[toxic])))
@@ -219,7 +219,7 @@ def score_toxicity(text: Column, model: Model) -> Column:
         return one
 
     kind = pa.struct([("severity", pa.float64()), ("p_toxic", pa.float64()), ("grade", pa.int32())])
-    return per_value(start, "struct<severity: double, p_toxic: double, grade: int>", kind)(text)
+    return per_value(start, "struct<severity: double, p_toxic: double, grade: int>", kind, release=True)(text)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+from encore.llm import lines
 from encore.llm.lines import NO_ID, PerfectHash, dedup_lines
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -74,3 +75,22 @@ def test_perfect_hash_is_minimal(n):
     assert (again.index(a, b) == made.index(a, b)).all()
     other = again.index(a + 1, b)
     assert ((other >= -1) & (other < max(n, 1))).all()
+
+
+def test_probing_holds_few_documents_at_a_time(spark, monkeypatch):
+    """A task's Python values are those of some documents, and their memory goes back at its end."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    back = []
+    monkeypatch.setattr(lines, "give_back", lambda: back.append(1), raising=False)
+    probe = lines._probe_all([], 1, 10).func
+    texts = ["\n".join(f"document {k} has line {j}" for j in range(40)) for k in range(6000)]
+    ids, bodies = pa.array(range(6000), pa.int64()), pa.array(texts)
+    tracemalloc.start()
+    found = [x for x in probe(iter([(ids, bodies)]))]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(x) for x in found] == [6000] and found[0].field("kept").to_pylist() == texts
+    assert most < 16 << 20 and back == [1]
