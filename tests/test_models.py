@@ -168,3 +168,37 @@ def test_silhouette_against_a_loop(spark):
         due[i] = 0.0 if c not in mean else (b - mean[c]) / max(b, mean[c])
     assert got == pytest.approx(due)
     assert [r["silhouette"] for r in models.silhouette(df.filter("c = 0"), "id", "v", "c").collect()] == [None] * 19
+
+
+def test_songs_meet_all_models_where_they_are(spark):
+    """Sums of what every model says, by artist, against a walk through each tree; songs stay one row each."""
+    rng = np.random.default_rng(11)
+    x, y = rng.normal(size=(90, 2)), rng.normal(size=90)
+    x[::7, 1] = np.nan
+    p = boosting.Boosting(trees=9, step=0.3, least=2)
+    means = rng.normal(size=(5, 4))  # artists (the last is unknown) x repetitions and folds
+    fits, models_of = [], {}
+    for rep in range(2):
+        for fold in range(2):
+            m = boosting.fit_trees(np.c_[x, rng.normal(size=90)], y, np.ones((1, 90), bool), p)[0]
+            models_of[rep, fold] = m
+            fits.append((f"s:{rep}", fold, bytearray(boosting.packed(m))))
+    songs = [(f"a{k % 5}" if k % 5 < 4 else None, float(x[k, 0]), None if np.isnan(x[k, 1]) else float(x[k, 1]), means[k % 5].tolist()) for k in range(90)]
+    df = spark.createDataFrame(songs, "artist string, u double, v double, means array<double>")
+    got = {(r["rep"], r["fold"], r["artist"]): (r["np"], r["sp"]) for r in models._guessed(df, spark.createDataFrame(fits, "fit string, fold int, model binary"), {"s": ["u", "v"]}, 2, p).collect()}
+    assert len(got) == 20
+
+    def walk(m, row):
+        out = float(m["base"])
+        for feature, cut, value in zip(m["feature"], m["cut"], m["value"]):
+            at = 0
+            for level in range(p.depth):
+                k = 2**level - 1 + at
+                at = 2 * at + int(feature[k] >= 0 and (np.isnan(row[feature[k]]) or row[feature[k]] > cut[k]))
+            out += value[at]
+        return out
+
+    for (rep, fold, artist), (n, total) in got.items():
+        a = 4 if artist is None else int(artist[1])
+        own = [walk(models_of[rep, fold], [*x[k], means[a, rep * 2 + fold]]) for k in range(90) if k % 5 == a]
+        assert n == len(own) and total == pytest.approx(sum(own))
