@@ -144,3 +144,15 @@ def test_the_log_is_made_once(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(catalog, "plays_d", lambda *a: made.append(a) or own(*a))
     found = catalog.queries()[name](spark, sf_dir)
     assert len(made) == 1 and not any("/lineitem.parquet" in f for f in found.inputFiles())
+
+
+def test_sums_of_distances_for_both_sides_at_once():
+    rng = np.random.default_rng(8)
+    x, y = rng.normal(size=(301, 5)) * 100, rng.normal(size=(530, 5))
+    y[7], y[300], x[200] = x[3], x[3] + 1e-7, 1e4
+    is_x, is_y = np.eye(3)[rng.integers(0, 3, 301)], np.eye(2)[rng.integers(0, 2, 530)]
+    gap = np.sqrt(((x[:, None] - y) ** 2).sum(-1))
+    of_x, of_y = models.distance_sums(x, y, is_x, is_y, False)
+    assert of_x == pytest.approx(gap @ is_y, rel=1e-11) and of_y == pytest.approx(gap.T @ is_x, rel=1e-11)
+    near, none = models.distance_sums(x[[3]], y[[7, 300]], np.ones((1, 1)), np.eye(2), True)
+    assert near == pytest.approx(np.array([[0.0, np.sqrt(5) * 1e-7]]), rel=1e-4) and not none.any()
